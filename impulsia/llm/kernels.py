@@ -102,12 +102,7 @@ def starts_of(bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def covered(starts: np.ndarray, k: int, n: int) -> np.ndarray:
     """True at each of n positions that a window of k from one of the starts holds."""
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, starts, 1) if len(starts) < 64 else None
-    if len(starts) >= 64:
-        edge += np.bincount(starts, minlength=n + 1).astype(np.int32)
-    ends = np.bincount(starts + k, minlength=n + 1)[: n + 1] if len(starts) else 0
-    edge -= np.asarray(ends, np.int32) if len(starts) else 0
+    edge = np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(starts + k, minlength=n + 1)[: n + 1]
     return np.cumsum(edge[:n]) > 0
 
 
@@ -122,8 +117,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     if len(short):
         whole = np.array([_whole(words[bounds[i] : bounds[i + 1]]) for i in short], np.uint64)
         hashes, text = np.concatenate([hashes, whole]), np.concatenate([text, short])
-    order = np.lexsort((hashes, text))
-    hashes, text = hashes[order], text[order]
+    if len(short):
+        order = np.argsort(text, kind="stable")
+        hashes, text = hashes[order], text[order]
+    edges = np.searchsorted(text, np.arange(len(offsets)))
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        hashes[lo:hi].sort()
     if len(hashes):
         new = np.ones(len(hashes), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
