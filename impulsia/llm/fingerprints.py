@@ -160,20 +160,19 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edit, whose last third is replaced by as much of the start of the next document by descending doc_id (after the last, the first).
 
-    Ties in doc_id go by text hash; null ids come last. The text is shuffled once, by runs of ids; only a run's last row needs the first of another run, which a join of one row a run brings.
+    Ties in doc_id go by text hash; null ids come last. The text is shuffled once, by runs of ids; the first row of the next run, found before the shuffle, joins each run as its end.
     """
     prepare(docs.sparkSession)
     run = F.coalesce(F.floor(F.col("doc_id") / F.lit(RUN)).cast("long"), F.lit(-(1 << 62)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), run.alias("run"), F.xxhash64("text").alias("tie"))
-    order = Window.partitionBy("run").orderBy(F.desc_nulls_last("doc_id"), "tie")
-    placed = rows.select("*", F.lead("text").over(order).alias("next_text"), F.row_number().over(order).alias("place"))
-    runs = docs.select(run.alias("run")).groupBy("run").count()
+    order = [F.desc_nulls_last("doc_id"), F.col("tie")]
+    first = rows.select("*", F.row_number().over(Window.partitionBy("run").orderBy(*order)).alias("place")).where("place = 1")
     down = Window.orderBy(F.desc("run"))
-    links = runs.select("run", F.coalesce(F.lead("run").over(down), F.max("run").over(Window.partitionBy())).alias("next_run"))
-    heads = placed.where("place = 1").select(F.col("run").alias("next_run"), F.col("text").alias("head"))
-    tails = placed.where("next_text IS NULL").drop("next_text").join(links, "run").join(heads, "next_run")
-    cols = ["doc_id", "text", "next_text"]
-    pairs = placed.where("next_text IS NOT NULL").select(*cols).unionByName(tails.withColumnRenamed("head", "next_text").select(*cols))
+    links = rows.select("run").distinct().select("run", F.coalesce(F.lead("run").over(down), F.max("run").over(Window.partitionBy())).alias("next_run"))
+    ends = links.join(first.select(F.col("run").alias("next_run"), "text"), "next_run")
+    ends = ends.select(F.lit(None).cast("long").alias("doc_id"), "text", "run", F.lit(0).cast("long").alias("tie"), F.lit(1).alias("end"))
+    after = Window.partitionBy("run").orderBy("end", *order)
+    pairs = rows.select("*", F.lit(0).alias("end")).unionByName(ends).select("*", F.lead("text").over(after).alias("next_text")).where("end = 0")
     n = F.char_length("text").cast("long")
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 3 as int))"), F.expr("substring(next_text, 1, cast(n_chars div 3 as int))"))
     pairs = pairs.select("*", n.alias("n_chars")).select("*", edited.alias("edited"))
