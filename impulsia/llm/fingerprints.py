@@ -26,7 +26,7 @@ from impulsia.llm.common import prepare
 SHINGLE = 5
 #: One of so many hashes lies below the threshold.
 SCALE = 8
-FLOOR = 16
+FLOOR = 32
 #: Hashes are kept to so many bits; 5 bytes each.
 BITS = 40
 TOP = 1 << BITS
