@@ -14,6 +14,7 @@ text are encoded as these tokens, as the tokenizers library does.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterable
 
@@ -29,6 +30,11 @@ from impulsia.llm.common import prepare
 
 #: Words that a worker remembers at most, and how many it keeps when it forgets the rest.
 CACHE, CORE = 1 << 19, 1 << 17
+#: Pieces of words that it remembers at most.
+PIECES = 1 << 18
+#: Words of more bytes are merged by way of a heap.
+LONG = 256
+NEVER = 1 << 60
 
 #: Fixed by the tokenizer: the pattern that cuts texts before merging.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -110,6 +116,8 @@ class Codec:
         self.ids = {b: i for i, b in enumerate(self.bytes) if b}
         for t, i in self.special.items():
             self.bytes[i] = t.encode()
+        self.single = [self.ids[bytes([b])] for b in range(256)]
+        self.known: dict[str, list[int]] = {}
         self.longest: dict[bytes, int] = {}
         for b in self.ids:
             self.longest[b[:2]] = max(len(b), self.longest.get(b[:2], 1))
@@ -137,22 +145,44 @@ class Codec:
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of a word, by merging the adjacent pair of lowest rank until none is left."""
-        ids = [self.ids[word[i : i + 1]] for i in range(len(word))]
-        while len(ids) > 1:
-            best = min((self.rank.get(p, 1 << 60) for p in zip(ids, ids[1:])), default=1 << 60)
-            if best == 1 << 60:
+        single = self.single
+        ids = [single[b] for b in word]
+        if len(ids) > LONG:
+            return self._merge_long(ids)
+        get, made = self.rank.get, self.made
+        ranks = [get(p, NEVER) for p in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == NEVER:
                 break
-            out, i = [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and self.rank.get((ids[i], ids[i + 1])) == best:
-                    out.append(self.made[best])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = ranks.index(best)
+            ids[i] = made[best]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), NEVER)
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), NEVER)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of pairs by rank and place, in n log n steps."""
+        n, get = len(ids), self.rank.get
+        after, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get((ids[i], ids[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if not live[i] or j >= n or ids[i] != a or ids[j] != b:
+                continue
+            ids[i], live[j], after[i] = self.made[r], False, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < n and (q := get((ids[x], ids[y]))) is not None:
+                    heapq.heappush(heap, (q, x, ids[x], ids[y]))
+        return [t for t, on in zip(ids, live, strict=True) if on]
+
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.size + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -203,7 +233,10 @@ class Codec:
         return proposed
 
     def _new(self, keys: list[str]) -> list[list[int]]:
-        pieces: dict[str, int] = {}
+        known = self.known
+        if len(known) > PIECES:
+            known.clear()
+        new: dict[str, None] = {}
         parts = []
         for k in keys:
             mark = k[:1]
@@ -211,9 +244,13 @@ class Codec:
                 parts.append(k)
                 continue
             text = k[1:] if mark in (BARE, EXACT) else k if k == "\n" else " " + k
-            parts.append([pieces.setdefault(p, len(pieces)) for p in ([text] if mark == EXACT else PATTERN.findall(text))])
-        made = self.encode_words([p.encode() for p in pieces])
-        return [[self.special[p[1:]]] if isinstance(p, str) else [i for j in p for i in made[j]] for p in parts]
+            found = [text] if mark == EXACT else PATTERN.findall(text)
+            parts.append(found)
+            for p in found:
+                if p not in known:
+                    new[p] = None
+        known.update(zip(new, self.encode_words([p.encode() for p in new]), strict=True))
+        return [[self.special[p[1:]]] if isinstance(p, str) else known[p[0]] if len(p) == 1 else [i for q in p for i in known[q]] for p in parts]
 
     def words(self, text: str) -> list[str]:
         """Cache keys whose pieces, in order, are those of the text. Words between single spaces and line ends stand alone: the pattern takes a space only before a word and never crosses one after it."""

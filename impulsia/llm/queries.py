@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from impulsia.llm.common import table
 
 
+def op1_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from impulsia.llm.licences import scanned
+
+    return scanned(table(spark, sf_dir, "documents"))
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from impulsia.llm.fingerprints import edited_fingerprints
 
@@ -29,6 +35,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from impulsia.llm.pii import DEMO_KEY, pseudonymised
+
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from impulsia.llm.nbsvm import scored
 
