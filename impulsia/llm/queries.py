@@ -41,6 +41,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from impulsia.llm.substring_dedup import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from impulsia.llm.nbsvm import scored
 
