@@ -29,9 +29,9 @@ from impulsia.llm import kernels as K
 from impulsia.llm.common import prepare
 
 #: Words that a worker remembers at most, and how many it keeps when it forgets the rest.
-CACHE, CORE = 1 << 19, 1 << 17
+CACHE, CORE = 1 << 20, 1 << 18
 #: Pieces of words that it remembers at most.
-PIECES = 1 << 18
+PIECES = 1 << 19
 #: Words of more bytes are merged by way of a heap.
 LONG = 256
 NEVER = 1 << 60
@@ -99,6 +99,124 @@ class WordCache:
         return self.flat[ranges(self.starts[at], lengths)], lengths
 
 
+class Merger:
+    """Merges of adjacent ids by rank."""
+
+    def __init__(self, pairs: list[tuple[int, int]], made: list[int], size: int):
+        self.size, self.made = size, made
+        self.rank = {p: r for r, p in reversed(list(enumerate(pairs)))}
+        self.result = np.array([*made, 0], np.int64)
+        # Open addressing: each pair at the first free place from its hash on.
+        self.mask = (1 << max(4, (4 * len(self.rank)).bit_length())) - 1
+        self.keys, self.ranks = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, NEVER, np.int64)
+        for (a, b), r in self.rank.items():
+            key = a * size + b
+            at = self._slot(key)
+            while self.keys[at] >= 0:
+                at = (at + 1) & self.mask
+            self.keys[at], self.ranks[at] = key, r
+
+    def _slot(self, key):
+        return (key ^ (key >> 13) ^ (key >> 27)) & self.mask
+
+    def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair, NEVER if it doesn't merge."""
+        key = a * self.size + b
+        at = self._slot(key)
+        out, found = self.ranks[at], self.keys[at]
+        todo = np.flatnonzero((found != key) & (found >= 0))
+        out[found < 0] = NEVER
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.mask
+            found = self.keys[at[todo]]
+            out[todo] = np.where(found == key[todo], self.ranks[at[todo]], NEVER)
+            todo = todo[(found != key[todo]) & (found >= 0)]
+        return out
+
+    def merge(self, ids: list[int]) -> list[int]:
+        """The pair of lowest rank, the leftmost of equals, is merged until none is left."""
+        if len(ids) > LONG:
+            return self._merge_long(ids)
+        ids, get, made = list(ids), self.rank.get, self.made
+        ranks = [get(p, NEVER) for p in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == NEVER:
+                break
+            i = ranks.index(best)
+            ids[i] = made[best]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), NEVER)
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), NEVER)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of pairs by rank and place, in n log n steps."""
+        n, get = len(ids), self.rank.get
+        after, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get((ids[i], ids[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if not live[i] or j >= n or ids[i] != a or ids[j] != b:
+                continue
+            ids[i], live[j], after[i] = self.made[r], False, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < n and (q := get((ids[x], ids[y]))) is not None:
+                    heapq.heappush(heap, (q, x, ids[x], ids[y]))
+        return [t for t, on in zip(ids, live, strict=True) if on]
+
+    def merge_all(self, words: list[list[int]]) -> list[list[int]]:
+        """The same for each word, one merge of all words at a time."""
+        out: list[list[int]] = [[]] * len(words)
+        short = [i for i, w in enumerate(words) if 1 < len(w) <= 48]
+        for i, w in enumerate(words):
+            if len(w) < 2:
+                out[i] = list(w)
+            elif len(w) > 48:
+                out[i] = self.merge(w)
+        lengths = np.fromiter((len(words[i]) for i in short), np.int64, len(short))
+        ids = np.fromiter((t for i in short for t in words[i]), np.int64, int(lengths.sum()))
+        of = np.array(short, np.int64)
+        starts = np.cumsum(lengths) - lengths
+        ranks = np.full(len(ids), NEVER, np.int64)
+        ranks[:-1] = self.ranks_of(ids[:-1], ids[1:]) if len(ids) else 0
+        ranks[starts + lengths - 1] = NEVER
+        while len(of):
+            least = np.minimum.reduceat(ranks, starts)
+            done = least == NEVER
+            if done.any():
+                flat = ids.tolist()
+                for k in np.flatnonzero(done):
+                    out[of[k]] = flat[starts[k] : starts[k] + lengths[k]]
+                keep = ~np.repeat(done, lengths)
+                ids, ranks, lengths, of, least = ids[keep], ranks[keep], lengths[~done], of[~done], least[~done]
+                starts = np.cumsum(lengths) - lengths
+                if not len(of):
+                    break
+            at = np.flatnonzero(ranks == np.repeat(least, lengths))
+            word = np.searchsorted(starts, at, "right") - 1
+            at = at[np.concatenate([[True], word[1:] != word[:-1]])]
+            ids[at] = self.result[least]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ranks[at] = ranks[at + 1]  # NEVER if the merged pair ended its word
+            place = at - np.arange(len(at))
+            ids, ranks = ids[keep], ranks[keep]
+            lengths = lengths - 1
+            starts = np.cumsum(lengths) - lengths
+            last = starts + lengths - 1
+            inner = place[place != last]
+            ranks[inner] = self.ranks_of(ids[inner], ids[inner + 1])
+            left = place[place != starts] - 1
+            ranks[left] = self.ranks_of(ids[left], ids[left + 1])
+        return out
+
 class Codec:
     """A byte-level BPE tokenizer from its JSON description."""
 
@@ -123,17 +241,14 @@ class Codec:
             self.longest[b[:2]] = max(len(b), self.longest.get(b[:2], 1))
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         pairs = [(vocab[a], vocab[b]) for a, b in merges]
-        self.rank = {p: r for r, p in reversed(list(enumerate(pairs)))}
-        self.made = [vocab[a + b] for a, b in merges]
+        made = [vocab[a + b] for a, b in merges]
+        self.merger = Merger(pairs, made, size)
         #: Of each token: its halves (itself if it is one byte) and the rank of the merge that makes it.
         self.left, self.right, self.at = np.arange(size), np.arange(size), np.full(size, -1)
         for r in range(len(pairs) - 1, -1, -1):
-            i = self.made[r]
+            i = made[r]
             self.left[i], self.right[i], self.at[i] = *pairs[r], r
         self.size = size
-        keys = np.array([a * size + b for a, b in self.rank], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], np.fromiter(self.rank.values(), np.int64, len(keys))[order]
         self.whole = np.full(size, -1, np.int8)
         self.cache = WordCache(self._new)
         joined = b"".join(self.bytes)
@@ -144,60 +259,18 @@ class Codec:
         self.digits_begin = np.cumsum(self.digits_width) - self.digits_width
 
     def merge(self, word: bytes) -> list[int]:
-        """The ids of a word, by merging the adjacent pair of lowest rank until none is left."""
-        single = self.single
-        ids = [single[b] for b in word]
-        if len(ids) > LONG:
-            return self._merge_long(ids)
-        get, made = self.rank.get, self.made
-        ranks = [get(p, NEVER) for p in zip(ids, ids[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == NEVER:
-                break
-            i = ranks.index(best)
-            ids[i] = made[best]
-            del ids[i + 1], ranks[i]
-            if i < len(ranks):
-                ranks[i] = get((ids[i], ids[i + 1]), NEVER)
-            if i:
-                ranks[i - 1] = get((ids[i - 1], ids[i]), NEVER)
-        return ids
-
-    def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same with a heap of pairs by rank and place, in n log n steps."""
-        n, get = len(ids), self.rank.get
-        after, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if not live[i] or j >= n or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], live[j], after[i] = self.made[r], False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (q := get((ids[x], ids[y]))) is not None:
-                    heapq.heappush(heap, (q, x, ids[x], ids[y]))
-        return [t for t, on in zip(ids, live, strict=True) if on]
-
-    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a * self.size + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], -1) if len(self.keys) else np.full(len(a), -1)
+        return self.merger.merge([self.single[b] for b in word])
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether no merge crosses from a into b: none of a piece that ends a with one that begins b, of a rank at which both stand, before the merges that consume them (at equal ranks, the leftmost pair merges first)."""
         ok = np.ones(len(a), bool)
-        x, x_until, live = a.copy(), np.full(len(a), 1 << 60), np.ones(len(a), bool)
+        x, x_until, live = a.copy(), np.full(len(a), NEVER), np.ones(len(a), bool)
         while live.any():
-            y, y_until, on = b.copy(), np.full(len(a), 1 << 60), live.copy()
+            y, y_until, on = b.copy(), np.full(len(a), NEVER), live.copy()
             while on.any():
                 i = np.flatnonzero(on)
-                r = self._rank(x[i], y[i])
-                ok[i[(r >= 0) & (r < x_until[i]) & (r <= y_until[i])]] = False
+                r = self.merger.ranks_of(x[i], y[i])
+                ok[i[(r < x_until[i]) & (r <= y_until[i])]] = False
                 on[i] = self.at[y[i]] >= 0
                 y_until[i], y[i] = self.at[y[i]], self.left[y[i]]
                 on &= ok
@@ -228,8 +301,9 @@ class Codec:
         pairs, of = np.unique(flat[inner] * self.size + flat[inner + 1], return_inverse=True)
         fails = ~self.compatible(pairs // self.size, pairs % self.size)
         bad |= np.bincount(word[inner[fails[of]]], minlength=len(words)) > 0
-        for i in np.flatnonzero(bad):
-            proposed[i] = self.merge(words[i])
+        failing = np.flatnonzero(bad).tolist()
+        for i, merged in zip(failing, self.merger.merge_all([[self.single[b] for b in words[i]] for i in failing]), strict=True):
+            proposed[i] = merged
         return proposed
 
     def _new(self, keys: list[str]) -> list[list[int]]:

@@ -14,6 +14,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, bisect_right
@@ -21,32 +22,69 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from impulsia.llm import kernels as K
-from impulsia.llm.bpe import WordCache, shared_description
+from impulsia.llm.bpe import PIECES, Merger, WordCache, byte_letters, shared_description
 from impulsia.llm.common import written
 
 LIMIT = 2048
 #: Steps of the search beyond its first descent, and fillings tried at a step.
-NODES, WIDTH = 4000, 4
+NODES, WIDTH = 1500, 4
 END = 0
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 
 
 class WordIds:
-    """Ids of whole texts by the tokenizers library, which is asked once for each distinct run of non-space; its pre-tokenizer never joins what white space parts."""
+    """Ids of whole texts as the tokenizers library gives them.
 
-    odd = re.compile("[\x1c-\x1f\x85᠎​]")
+    White space parts what the pre-tokenizer never joins, so each run of non-space is encoded by itself, once while the
+    worker remembers it. Runs of Latin letters and marks are cut and merged here, all new ones together; any other (and
+    any with a special token's mark) is given to the library. Both ways give the library's ids.
+    """
+
+    odd = re.compile("[\x1c-\x1f\x85\u180e\u200b]")
+    pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
     def __init__(self, description: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(description)
-        self.cache = WordCache(lambda words: [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)])
+        spec = json.loads(description)["model"]
+        vocab, end = spec["vocab"], spec["end_of_word_suffix"]
+        letters = {b: c for c, b in byte_letters().items()}
+        self.inner = [vocab[letters[b]] for b in range(256)]
+        self.last = [vocab[letters[b] + end] for b in range(256)]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["merges"]]
+        self.merger = Merger([(vocab[a], vocab[b]) for a, b in merges], [vocab[a + b] for a, b in merges], max(vocab.values()) + 1)
+        self.known: dict[str, list[int]] = {}
+        self.cache = WordCache(self._new)
+
+    def _new(self, words: list[str]) -> list[list[int]]:
+        known, parts, new, foreign = self.known, [], {}, []
+        if len(known) > PIECES:
+            known.clear()
+        for w in words:
+            if max(w) >= "\u0130" or "<|" in w or len(w) > 1000:
+                foreign.append(len(parts))
+                parts.append([])
+                continue
+            found = self.pattern.findall(w.lower())
+            parts.append(found)
+            for p in found:
+                if p not in known:
+                    new[p] = None
+        raw = [p.encode() for p in new]
+        made = self.merger.merge_all([[*map(self.inner.__getitem__, b[:-1]), self.last[b[-1]]] for b in raw])
+        known.update(zip(new, made, strict=True))
+        out = [known[p[0]] if len(p) == 1 else [i for q in p for i in known[q]] for p in parts]
+        for i, e in zip(foreign, self.tokenizer.encode_batch([words[i] for i in foreign], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         words, counts = [], [0]
@@ -100,7 +138,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECE)
 
 
 def lower_bound(counts: dict[int, int], limit: int) -> int:
@@ -136,12 +174,13 @@ def fillings(room: int, counts: dict[int, int], lengths: list[int], width: int =
     if counts.get(room):
         return [(room,)]
     found: dict[tuple[int, ...], int] = {}
-    steps = 0
+    steps = perfect = 0
 
     def descend(left: int, below: int, taken: tuple[int, ...]) -> None:
-        nonlocal steps
+        nonlocal steps, perfect
         i = bisect_right(lengths, min(left, below))
         if not i or len(taken) >= 64:
+            perfect += not left and taken not in found
             found.setdefault(taken, left)
             return
         # The piece that fits exactly, then pairs that do, then the largest.
@@ -152,12 +191,13 @@ def fillings(room: int, counts: dict[int, int], lengths: list[int], width: int =
                 continue
             rest = left - x
             if rest and rest <= x and counts.get(rest, 0) > taken.count(rest) + (rest == x):
-                found.setdefault((*taken, x, rest), 0)
+                perfect += (*taken, x, rest) not in found
+                found[(*taken, x, rest)] = 0
             elif tried < 2 or not rest:
                 descend(rest, x, (*taken, x))
             tried += 1
             steps += 1
-            if steps > 400 or tried > 64 or sum(not s for s in found.values()) >= width:
+            if steps > 400 or tried > 64 or perfect >= width:
                 break
         if not tried:
             found.setdefault(taken, left)
