@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,9 @@ from impulsia.llm import kernels as K
 from impulsia.llm.common import prepare
 
 #: Words that a worker remembers at most, and how many it keeps when it forgets the rest.
-CACHE, CORE = 1 << 20, 1 << 18
+CACHE, CORE = 1 << 19, 1 << 17
 #: Pieces of words that it remembers at most.
-PIECES = 1 << 19
+PIECES = 1 << 18
 #: Words of more bytes are merged by way of a heap.
 LONG = 256
 NEVER = 1 << 60
@@ -58,7 +59,7 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class WordCache:
-    """Ids by word, in flat arrays. encode: gives the ids of each of a list of new words."""
+    """Ids by word, in flat arrays. encode: gives all ids of a list of new words, and how many each has."""
 
     def __init__(self, encode):
         self.encode, self.index = encode, {}
@@ -71,9 +72,7 @@ class WordCache:
             setattr(self, name, np.concatenate([have, np.zeros(max(need, 2 * len(have)) - len(have), have.dtype)]))
 
     def add(self, words: list[str]) -> None:
-        made = self.encode(words)
-        lengths = np.fromiter(map(len, made), np.int64, len(made))
-        flat = np.fromiter((i for ids in made for i in ids), np.int32, int(lengths.sum()))
+        flat, lengths = self.encode(words)
         n = len(self.index)
         for name, need in (("flat", self.used + len(flat)), ("starts", n + len(words)), ("lengths", n + len(words))):
             self._grow(name, need)
@@ -171,31 +170,22 @@ class Merger:
                     heapq.heappush(heap, (q, x, ids[x], ids[y]))
         return [t for t, on in zip(ids, live, strict=True) if on]
 
-    def merge_all(self, words: list[list[int]]) -> list[list[int]]:
-        """The same for each word, one merge of all words at a time."""
-        out: list[list[int]] = [[]] * len(words)
-        short = [i for i, w in enumerate(words) if 1 < len(w) <= 48]
-        for i, w in enumerate(words):
-            if len(w) < 2:
-                out[i] = list(w)
-            elif len(w) > 48:
-                out[i] = self.merge(w)
-        lengths = np.fromiter((len(words[i]) for i in short), np.int64, len(short))
-        ids = np.fromiter((t for i in short for t in words[i]), np.int64, int(lengths.sum()))
-        of = np.array(short, np.int64)
+    def merge_flat(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of at least one id in one array, one merge of each word at a time."""
+        ids, lengths, of = ids.copy(), lengths.copy(), np.arange(len(lengths))
+        ended: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         starts = np.cumsum(lengths) - lengths
         ranks = np.full(len(ids), NEVER, np.int64)
-        ranks[:-1] = self.ranks_of(ids[:-1], ids[1:]) if len(ids) else 0
-        ranks[starts + lengths - 1] = NEVER
+        if len(ids):
+            ranks[:-1] = self.ranks_of(ids[:-1], ids[1:])
+            ranks[starts + lengths - 1] = NEVER
         while len(of):
             least = np.minimum.reduceat(ranks, starts)
             done = least == NEVER
             if done.any():
-                flat = ids.tolist()
-                for k in np.flatnonzero(done):
-                    out[of[k]] = flat[starts[k] : starts[k] + lengths[k]]
-                keep = ~np.repeat(done, lengths)
-                ids, ranks, lengths, of, least = ids[keep], ranks[keep], lengths[~done], of[~done], least[~done]
+                out = np.repeat(done, lengths)
+                ended.append((ids[out], lengths[done], of[done]))
+                ids, ranks, lengths, of, least = ids[~out], ranks[~out], lengths[~done], of[~done], least[~done]
                 starts = np.cumsum(lengths) - lengths
                 if not len(of):
                     break
@@ -205,17 +195,21 @@ class Merger:
             ids[at] = self.result[least]
             keep = np.ones(len(ids), bool)
             keep[at + 1] = False
-            ranks[at] = ranks[at + 1]  # NEVER if the merged pair ended its word
+            ranks[at] = NEVER
             place = at - np.arange(len(at))
             ids, ranks = ids[keep], ranks[keep]
             lengths = lengths - 1
             starts = np.cumsum(lengths) - lengths
-            last = starts + lengths - 1
-            inner = place[place != last]
+            inner = place[place != starts + lengths - 1]
             ranks[inner] = self.ranks_of(ids[inner], ids[inner + 1])
             left = place[place != starts] - 1
             ranks[left] = self.ranks_of(ids[left], ids[left + 1])
-        return out
+        if not ended:
+            return ids, lengths
+        flat, many, words = (np.concatenate([e[i] for e in ended]) for i in range(3))
+        order = np.argsort(words)
+        return flat[ranges((np.cumsum(many) - many)[order], many[order])], many[order]
+
 
 class Codec:
     """A byte-level BPE tokenizer from its JSON description."""
@@ -235,6 +229,7 @@ class Codec:
         for t, i in self.special.items():
             self.bytes[i] = t.encode()
         self.single = [self.ids[bytes([b])] for b in range(256)]
+        self.singles = np.array(self.single, np.int64)
         self.known: dict[str, list[int]] = {}
         self.longest: dict[bytes, int] = {}
         for b in self.ids:
@@ -301,12 +296,18 @@ class Codec:
         pairs, of = np.unique(flat[inner] * self.size + flat[inner + 1], return_inverse=True)
         fails = ~self.compatible(pairs // self.size, pairs % self.size)
         bad |= np.bincount(word[inner[fails[of]]], minlength=len(words)) > 0
-        failing = np.flatnonzero(bad).tolist()
-        for i, merged in zip(failing, self.merger.merge_all([[self.single[b] for b in words[i]] for i in failing]), strict=True):
-            proposed[i] = merged
+        failing = [i for i in np.flatnonzero(bad).tolist() if len(words[i]) <= LONG]
+        for i in np.flatnonzero(bad).tolist():
+            if len(words[i]) > LONG:
+                proposed[i] = self.merge(words[i])
+        raw = np.frombuffer(b"".join([words[i] for i in failing]), np.uint8)
+        flat, lengths = self.merger.merge_flat(self.singles[raw], np.fromiter((len(words[i]) for i in failing), np.int64, len(failing)))
+        flat, ends = flat.tolist(), np.cumsum(lengths).tolist()
+        for i, lo, hi in zip(failing, [0, *ends], ends):
+            proposed[i] = flat[lo:hi]
         return proposed
 
-    def _new(self, keys: list[str]) -> list[list[int]]:
+    def _new(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         known = self.known
         if len(known) > PIECES:
             known.clear()
@@ -324,7 +325,9 @@ class Codec:
                 if p not in known:
                     new[p] = None
         known.update(zip(new, self.encode_words([p.encode() for p in new]), strict=True))
-        return [[self.special[p[1:]]] if isinstance(p, str) else known[p[0]] if len(p) == 1 else [i for q in p for i in known[q]] for p in parts]
+        made = [[self.special[p[1:]]] if isinstance(p, str) else known[p[0]] if len(p) == 1 else [i for q in p for i in known[q]] for p in parts]
+        lengths = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter(chain.from_iterable(made), np.int32, int(lengths.sum())), lengths
 
     def words(self, text: str) -> list[str]:
         """Cache keys whose pieces, in order, are those of the text. Words between single spaces and line ends stand alone: the pattern takes a space only before a word and never crosses one after it."""

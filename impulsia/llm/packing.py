@@ -18,17 +18,16 @@ import json
 import re
 import zlib
 from bisect import bisect_left, bisect_right
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from impulsia.llm import kernels as K
-from impulsia.llm.bpe import PIECES, Merger, WordCache, byte_letters, shared_description
+from impulsia.llm.bpe import Merger, WordCache, byte_letters, ranges, shared_description
 from impulsia.llm.common import written
 
 LIMIT = 2048
@@ -43,12 +42,13 @@ class WordIds:
     """Ids of whole texts as the tokenizers library gives them.
 
     White space parts what the pre-tokenizer never joins, so each run of non-space is encoded by itself, once while the
-    worker remembers it. Runs of Latin letters and marks are cut and merged here, all new ones together; any other (and
-    any with a special token's mark) is given to the library. Both ways give the library's ids.
+    worker remembers it. Runs of ASCII and the usual Latin letters are cut and merged here, all new ones together; any
+    other (and any with an apostrophe or a special token's mark) is given to the library. Both ways give its ids.
     """
 
     odd = re.compile("[\x1c-\x1f\x85\u180e\u200b]")
-    pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    #: ASCII but for apostrophes and the mark of special tokens, and the letters of Latin-1.
+    plain = re.compile("[!-&(-;=-{}~\xc0-\xd6\xd8-\xf6\xf8-\xff]{1,200}").fullmatch
 
     def __init__(self, description: str):
         from tokenizers import Tokenizer
@@ -57,34 +57,42 @@ class WordIds:
         spec = json.loads(description)["model"]
         vocab, end = spec["vocab"], spec["end_of_word_suffix"]
         letters = {b: c for c, b in byte_letters().items()}
-        self.inner = [vocab[letters[b]] for b in range(256)]
-        self.last = [vocab[letters[b] + end] for b in range(256)]
+        self.inner = np.array([vocab[letters[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocab[letters[b] + end] for b in range(256)], np.int64)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["merges"]]
         self.merger = Merger([(vocab[a], vocab[b]) for a, b in merges], [vocab[a + b] for a, b in merges], max(vocab.values()) + 1)
-        self.known: dict[str, list[int]] = {}
+        #: Of each byte of a plain run: 0 a letter's, 1 a digit, 2 other.
+        self.kind = np.full(256, 2, np.int8)
+        for b in [*range(97, 123), *range(128, 256)]:
+            self.kind[b] = 0
+        self.kind[48:58] = 1
         self.cache = WordCache(self._new)
 
-    def _new(self, words: list[str]) -> list[list[int]]:
-        known, parts, new, foreign = self.known, [], {}, []
-        if len(known) > PIECES:
-            known.clear()
-        for w in words:
-            if max(w) >= "\u0130" or "<|" in w or len(w) > 1000:
-                foreign.append(len(parts))
-                parts.append([])
-                continue
-            found = self.pattern.findall(w.lower())
-            parts.append(found)
-            for p in found:
-                if p not in known:
-                    new[p] = None
-        raw = [p.encode() for p in new]
-        made = self.merger.merge_all([[*map(self.inner.__getitem__, b[:-1]), self.last[b[-1]]] for b in raw])
-        known.update(zip(new, made, strict=True))
-        out = [known[p[0]] if len(p) == 1 else [i for q in p for i in known[q]] for p in parts]
-        for i, e in zip(foreign, self.tokenizer.encode_batch([words[i] for i in foreign], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
+    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = self.plain
+        own = [i for i, w in enumerate(words) if plain(w)]
+        rest = sorted({*range(len(words))}.difference(own)) if len(own) < len(words) else []
+        raw = [words[i].lower().encode() for i in own]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        kind, first = self.kind[data], np.cumsum(sizes) - sizes
+        cut = np.ones(len(data), bool)
+        cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 1)
+        cut[first] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(data)) if len(starts) else starts
+        ids = self.inner[data]
+        ids[ends - 1] = self.last[data[ends - 1]]
+        flat, lengths = self.merger.merge_flat(ids, ends - starts)
+        counts = np.add.reduceat(lengths, np.searchsorted(starts, first)) if len(own) else np.empty(0, np.int64)
+        if not rest:
+            return flat, counts
+        others = [e.ids for e in self.tokenizer.encode_batch([words[i] for i in rest], add_special_tokens=False)]
+        more = np.fromiter(map(len, others), np.int64, len(others))
+        flat = np.concatenate([flat, np.fromiter(chain.from_iterable(others), np.int64, int(more.sum()))])
+        order = np.argsort(np.array(own + rest, np.int64))
+        counts = np.concatenate([counts, more])
+        return flat[ranges((np.cumsum(counts) - counts)[order], counts[order])], counts[order]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         words, counts = [], [0]
@@ -158,7 +166,7 @@ def lower_bound(counts: dict[int, int], limit: int) -> int:
 
 def _dominated(filling: tuple[int, ...], slack: int, lengths: list[int]) -> bool:
     """Whether a free length could stand in for some of the filling's pieces and waste less or leave smaller ones."""
-    for k in range(1, min(len(filling), 4) + 1):
+    for k in range(1, min(len(filling), 4 if len(filling) <= 8 else 2) + 1):
         for some in set(combinations(filling, k)):
             s = sum(some)
             i = bisect_right(lengths, s) if k == 1 else bisect_left(lengths, s)
