@@ -3,10 +3,11 @@
 Features are indicators of the byte n-grams of a text (SIZES), hashed into BUCKETS. Each is scaled by the log ratio of
 its smoothed frequencies in good and bad training documents, each row is brought to unit length, and a linear
 squared-hinge model is fitted by dual coordinate descent. A logistic curve fitted on a part of the sample left out of
-training turns margins into the probability of label 1, at the classes' shares among all labelled rows.
+training turns margins into the probability of label 1, at the classes' shares among all labelled rows; a short text's
+log odds are drawn towards these shares.
 
 Training reads a bounded sample: SAMPLE documents of either class, those whose hashed ids are smallest; scores cover
-every row and whole texts. A null or empty text has no features and gets the score of the bias. Null ids and labels
+every row and whole texts. A null or empty text has no features and gets the share of label 1. Null ids and labels
 train nothing. Repeated rows are scored each. Without labels of both classes every score is the share of label 1 (0.5
 without labels).
 """
@@ -26,6 +27,8 @@ SIZES = (3, 4)
 #: Labelled documents of either class that training reads at most.
 SAMPLE = 2000
 SMOOTH, COST, EPOCHS = 1.0, 1.0, 12
+#: From a text of so many distinct n-grams, half of the evidence counts: few n-grams say little against the classes' shares.
+HALF = 200
 #: Of so many sampled rows one fits the logistic curve.
 CALIBRATE = 4
 
@@ -58,7 +61,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> tuple[np.ndarra
     scaled = []
     for r in rows:
         x = ratio[r]
-        x[:-1] /= max(np.sqrt((x[:-1] ** 2).sum()), 1e-12)
+        x[:-1] *= _scale((x[:-1] ** 2).sum())
         scaled.append(x)
     w, alpha = np.zeros(BUCKETS + 1), np.zeros(len(y))
     weight = {s: len(y) / (2 * max(1, (y == s).sum())) for s in (-1, 1)}
@@ -79,8 +82,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> tuple[np.ndarra
 def margin(weights: np.ndarray, squares: np.ndarray, buckets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     sums = np.concatenate([[0.0], np.cumsum(weights[buckets], dtype=np.float64)])
     norms = np.concatenate([[0.0], np.cumsum(squares[buckets], dtype=np.float64)])
-    size = np.sqrt(np.maximum(norms[bounds[1:]] - norms[bounds[:-1]], 0))
-    return (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(size, 1e-12) + weights[BUCKETS]
+    return (sums[bounds[1:]] - sums[bounds[:-1]]) * _scale(norms[bounds[1:]] - norms[bounds[:-1]]) + weights[BUCKETS]
+
+
+def _scale(squares):
+    """What brings a row to unit length."""
+    return 1 / np.sqrt(np.maximum(squares, 1e-12))
 
 
 def curve(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -147,11 +154,15 @@ def score(docs: DataFrame, model: dict, text: str = "text", column: str = "score
     def add(batches):
         own = shared.value
         a, b = own["curve"]
+        prior = np.log(own["share"] / (1 - own["share"]))
         for batch in batches:
             made = [np.empty(0)]
             for _, _, data, offsets in K.chunks(batch.column(batch.schema.get_field_index(text))):
-                m = margin(own["weights"], own["squares"], *features(data, offsets))
-                made.append(1 / (1 + np.exp(-np.clip(a * m + b, -30, 30))))
+                buckets, bounds = features(data, offsets)
+                odds = a * margin(own["weights"], own["squares"], buckets, bounds) + b
+                count = np.diff(bounds)
+                odds = prior + (odds - prior) * count / (count + HALF)
+                made.append(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(made), pa.float64())], names=[*batch.schema.names, column])
 
     return docs.mapInArrow(add, schema)
