@@ -385,7 +385,8 @@ def _texts(column: pa.Array):
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with the token ids of each text."""
+    """docs with the token ids of each text. A column of their name is replaced."""
+    docs = docs.drop(ids)
     described = shared_description(docs.sparkSession, path)
     schema = docs.select("*", F.array().cast("array<int>").alias(ids)).schema
 
@@ -400,7 +401,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """rows with the text of each list of token ids; a null list gives an empty text."""
+    """rows with the text of each list of token ids; a null list gives an empty text. A column of that name is replaced."""
+    rows = rows.drop(text)
     described = shared_description(rows.sparkSession, path)
     schema = rows.select("*", F.lit("").alias(text)).schema
 

@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 #: Bytes of a hash that the search for shared ones sends; what it finds is verified with whole hashes.
 SHORT = 6
+#: The column of a document's bucket; one of this name is replaced.
+BUCKET = "_bucket"
 
 
 def bucketed(docs: DataFrame, n: int) -> DataFrame:
-    return docs.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    return docs.withColumn(BUCKET, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
 
 def ids(column: pa.Array) -> np.ndarray:
@@ -76,7 +78,7 @@ def _shared(table: pa.Table) -> pa.Table:
         if len(mine):
             cols[0].append(f)
             cols[1].append(narrow(mine))
-    return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], names=["_bucket", "shared"])
+    return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], names=[BUCKET, "shared"])
 
 
 def _in(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:

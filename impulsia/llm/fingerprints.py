@@ -116,8 +116,9 @@ def merge(a: str, b: str) -> str:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", column: str = "fingerprint") -> DataFrame:
-    """docs with a fingerprint of each text, without a shuffle."""
+    """docs with a fingerprint of each text, without a shuffle. A column of that name is replaced."""
     prepare(docs.sparkSession)
+    docs = docs.drop(column)
     schema = docs.select("*", F.lit("").alias(column)).schema
 
     def add(batches):

@@ -186,7 +186,8 @@ def _slots(hashes: list[int]) -> tuple[int, int]:
 
 
 def scan(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """docs with an array of the notices found: paragraph (from 0), family, probability and whether the comparison confirmed it."""
+    """docs with an array of the notices found: paragraph (from 0), family, probability and whether the comparison confirmed it. Columns of the names used are replaced."""
+    docs = docs.drop("notices", "_lines", "_scored", "_odds", "_judged")
     hashes = _hashes(docs.sparkSession, model["features"])
     shift, bits = _slots(hashes)
     mask = (1 << bits) - 1

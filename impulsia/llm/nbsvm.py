@@ -144,8 +144,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", column: str = "score") -> DataFrame:
-    """docs with the probability of label 1 of each text. The model is a few MB whatever the corpus."""
+    """docs with the probability of label 1 of each text. The model is a few MB whatever the corpus. A column of that name is replaced."""
     prepare(docs.sparkSession)
+    docs = docs.drop(column)
     schema = docs.select("*", F.lit(0.0).alias(column)).schema
     if "weights" not in model:
         return docs.withColumn(column, F.lit(float(model["share"])))

@@ -165,10 +165,10 @@ def _cut(names: list[str], digest: bool):
 
 
 def deduplicated(docs: DataFrame, digest: bool = False) -> DataFrame:
-    """docs with n_words and n_removed, and in the text, where words are removed, the kept words joined by a space; with digest, doc_id and the kept words' SHA-256 alone."""
+    """docs with n_words and n_removed, and in the text, where words are removed, the kept words joined by a space; with digest, doc_id and the kept words' SHA-256 alone. Columns of the names used are replaced."""
     prepare(docs.sparkSession)
     rows = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = rows.select("doc_id", "text") if digest else rows.drop("n_words", "n_removed")
+    rows = rows.select("doc_id", "text") if digest else rows.drop("n_words", "n_removed", X.BUCKET)
     slots = parts(docs)
     dealt = X.bucketed(rows, slots)
     shared = X.answered(dealt.groupBy("_bucket").applyInArrow(_anchors(slots), X.SENT))
