@@ -3,7 +3,7 @@
 Two documents link when their sets of SHINGLE-word shingles have a Jaccard likeness of at least THRESHOLD percent; the
 result is each document's component. Equal sets are one set from here on.
 
-1. Tokens are ordered by hash. Sets that link share at least L of the first n - ceil(t n) + L tokens of both, for any
+1. Tokens are ordered by hash (in step 3, the most frequent ones last). Sets that link share at least L of the first n - ceil(t n) + L tokens of both, for any
    L; with L a share of n, a set most of whose first tokens no other document has among its own is alone. This leaves
    the few sets that could link.
 2. Those are parted into groups of similar ones by their smallest token, a large group at random into cells of about
@@ -36,6 +36,8 @@ from impulsia.llm.components import components
 SHINGLE, THRESHOLD = 5, 80
 #: Sets of a cell.
 CELL = 64
+#: The most frequent tokens, so many at most, come last in step 3; counted are those that LOCAL sets of a partition have.
+FREQUENT, LOCAL = 1 << 16, 4
 #: Of a set's tokens, the share that step 1 looks at beyond those that a link must touch, in percent.
 EXTRA = 30
 
@@ -178,15 +180,35 @@ def _open(queries: pa.Table, members: pa.Table) -> pa.Table:
     return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
 
 
-def _prefixes(batches):
-    """The tokens of each set's prefix, within which sets that link share one."""
-    for batch in batches:
-        sets = [np.frombuffer(b, np.uint64) for b in batch.column(batch.schema.get_field_index("tokens")).to_pylist()]
-        count = np.array([prefix_length(len(s)) for s in sets], np.int64)
-        tokens = np.concatenate([np.empty(0, np.uint64), *(s[:c] for s, c in zip(sets, count, strict=True))])
-        row = pa.array(np.repeat(np.arange(len(sets)), count))
-        rest = [batch.column(batch.schema.get_field_index(c)).take(row) for c in ("set_id", "comp", "n", "part")]
-        yield pa.RecordBatch.from_arrays([pa.array(K.signed(tokens), pa.int64()), *rest], names=["token", "set_id", "comp", "n", "part"])
+def _frequent(batches):
+    """The tokens that at least LOCAL sets of a partition have, with their number."""
+    flat = [np.frombuffer(b, np.uint64) for batch in batches for b in batch.column(0).to_pylist()]
+    found, times = np.unique(np.concatenate([np.empty(0, np.uint64), *flat]), return_counts=True)
+    keep = times >= LOCAL
+    yield pa.RecordBatch.from_arrays([pa.array(K.signed(found[keep]), pa.int64()), pa.array(times[keep], pa.int64())], names=["token", "times"])
+
+
+def _prefixes(last):
+    """The tokens of each set's prefix, within which sets that link share one. last: tokens that come last, and in which order."""
+
+    def cut(batches):
+        late, rank = last.value
+        for batch in batches:
+            sets = [np.frombuffer(b, np.uint64) for b in batch.column(batch.schema.get_field_index("tokens")).to_pylist()]
+            n = np.array([len(s) for s in sets], np.int64)
+            flat = np.concatenate([np.empty(0, np.uint64), *sets])
+            text = np.repeat(np.arange(len(sets)), n)
+            order = np.zeros(len(flat), np.int64)
+            if len(late):
+                at = np.minimum(np.searchsorted(late, flat), len(late) - 1)
+                order = np.where(late[at] == flat, rank[at], 0)
+            flat = flat[np.lexsort((flat, order, text))]
+            count = prefix_length(n)
+            at, row = _first(flat, np.concatenate([[0], np.cumsum(n)]), count)
+            rest = [batch.column(batch.schema.get_field_index(c)).take(pa.array(row)) for c in ("set_id", "comp", "n", "part")]
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(flat[at]), pa.int64()), *rest], names=["token", "set_id", "comp", "n", "part"])
+
+    return cut
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -224,7 +246,14 @@ def components_of_sets(candidates: DataFrame) -> DataFrame:
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where(f"size > {CELL}")
     part = F.when(F.col("size").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("set_id"), F.ceil(F.col("size") / F.lit(CELL)))).cast("int")
     grouped = comps.join(sizes, "comp", "left").select("set_id", "n", "tokens", "comp", part.alias("part"))
-    tokens = grouped.mapInArrow(_prefixes, "token long, set_id long, comp long, n long, part int")
+    # Any one order of tokens is right; with frequent ones last, sets that share a common passage alone don't meet.
+    often = comps.select("tokens").mapInArrow(_frequent, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    often = often.orderBy(F.desc("times"), "token").limit(FREQUENT).collect()
+    late = np.array([r["token"] for r in often], np.int64).view(np.uint64)
+    rank = np.arange(len(late), 0, -1)
+    order = np.argsort(late)
+    last = comps.sparkSession.sparkContext.broadcast((late[order], rank[order]))
+    tokens = grouped.mapInArrow(_prefixes(last), "token long, set_id long, comp long, n long, part int")
     contested = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     tokens = written(tokens.join(contested, "token"), "tokens")
     matrix = tokens.groupBy("token", F.col("comp").alias("g_comp"), F.col("part").alias("g_part")).agg(F.min("n").alias("g_least"), F.max("n").alias("g_most"))
