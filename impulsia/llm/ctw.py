@@ -183,7 +183,7 @@ def _weights(keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: tuple[np.n
 
 
 def place(depth: int, keys: np.ndarray) -> np.ndarray:
-    return (K.mix(keys + U(depth) * U(0x9E3779B97F4A7C15)) >> U(64 - SLOTS[depth])).astype(np.int64)
+    return (K.mix(keys + U(depth * 0x9E3779B97F4A7C15 % (1 << 64))) >> U(64 - SLOTS[depth])).astype(np.int64)
 
 
 NODES = "depth int, part int, places binary, sums binary"
