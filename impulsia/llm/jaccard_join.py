@@ -10,9 +10,9 @@ result is each document's component. Equal sets are one set from here on.
    CELL, each with the group's hub (its smallest set id). A cell stores its token union; a member is compared with the
    members of its own cell, and each cell's local components are found at once. What links to the hub is in one
    component across all cells.
-3. For the links that remain, sets are queries against the groups of other components: the token-group matrix, over
-   the tokens of prefixes, says which groups may hold a link; a group is opened only if the query's overlap with the
-   group's union reaches t n; members are then compared exactly. Pairs inside a component are never looked at.
+3. For the links that remain, sets are queries against the cells that hold members of other components: the
+   token-group matrix, over the tokens of prefixes, says which cells may hold a link; a cell is opened only if the
+   query's overlap with its union reaches t n; members are then compared exactly.
 
 A null or empty text, or one without words, has an empty set and links with nothing; a text of fewer words than a
 shingle has its whole sequence as its set. A null id is a member like any other but never the smallest. Repeated rows
@@ -205,8 +205,8 @@ def _prefixes(last):
             flat = flat[np.lexsort((flat, order, text))]
             count = prefix_length(n)
             at, row = _first(flat, np.concatenate([[0], np.cumsum(n)]), count)
-            rest = [batch.column(batch.schema.get_field_index(c)).take(pa.array(row)) for c in ("set_id", "comp", "n", "part")]
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(flat[at]), pa.int64()), *rest], names=["token", "set_id", "comp", "n", "part"])
+            rest = [batch.column(batch.schema.get_field_index(c)).take(pa.array(row)) for c in ("set_id", "comp", "n", "hub", "cell", "size")]
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(flat[at]), pa.int64()), *rest], names=["token", "set_id", "comp", "n", "hub", "cell", "size"])
 
     return cut
 
@@ -235,17 +235,18 @@ def components_of_sets(candidates: DataFrame) -> DataFrame:
     sets = written(sets.withColumn("least", F.substring("tokens", 1, 8)), "candidates")
     groups = sets.groupBy("least").agg(F.min("set_id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     cells = F.ceil(F.col("size") / F.lit(CELL)).cast("int")
-    placed = sets.join(groups.select("least", "hub", cells.alias("cells")), "least")
-    others = placed.where("set_id <> hub").select("hub", F.pmod(F.xxhash64("set_id"), F.col("cells")).cast("int").alias("cell"), "set_id", "tokens")
-    hubs = placed.where("set_id = hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "set_id", "tokens")
-    local = others.unionByName(hubs)
-    first = local.groupBy("hub", "cell").applyInArrow(_local, "set_id long, comp long")
-    comps = written(sets.join(first, "set_id", "left").select("set_id", "n", "tokens", F.coalesce("comp", "set_id").alias("comp")), "comps")
-
-    # Groups are the parts of components; the matrix has a row for each token and group.
-    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where(f"size > {CELL}")
-    part = F.when(F.col("size").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("set_id"), F.ceil(F.col("size") / F.lit(CELL)))).cast("int")
-    grouped = comps.join(sizes, "comp", "left").select("set_id", "n", "tokens", "comp", part.alias("part"))
+    placed = sets.join(groups.select("least", "hub", cells.alias("cells")), "least", "left")
+    cell = F.when(F.col("set_id") == F.col("hub"), 0).otherwise(F.coalesce(F.pmod(F.xxhash64("set_id"), F.col("cells")), F.lit(0))).cast("int")
+    placed = placed.select("set_id", "n", "tokens", F.coalesce("hub", "set_id").alias("hub"), cell.alias("cell"), "cells")
+    others = placed.where("cells IS NOT NULL AND set_id <> hub").select("hub", "cell", "set_id", "tokens")
+    hubs = placed.where("cells IS NOT NULL AND set_id = hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "set_id", "tokens")
+    first = others.unionByName(hubs).groupBy("hub", "cell").applyInArrow(_local, "set_id long, comp long")
+    comps = written(placed.join(first, "set_id", "left").select("set_id", "n", "tokens", "hub", "cell", F.coalesce("comp", "set_id").alias("comp")), "comps")
+
+    # The matrix has a row for each token and cell; of two sets, the one of the smaller component (of equals, of the
+    # smaller name) asks the other's cell.
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    grouped = comps.join(sizes, "comp", "left").select("set_id", "n", "tokens", "comp", "hub", "cell", F.coalesce("size", F.lit(1)).alias("size"))
     # Any one order of tokens is right; with frequent ones last, sets that share a common passage alone don't meet.
     often = comps.select("tokens").mapInArrow(_frequent, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
     often = often.orderBy(F.desc("times"), "token").limit(FREQUENT).collect()
@@ -253,17 +254,17 @@ def components_of_sets(candidates: DataFrame) -> DataFrame:
     rank = np.arange(len(late), 0, -1)
     order = np.argsort(late)
     last = comps.sparkSession.sparkContext.broadcast((late[order], rank[order]))
-    tokens = grouped.mapInArrow(_prefixes(last), "token long, set_id long, comp long, n long, part int")
+    tokens = grouped.mapInArrow(_prefixes(last), "token long, set_id long, comp long, n long, hub long, cell int, size long")
     contested = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     tokens = written(tokens.join(contested, "token"), "tokens")
-    matrix = tokens.groupBy("token", F.col("comp").alias("g_comp"), F.col("part").alias("g_part")).agg(F.min("n").alias("g_least"), F.max("n").alias("g_most"))
-    fits = (F.col("g_comp") != F.col("comp")) & (100 * F.col("g_most") >= THRESHOLD * F.col("n")) & (THRESHOLD * F.col("g_least") <= 100 * F.col("n"))
-    # Of two components, the sets of one ask: the one of the smaller name.
-    pairs = tokens.join(matrix, "token").where(fits & (F.col("comp") < F.col("g_comp"))).select("set_id", "g_comp", "g_part").distinct()
+    rank = F.struct("size", "comp")
+    matrix = tokens.groupBy("token", F.col("hub").alias("g_hub"), F.col("cell").alias("g_cell")).agg(F.min("n").alias("g_least"), F.max("n").alias("g_most"), F.max(rank).alias("g_rank"))
+    fits = (100 * F.col("g_most") >= THRESHOLD * F.col("n")) & (THRESHOLD * F.col("g_least") <= 100 * F.col("n"))
+    pairs = tokens.join(matrix, "token").where(fits & (F.col("g_rank") > rank)).select("set_id", "g_hub", "g_cell").distinct()
     pairs = written(pairs, "pairs")
-    asked = pairs.join(grouped.select("set_id", F.col("comp").alias("q_comp"), F.col("tokens").alias("q_tokens")), "set_id").select("g_comp", "g_part", "q_comp", "q_tokens")
-    opened = grouped.join(pairs.select(F.col("g_comp").alias("comp"), F.col("g_part").alias("part")).distinct(), ["comp", "part"], "left_semi")
-    edges = asked.groupBy("g_comp", "g_part").cogroup(opened.select(F.col("comp").alias("g_comp"), F.col("part").alias("g_part"), "comp", "tokens").groupBy("g_comp", "g_part")).applyInArrow(_open, "a long, b long")
+    asked = pairs.join(grouped.select("set_id", F.col("comp").alias("q_comp"), F.col("tokens").alias("q_tokens")), "set_id").select("g_hub", "g_cell", "q_comp", "q_tokens")
+    opened = grouped.select(F.col("hub").alias("g_hub"), F.col("cell").alias("g_cell"), "comp", "tokens").join(pairs.select("g_hub", "g_cell").distinct(), ["g_hub", "g_cell"], "left_semi")
+    edges = asked.groupBy("g_hub", "g_cell").cogroup(opened.groupBy("g_hub", "g_cell")).applyInArrow(_open, "a long, b long")
     merged = components(edges.distinct())
     named = comps.select("set_id", "comp").join(merged.select(F.col("node").alias("comp"), "root"), "comp", "left")
     return named.select("set_id", F.coalesce("root", "comp").alias("comp"))
