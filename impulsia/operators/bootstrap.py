@@ -295,7 +295,8 @@ def recentred(draws: DataFrame, point: DataFrame, keys: Sequence[str], wide: flo
     centre: Column = F.col("median")
     if order_statistic:
         middle = draws.groupBy(*keys).agg(F.sort_array(F.collect_list("value")).alias("_v"))
-        middle = middle.select(*keys, F.element_at("_v", F.floor(F.size("_v") / 2).cast("int") + 1).alias("_mid"), F.assert_true(F.size("_v") >= 10, F.lit("too few valid replications")).alias("_ok"))
+        mid = F.element_at("_v", F.floor(F.size("_v") / 2).cast("int") + 1)
+        middle = middle.select(*keys, F.when(F.size("_v") >= 10, mid).otherwise(F.raise_error(F.lit("too few valid replications")).cast("double")).alias("_mid"))
         found, centre = found.join(middle, list(keys)), F.col("_mid")
     found = found.join(point.select(*keys, F.col("value").alias("point")), list(keys))
     shift = F.col("point") - centre
