@@ -440,8 +440,12 @@ def invertibility_test(spark, sf):
     return rounded(frame(spark, [(float(r["f"]), float(r["relevance"]), int(r["df"][0]), int(r["df"][1]))], "f double, relevance double, d1 int, d2 int"))
 
 
-@query()
+INVERT = Q.ols("inw", "czf", ["zc"], ["u1", "u2", "u1f", "u2f"]), Q.ols("inn", "czf", ["zc"], ["u1", "u2"]), "ft AS (SELECT ((k.e_zc_zc - w.e_zc_zc) / 2) / (w.e_zc_zc / (w.n - 5)) AS f, w.n - 5 AS d2 FROM inw_b w, inn_b k)"
+
+
+@query(base_z(*CLEAN, CZ, *INVERT, select="SELECT " + out("f", "(1 + 2 * f / d2) ** (-d2 / 2.0) as pval", digits=6) + " FROM ft"))
 def invertibility_pvalue(spark, sf):
+    """With two numerator degrees of freedom, the F law's tail is a power."""
     _, u, z = _cleaned(spark, sf)
     r = I.invertibility(z, u, 1)
     return rounded(frame(spark, [(float(r["f"]), float(r["pval"]))], "f double, pval double"), 6)
@@ -792,21 +796,57 @@ def boot_hetero(spark, sf):
     return rounded(B.recentred(draws, point, ["variable", "horizon"], order_statistic=True), 2)
 
 
-@query()
+def _impulses(n: str, s: str) -> str:
+    """The unit-normalised shock by group and time, from residuals and covariances of n and impact vectors (1, s2) of s."""
+    return f"(SELECT u.g, t, s2, (u1 * (s22 - s12 * s2) + u2 * (s2 * s11 - s12)) / (s22 - 2 * s2 * s12 + s2 * s2 * s11) AS e FROM {n}_u u JOIN {n}_v USING (g) JOIN {s} USING (g))"
+
+
+def _histories(n: str, s: str, ma: str) -> str:
+    return " UNION ALL ".join(f"SELECT e.g, 'y{i}' AS variable, e.t + w.h - 2 AS horizon, sum((f{i}1 + f{i}2 * s2) * e.e) AS value FROM {_impulses(n, s)} e JOIN {ma}_w w ON w.g = e.g WHERE e.t + w.h <= (SELECT max(t) FROM s) GROUP BY ALL" for i in (1, 2))
+
+
+@query(
+    base_z(UZ, IVS, *BLOCKED, SIM, BV, *BUZ, Q.var1("bl", "sm", 80), VL, "iv0 AS (SELECT 0::BIGINT AS g, s2 FROM iv)", f"hb AS ({_histories('b', 'bi', 'bl')})", f"hp AS ({_histories('v', 'iv0', 'vl')})",
+           "qt AS (SELECT variable, horizon, quantile_cont(value, 0.05) AS lower, quantile_cont(value, 0.95) AS upper, quantile_cont(value, 0.16) AS lower2, quantile_cont(value, 0.84) AS upper2, quantile_cont(value, 0.5) AS median, avg(value) AS mean FROM hb GROUP BY ALL)",
+           select="SELECT variable, horizon, " + out("hp.value as point", *(f"{c} + hp.value - median as {c}" for c in ("lower", "upper", "lower2", "upper2")), "median", "mean", digits=2) + " FROM qt JOIN hp USING (variable, horizon)")
+)
 def boot_hd_iv(spark, sf):
     v, s = _iv(spark, sf)
     draws = B.replicate(spark, _block_plan(spark, sf, policy=0), REPS, B.by_history)
     return rounded(B.recentred(draws, R.response(spark, D.historical_iv(v, s), NAMES), ["variable", "horizon"]), 2)
 
 
-@query()
+@query(
+    base_z(*WILD, SIM, BV, "zb AS (SELECT k.g, z.t, CASE WHEN z.t = 1 OR dr.u % 2 = 0 THEN z.z ELSE -z.z END AS z FROM z CROSS JOIN (SELECT DISTINCT g FROM rs) k LEFT JOIN dr ON dr.b = k.g AND dr.i + 2 = z.t)",
+           "cw0 AS (SELECT sm.g, sm.t, z AS zz, lag(z) OVER w AS z_l1, lag(y1) OVER w AS y1_l1, lag(y2) OVER w AS y2_l1 FROM sm JOIN zb USING (g, t) WINDOW w AS (PARTITION BY sm.g ORDER BY sm.t))",
+           Q.ols("cw", "cw0", ["zz"], ["z_l1", "y1_l1", "y2_l1"]),
+           "ws AS (SELECT c.g, sum(u_zz * u2) / sum(u_zz * u1) AS s2 FROM cw_u c JOIN b_u u ON u.g = c.g AND u.t = c.t GROUP BY c.g)",
+           "wz AS (SELECT g, s2, sqrt((s22 - 2 * s2 * s12 + s2 * s2 * s11) / (s11 * s22 - s12 * s12)) AS size FROM ws JOIN b_v USING (g))",
+           "wr AS (SELECT g, 'y1' AS variable, h AS horizon, (f11 + f12 * s2) / size AS value FROM b_w JOIN wz USING (g) UNION ALL SELECT g, 'y2', h, sum((f21 + f22 * s2) / size) OVER (PARTITION BY g ORDER BY h ROWS UNBOUNDED PRECEDING) FROM b_w JOIN wz USING (g))",
+           select=Q.bands("wr", KEY1, 2))
+)
 def boot_iv_wild(spark, sf):
     z = z_array(spark, sf)
     q = _plan(spark, sf, scheme="wild", z=z[1:], extra={"first": z[:1], "cumulate": [1]})
     return _one(spark, q, B.by_clean_instrument, 2)
 
 
-@query()
+@query(
+    base_z(*CLEAN, CZ, INVERT[0], f"dq AS ({Q.draws(7, REPS, '(SELECT n::BIGINT - 1 FROM v_v)')})",
+           "rq AS (SELECT dq.b AS g, dq.i + 2 AS t, r.u1 AS e1, r.u2 AS e2, r.u_zc AS nz FROM dq JOIN inw_u r ON r.t = 2 + dq.u % (SELECT n::BIGINT - 1 FROM v_v) UNION ALL SELECT k.b, v_u.t, u1, u2, NULL FROM v_u, (SELECT DISTINCT b FROM dq) k WHERE v_u.t = (SELECT max(t) FROM s))",
+           "rs AS (SELECT g, t, e1, e2 FROM rq)", SIM, BV,
+           "ri AS (SELECT rq.g, rq.t, k_zc + zc_u1 * e1 + zc_u2 * e2 + zc_u1f * lead(e1) OVER w + zc_u2f * lead(e2) OVER w + nz AS z FROM rq, inw_b WINDOW w AS (PARTITION BY rq.g ORDER BY rq.t))",
+           "rz AS (SELECT g, t, z FROM ri WHERE z IS NOT NULL UNION ALL SELECT k.b, 1, z.z FROM z, (SELECT DISTINCT b FROM dq) k WHERE z.t = 1)",
+           "rc0 AS (SELECT sm.g, sm.t, z AS zz, lag(z) OVER w AS z_l1, lag(y1) OVER w AS y1_l1, lag(y2) OVER w AS y2_l1 FROM sm JOIN rz USING (g, t) WINDOW w AS (PARTITION BY sm.g ORDER BY sm.t))",
+           Q.ols("rc", "rc0", ["zz"], ["z_l1", "y1_l1", "y2_l1"]),
+           "rp0 AS (SELECT c.g, c.t, u1, u2, u_zz AS zc, lag(u_zz) OVER (PARTITION BY c.g ORDER BY c.t) AS zc_l1 FROM rc_u c JOIN b_u u ON u.g = c.g AND u.t = c.t)",
+           Q.ols("rp", "rp0", ["u1", "u2"], ["zc", "zc_l1"]),
+           "ra AS (SELECT g, u1_zc AS p01, u2_zc AS p02, u1_zc_l1 AS p11, u2_zc_l1 AS p12, sqrt(((u1_zc ** 2 + u1_zc_l1 ** 2) * s22 - 2 * (u1_zc * u2_zc + u1_zc_l1 * u2_zc_l1) * s12 + (u2_zc ** 2 + u2_zc_l1 ** 2) * s11) / (s11 * s22 - s12 * s12)) AS a FROM rp_b JOIN b_v USING (g))",
+           "rr AS (SELECT w.g, w.h, (w.f11 * p01 + w.f12 * p02 + coalesce(l.f11 * p11 + l.f12 * p12, 0)) / a AS r1, (w.f21 * p01 + w.f22 * p02 + coalesce(l.f21 * p11 + l.f22 * p12, 0)) / a AS r2 FROM b_w w JOIN ra USING (g) LEFT JOIN b_w l ON l.g = w.g AND l.h = w.h - 1)",
+           "rg AS (SELECT g, CASE WHEN r1 < 0 THEN -1 ELSE 1 END AS sg FROM rr WHERE h = 0)",
+           "ro AS (SELECT g, 'y1' AS variable, h AS horizon, r1 * sg AS value FROM rr JOIN rg USING (g) UNION ALL SELECT g, 'y2', h, r2 * sg FROM rr JOIN rg USING (g))",
+           select=Q.bands("ro", KEY1, 2))
+)
 def boot_iv_recover(spark, sf):
     _, u, z = _cleaned(spark, sf)
     r = I.invertibility(z, u, 1)
