@@ -6,10 +6,10 @@ result is each document's component. Equal sets are one set from here on.
 1. Tokens are ordered by hash (in step 3, the most frequent ones last). Sets that link share at least L of the first n - ceil(t n) + L tokens of both, for any
    L; with L a share of n, a set most of whose first tokens no other document has among its own is alone. This leaves
    the few sets that could link.
-2. Those are parted into groups of similar ones by their smallest token, a large group at random into cells of about
-   CELL, each with the group's hub (its smallest set id). A cell stores its token union; a member is compared with the
-   members of its own cell, and each cell's local components are found at once. What links to the hub is in one
-   component across all cells.
+2. Those are parted into groups of similar ones by their smallest token, a large group at random, twice over, into
+   cells of about CELL, each with the group's hub (its smallest set id). A cell stores its token union; a member is
+   compared with the members of its own cells, and each cell's local components are found at once. Components that
+   share a set, as most of a large group do, are one.
 3. For the links that remain, sets are queries against the cells that hold members of other components: the
    token-group matrix, over the tokens of prefixes, says which cells may hold a link; a cell is opened only if the
    query's overlap with its union reaches t n; members are then compared exactly.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from impulsia.llm import exchange as X
 from impulsia.llm import kernels as K
-from impulsia.llm.common import parts, prepare, written
+from impulsia.llm.common import parts, prepare, resident, written
 from impulsia.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 80
@@ -75,6 +75,7 @@ def _looked_at(n: np.ndarray) -> np.ndarray:
 
 def _send(slots: int):
     def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        resident()
         seen: set[int] = set()
         found = []
         for _, tokens, bounds in sets_of(table):
@@ -238,9 +239,16 @@ def components_of_sets(candidates: DataFrame) -> DataFrame:
     placed = sets.join(groups.select("least", "hub", cells.alias("cells")), "least", "left")
     cell = F.when(F.col("set_id") == F.col("hub"), 0).otherwise(F.coalesce(F.pmod(F.xxhash64("set_id"), F.col("cells")), F.lit(0))).cast("int")
     placed = placed.select("set_id", "n", "tokens", F.coalesce("hub", "set_id").alias("hub"), cell.alias("cell"), "cells")
-    others = placed.where("cells IS NOT NULL AND set_id <> hub").select("hub", "cell", "set_id", "tokens")
-    hubs = placed.where("cells IS NOT NULL AND set_id = hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "set_id", "tokens")
-    first = others.unionByName(hubs).groupBy("hub", "cell").applyInArrow(_local, "set_id long, comp long")
+    # A set of a large group goes to a cell of either of two deals; where its local components meet, they are one.
+    again = F.when(F.col("cells") > 1, F.col("cells") + F.pmod(F.xxhash64("set_id", F.lit("again")), F.col("cells"))).cast("int")
+    deals = F.explode(F.filter(F.array("cell", again), lambda c: c.isNotNull())).alias("cell")
+    others = placed.where("cells IS NOT NULL AND set_id <> hub").select("hub", deals, "set_id", "tokens")
+    last = F.when(F.col("cells") > 1, 2 * F.col("cells")).otherwise(1).cast("int") - 1
+    hubs = placed.where("cells IS NOT NULL AND set_id = hub").select("hub", F.explode(F.sequence(F.lit(0), last)).alias("cell"), "set_id", "tokens")
+    local = written(others.unionByName(hubs).groupBy("hub", "cell").applyInArrow(_local, "set_id long, comp long"), "local")
+    first = local.groupBy("set_id").agg(F.min("comp").alias("comp"), F.max("comp").alias("other"))
+    met = components(first.where("comp <> other").select(F.col("comp").alias("a"), F.col("other").alias("b")).distinct())
+    first = first.join(met.select(F.col("node").alias("comp"), "root"), "comp", "left").select("set_id", F.coalesce("root", "comp").alias("comp"))
     comps = written(placed.join(first, "set_id", "left").select("set_id", "n", "tokens", "hub", "cell", F.coalesce("comp", "set_id").alias("comp")), "comps")
 
     # The matrix has a row for each token and cell; of two sets, the one of the smaller component (of equals, of the
