@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impulsia.llm import kernels as K
-from impulsia.llm.common import prepare
+from impulsia.llm.common import prepare, resident
 
 #: Words that a worker remembers at most, and how many it keeps when it forgets the rest.
 CACHE, CORE = 1 << 19, 1 << 17
@@ -361,15 +361,9 @@ class Codec:
         return [raw[lo + 1 : hi] for lo, hi in zip(at[:-1], at[1:], strict=True)]
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def codec(description: Broadcast) -> Codec:
     text = description.value
-    key = hash(text)
-    if key not in _codecs:
-        _codecs[key] = Codec(text)
-    return _codecs[key]
+    return resident(("bytes", hash(text)), lambda: Codec(text))
 
 
 def shared_description(spark: SparkSession, path: str) -> Broadcast:

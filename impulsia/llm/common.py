@@ -10,12 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that numpy kernels hold at a time, beyond which a batch is cut between documents.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 #: Words of a text: maximal runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_resident: dict = {}
+
+
+def resident(key=None, make=None):
+    """A large object that a worker keeps between tasks, one at a time: asking for another, or for none, lets go of it."""
+    if key not in _resident:
+        _resident.clear()
+        if make is not None:
+            _resident[key] = make()
+    return _resident.get(key)
+
+
 def prepare(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it."""
     root = str(Path(__file__).resolve().parents[2])

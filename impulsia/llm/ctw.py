@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from impulsia.llm import exchange as X
 from impulsia.llm import kernels as K
-from impulsia.llm.common import learns, parts, prepare, written
+from impulsia.llm.common import learns, parts, prepare, resident, written
 
 DEPTH = 5
 #: Bits of the number of hashed places by depth, from two context bytes on.
@@ -108,6 +108,7 @@ def _packed(kind: int, slot: np.ndarray, keys: np.ndarray, counts: np.ndarray, s
 
 def _count(slots: int):
     def count(batches):
+        resident()
         words, cells = Tally(), Tally()
         for batch in batches:
             for _, _, data, offsets in K.chunks(batch.column(0)):
@@ -332,15 +333,9 @@ def _answer(asked: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["_bucket", "keys", "counts"])
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def _scores(shared, n: int, v: int):
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if shared.value["id"] not in _scorers:
-            _scorers.clear()
-            _scorers[shared.value["id"]] = Scorer(shared.value["tree"])
-        scorer = _scorers[shared.value["id"]]
+        scorer = resident(("tree", shared.value["id"]), lambda: Scorer(shared.value["tree"]))
         keys, counts = _gathered(answers)
         unknown = math.log10(0.5)
         logs = np.log10(counts + 0.5)

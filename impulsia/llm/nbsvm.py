@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impulsia.llm import kernels as K
-from impulsia.llm.common import learns, prepare
+from impulsia.llm.common import learns, prepare, resident
 
 BUCKETS = 1 << 20
 SIZES = (3, 4)
@@ -119,6 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
 
     def extract(batches):
+        resident()
         for batch in batches:
             for lo, hi, data, offsets in K.chunks(batch.column(1)):
                 buckets, bounds = features(data, offsets)
@@ -153,6 +154,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", column: str = "score
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def add(batches):
+        resident()
         own = shared.value
         a, b = own["curve"]
         prior = np.log(own["share"] / (1 - own["share"]))

@@ -15,6 +15,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from bisect import bisect_left, bisect_right
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from impulsia.llm import kernels as K
 from impulsia.llm.bpe import Merger, WordCache, byte_letters, ranges, shared_description
-from impulsia.llm.common import written
+from impulsia.llm.common import resident, written
 
 LIMIT = 2048
 #: Steps of the search beyond its first descent, and fillings tried at a step.
@@ -104,17 +105,10 @@ class WordIds:
         return ids, np.concatenate([[0], np.cumsum(lengths)])[counts]
 
 
-_tokenizers: dict[int, WordIds] = {}
-
-
 def _word_ids(description: Broadcast) -> WordIds:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     text = description.value
-    if hash(text) not in _tokenizers:
-        _tokenizers[hash(text)] = WordIds(text)
-    return _tokenizers[hash(text)]
+    return resident(("words", hash(text)), lambda: WordIds(text))
 
 
 def pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:

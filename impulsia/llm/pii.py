@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from impulsia.llm.common import prepare
+from impulsia.llm.common import prepare, resident
 
 ROUNDS = 8
 #: The key of the registered query; production passes its own.
@@ -31,16 +31,18 @@ DEMO_KEY = b"impulsia pseudonyms"
 FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 KINDS = ["email", "phone", "card", "ip", "iban", "ssn", "date", "secret"]
 
-_MAIL = r"(?P<email>[\w.+-]*\w@(?:[\w-]+\.)+[A-Za-z]{2,})"
+_MONTHS = [datetime.date(2000, m, 1).strftime("%B") for m in range(1, 13)]
+_MONTH = "(?:" + "|".join(_MONTHS) + ")"
+_MAIL = r"(?P<email>(?<![\w.+-])[\w.+-]{0,63}\w@(?:[\w-]+\.)+[A-Za-z]{2,})"
 _REST = (
     r"(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<secret>(?<!\w)(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w))"
-    r"|(?P<phone>\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ -]?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?![0-9]|\.[0-9])){2,5})"
-    r"|(?P<date>(?<![\w.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\g<{1}>[0-9]{4})(?![\w-]|[.][0-9]))"
+    r"|(?P<phone>\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ -]?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?![0-9]|\.[0-9])){2,5}|(?<![\w.+)-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![\w-]|\.[0-9]))"
+    r"|(?P<date>(?<![\w.-])(?:[0-9]{4}(?P<mark>[-/.])[0-9]{2}(?P=mark)[0-9]{2}|[0-9]{2}(?P<cut>[./-])[0-9]{2}(?P=cut)[0-9]{4}|[0-9]{1,2} " + _MONTH + r" [0-9]{4}|" + _MONTH + r" [0-9]{1,2}, [0-9]{4})(?![\w-]|[.][0-9]))"
     r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?\w))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.])[0-9](?:[ -]?[0-9]){12,18}(?!\w))"
-).replace(r"\g<{1}>", "(?P=cut)").replace("([./])", "(?P<cut>[./])")
+)
 _WITH_MAIL, _WITHOUT = re.compile(f"{_MAIL}|{_REST}"), re.compile(_REST)
 _DIGIT = re.compile("[0-9]")
 
@@ -122,9 +124,9 @@ def _email(f: Permutation, s: str) -> str | None:
 
 
 def _phone(f: Permutation, s: str) -> str | None:
-    code = re.match(r"\+[0-9]{1,3}", s)[0]
+    code = (re.match(r"\+[0-9]{1,3}", s) or [""])[0]
     own = _digits(s[len(code) :])
-    if not 7 <= len(own) or len(own) + len(code) - 1 > 15:
+    if not 7 <= len(own) <= 16 - len(code):
         return None
     return code + _filled(s[len(code) :], str(f(int(own), 10 ** len(own), "phone" + code)).zfill(len(own)))
 
@@ -168,18 +170,30 @@ def _ssn(f: Permutation, s: str) -> str | None:
     return _filled(s, f"{f(v, 10**9, 'ssn', _ssn_valid):09d}") if _ssn_valid(v) else None
 
 
+def _shapes(s: str) -> list[str]:
+    """How a date may be written; of two, the first that is a date holds."""
+    if s[0].isalpha():
+        return ["%B {d}, %Y"]
+    if " " in s:
+        return ["{d} %B %Y"]
+    if s[:4].isdigit():
+        return [f"%Y{s[4]}%m{s[4]}%d"]
+    return [f"%d{s[2]}%m{s[2]}%Y", f"%m{s[2]}%d{s[2]}%Y"]
+
+
 def _date(f: Permutation, s: str) -> str | None:
-    """Numbers parted by dots or slashes are day, month, year where that is a date, else month, day, year."""
-    for shape in ("%Y-%m-%d",) if "-" in s else (f"%d{s[2]}%m{s[2]}%Y", f"%m{s[2]}%d{s[2]}%Y"):
+    """Numbers parted by dots, dashes or slashes are day, month, year where that is a date, else month, day, year."""
+    for shape in _shapes(s):
         try:
-            day = datetime.datetime.strptime(s, shape).date().toordinal()
+            day = datetime.datetime.strptime(s, shape.replace("{d}", "%d")).date().toordinal()
         except ValueError:
             continue
         if not FIRST <= day <= LAST:
             return None
         # The order read is part of the format: a pseudonym of month, day, year must not read as day, month, year.
         ok = (lambda _: True) if not shape.startswith("%m") else lambda v: datetime.date.fromordinal(FIRST + v).day > 12
-        return datetime.date.fromordinal(FIRST + f(day - FIRST, LAST - FIRST + 1, "date" + shape, ok)).strftime(shape)
+        made = datetime.date.fromordinal(FIRST + f(day - FIRST, LAST - FIRST + 1, "date" + shape, ok))
+        return made.strftime(shape.replace("{d}", str(made.day)))
     return None
 
 
@@ -218,6 +232,7 @@ def pseudonymised(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     at = kept.columns.index(text)
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         f = Permutation(key)
         for batch in batches:
             made = [(None, {}) if t is None else pseudonymise(t, f) for t in batch.column(at).to_pylist()]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from impulsia.llm import exchange as X
 from impulsia.llm import kernels as K
-from impulsia.llm.common import parts, prepare
+from impulsia.llm.common import parts, prepare, resident
 
 SIZE = 13
 PERIOD, COVER = 7, (1, 2, 4)
@@ -62,6 +62,7 @@ class Words:
 
 def _anchors(slots: int):
     def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        resident()
         once, many = [], []
         for _, _, data, offsets in K.chunks(table.column("text")):
             hashes, _, text = Words(data, offsets).anchors()

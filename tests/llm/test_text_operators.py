@@ -231,3 +231,16 @@ def test_licences(spark):
     assert licences.scanned(df).count() == len(C.rows()) and licences.scanned(df.limit(0)).count() == 0
     plan = licences.scanned(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+@pytest.mark.parametrize("old", ["12 March 1990", "March 2, 1990", "1990/03/12", "12-03-1990", "(499) 555-6503", "499-555-6503", "+44 20 7946 0958"])
+def test_pii_knows_other_ways_to_write(old):
+    f = pii.Permutation(b"k")
+    made, counts = pii.pseudonymise(f"on {old}, x", f)
+    assert old not in made and sum(counts.values()) == 1 and made.endswith(", x")
+
+
+def test_pii_is_linear_in_long_runs():
+    f = pii.Permutation(b"k")
+    text = "q" * 200_000 + " a@b.example.org " + "1" * 100_000 + " " + "+1 " * 20_000
+    assert "a@b" not in pii.pseudonymise(text, f)[0]
