@@ -12,14 +12,16 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impulsia.functions import linalg as L
 from impulsia.operators.estimate import Var
+from impulsia.sources.tables import prepare
 
-DRAWS = "b long, variable string, shock string, horizon int, value double"
+#: A row a cell and batch, with the values of the batch's replications.
+DRAWS = "variable string, shock string, horizon int, b array<bigint>, values array<double>"
 #: Replications that a task holds at a time.
 BATCH = 32
 SCHEMES = ("residual", "wild", "block")
@@ -219,8 +221,8 @@ def _cumulated(irf: np.ndarray, q: Plan) -> np.ndarray:
 
 
 def _batches(frames, size: int):
-    for pdf in frames:
-        ids = pdf["b"].tolist()
+    for part in frames:
+        ids = part.column(0).to_pylist()
         for i in range(0, len(ids), size):
             yield ids[i : i + size]
 
@@ -231,29 +233,40 @@ def _range(spark: SparkSession, nboot: int) -> DataFrame:
 
 
 def replicate(spark: SparkSession, q: Plan, nboot: int, identify: Identify, draws: Callable[[Plan, Sequence[int]], Draw] = draw) -> DataFrame:
-    """b, variable, shock, horizon, value of every replication; shock is null where there is one only."""
+    """Every replication's values, packed: a row a cell (variable, shock, horizon) and batch; shock is null where there is one only. each() unpacks them."""
     cumulate = identify not in (by_clean_instrument, by_recovery)
+    prepare(spark)
 
-    def run(frames):
-        for ids in _batches(frames, BATCH):
+    def run(batches):
+        for ids in _batches(batches, BATCH):
             d = draws(q, ids)
             irf, ok = identify(q, d, *refit(q, d))
             irf, kept = (_cumulated(irf, q) if cumulate else irf)[ok], np.array(ids)[ok]
-            h, n = irf.shape[1:3]
+            if not len(kept):
+                continue
             several = irf.ndim == 4
-            k = len(q.names) if several else 1
-            size = len(kept)
-            yield pd.DataFrame(
-                {
-                    "b": np.repeat(kept, h * n * k),
-                    "variable": np.tile(np.repeat(q.names, k), size * h),
-                    "shock": np.tile(q.names, size * h * n) if several else np.full(size * h * n, None),
-                    "horizon": np.tile(np.repeat(np.arange(h, dtype=np.int32), n * k), size),
-                    "value": irf.reshape(-1),
-                }
+            names, cells, k = np.array(q.names), int(np.prod(irf.shape[1:])), len(q.names) if several else 1
+            values = np.ascontiguousarray(irf.reshape(len(kept), cells).T).reshape(-1)
+            at = np.arange(cells)
+            bounds = pa.array(np.arange(cells + 1) * len(kept), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(names[at // k % len(names)], pa.string()),
+                    pa.array(names[at % k], pa.string()) if several else pa.nulls(cells, pa.string()),
+                    pa.array(at // (k * len(names)), pa.int32()),
+                    pa.ListArray.from_arrays(bounds, pa.array(np.tile(kept, cells), pa.int64())),
+                    pa.ListArray.from_arrays(bounds, pa.array(values, pa.float64())),
+                ],
+                names=["variable", "shock", "horizon", "b", "values"],
             )
 
-    return _range(spark, nboot).mapInPandas(run, DRAWS)
+    return _range(spark, nboot).mapInArrow(run, DRAWS)
+
+
+def each(draws: DataFrame) -> DataFrame:
+    """b, variable, shock, horizon, value: a row a replication and cell."""
+    pairs = F.explode(F.arrays_zip("b", "values")).alias("_p")
+    return draws.select("variable", "shock", "horizon", pairs).select("_p.b", "variable", "shock", "horizon", F.col("_p.values").alias("value"))
 
 
 def mean_coefficients(spark: SparkSession, q: Plan, nboot: int) -> np.ndarray:
@@ -264,9 +277,11 @@ def mean_coefficients(spark: SparkSession, q: Plan, nboot: int) -> np.ndarray:
         for ids in _batches(frames, BATCH):
             total += refit(q, draw(q, ids))[1].sum(axis=0)
             count += len(ids)
-        yield pd.DataFrame({"i": np.arange(total.size), "total": total.reshape(-1), "count": count})
+        n = total.size
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int64()), pa.array(total.reshape(-1)), pa.array(np.full(n, count), pa.int64())], names=["i", "total", "count"])
 
-    sums = _range(spark, nboot).mapInPandas(run, "i long, total double, count long").groupBy("i").agg((F.sum("total") / F.sum("count")).alias("mean"))
+    prepare(spark)
+    sums = _range(spark, nboot).mapInArrow(run, "i long, total double, count long").groupBy("i").agg((F.sum("total") / F.sum("count")).alias("mean"))
     found = np.zeros(q.beta.size)
     for r in sums.collect():
         found[r["i"]] = r["mean"]
@@ -281,12 +296,24 @@ def corrected(spark: SparkSession, q: Plan, nboot: int) -> Plan:
     return dataclasses.replace(q, beta=beta)
 
 
+def _sorted(draws: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All values of each cell, ascending: as many as there are replications."""
+    return draws.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("values"))).alias("_v"))
+
+
+def _quantile(p: float) -> Column:
+    """Of the ascending values, with linear interpolation."""
+    at = (F.size("_v") - 1) * F.lit(p)
+    low = F.floor(at).cast("int")
+    a, b = F.element_at("_v", low + 1), F.element_at("_v", F.least(low + 2, F.size("_v")))
+    return a + (b - a) * (at - low)
+
+
 def bands(draws: DataFrame, keys: Sequence[str] = ("variable", "shock", "horizon"), wide: float = 90, narrow: float = 68) -> DataFrame:
     """lower, upper (wide), lower2, upper2 (narrow), median and mean by key, all of one pass."""
-    probs = [0.5 - wide / 200, 0.5 + wide / 200, 0.5 - narrow / 200, 0.5 + narrow / 200, 0.5]
-    found = draws.groupBy(*keys).agg(F.percentile("value", F.array(*map(F.lit, probs))).alias("_q"), F.avg("value").alias("mean"))
-    names = ["lower", "upper", "lower2", "upper2", "median"]
-    return found.select(*keys, *(F.col("_q")[i].alias(n) for i, n in enumerate(names)), "mean")
+    probs = {"lower": 0.5 - wide / 200, "upper": 0.5 + wide / 200, "lower2": 0.5 - narrow / 200, "upper2": 0.5 + narrow / 200, "median": 0.5}
+    mean = F.aggregate("_v", F.lit(0.0), lambda s, v: s + v) / F.size("_v")
+    return _sorted(draws, keys).select(*keys, *(_quantile(p).alias(n) for n, p in probs.items()), mean.alias("mean"))
 
 
 def recentred(draws: DataFrame, point: DataFrame, keys: Sequence[str], wide: float = 90, narrow: float = 68, order_statistic: bool = False) -> DataFrame:
@@ -294,10 +321,9 @@ def recentred(draws: DataFrame, point: DataFrame, keys: Sequence[str], wide: flo
     found = bands(draws, keys, wide, narrow)
     centre: Column = F.col("median")
     if order_statistic:
-        middle = draws.groupBy(*keys).agg(F.sort_array(F.collect_list("value")).alias("_v"))
         mid = F.element_at("_v", F.floor(F.size("_v") / 2).cast("int") + 1)
-        middle = middle.select(*keys, F.when(F.size("_v") >= 10, mid).otherwise(F.raise_error(F.lit("too few valid replications")).cast("double")).alias("_mid"))
-        found, centre = found.join(middle, list(keys)), F.col("_mid")
+        enough = F.when(F.size("_v") >= 10, mid).otherwise(F.raise_error(F.lit("too few valid replications")).cast("double"))
+        found, centre = found.join(_sorted(draws, keys).select(*keys, enough.alias("_mid")), list(keys)), F.col("_mid")
     found = found.join(point.select(*keys, F.col("value").alias("point")), list(keys))
     shift = F.col("point") - centre
     moved = [(F.col(c) + shift).alias(c) for c in ("lower", "upper", "lower2", "upper2")]

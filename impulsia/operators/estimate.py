@@ -10,12 +10,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from impulsia.functions import linalg as L
 from impulsia.operators.series import ordered
-from impulsia.sources.tables import frame
+from impulsia.sources.tables import frame, prepare
 
 
 def lag_matrix(series: DataFrame, names: Sequence[str], p: int, panel: Sequence[str] = ()) -> DataFrame:
@@ -29,16 +31,69 @@ def lag_names(names: Sequence[str], p: int) -> list[str]:
     return [f"{n}_l{k}" for k in range(1, p + 1) for n in names]
 
 
+#: Up to so many columns moments are aggregate expressions; beyond, blocks of rows become matrices in workers.
+NARROW = 20
+#: Partial moments that the driver merges at most.
+MERGED = 64
+
+
 def moments(df: DataFrame, names: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """Number of rows without a null, means, and covariances (divisor: rows)."""
+    rows = df.select(*names).dropna()
+    if len(names) > NARROW:
+        return _wide_moments(rows, len(names))
     k = len(names)
     cells = [F.covar_pop(names[i], names[j]) for i in range(k) for j in range(i + 1)]
-    row = df.dropna(subset=list(names)).agg(F.count(F.lit(1)), *(F.avg(n) for n in names), *cells).first()
+    row = rows.agg(F.count(F.lit(1)), *(F.avg(n) for n in names), *cells).first()
     cov = np.zeros((k, k))
     cov[np.tril_indices(k)] = [np.nan if v is None else v for v in row[1 + k :]]
     return row[0], np.array([np.nan if v is None else v for v in row[1 : 1 + k]], float), cov + np.tril(cov, -1).T
 
 
+def _merge(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Numbers, means and centred products of parts, as of the whole."""
+    n = sum(p[0] for p in parts)
+    mean = sum(p[0] * p[1] for p in parts) / n
+    return n, mean, sum(p[2] + p[0] * np.outer(p[1] - mean, p[1] - mean) for p in parts)
+
+
+_PARTIAL = "part int, n long, mean binary, product binary"
+
+
+def _packed(part: int, m: tuple[int, np.ndarray, np.ndarray]) -> list[pa.Array]:
+    return [pa.array([part], pa.int32()), pa.array([m[0]], pa.int64()), pa.array([m[1].tobytes()], pa.binary()), pa.array([m[2].tobytes()], pa.binary())]
+
+
+def _unpacked(rows) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    return [(n, np.frombuffer(a, float), np.frombuffer(b, float).reshape(int(len(b) ** 0.5 / 8**0.5), -1)) for n, a, b in rows]
+
+
+_FIELDS = ["part", "n", "mean", "product"]
+
+
+def _wide_moments(rows: DataFrame, k: int) -> tuple[int, np.ndarray, np.ndarray]:
+    prepare(rows.sparkSession)
+
+    def partial(batches):
+        found = []
+        for batch in batches:
+            if batch.num_rows:
+                x = np.column_stack([np.asarray(c.cast(pa.float64())) for c in batch.columns])
+                mean = x.mean(axis=0)
+                found.append((len(x), mean, (x - mean).T @ (x - mean)))
+        if found:
+            yield pa.RecordBatch.from_arrays(_packed(TaskContext.get().partitionId() % MERGED, _merge(found)), names=_FIELDS)
+
+    def merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return pa.table(_packed(key[0].as_py(), _merge(_unpacked(zip(*(table.column(c).to_pylist() for c in _FIELDS[1:]), strict=True)))), names=_FIELDS)
+
+    got = rows.mapInArrow(partial, _PARTIAL).groupBy("part").applyInArrow(merged, _PARTIAL).collect()
+    if not got:
+        return 0, np.full(k, np.nan), np.full((k, k), np.nan)
+    n, mean, product = _merge(_unpacked([(r["n"], bytes(r["mean"]), bytes(r["product"])) for r in sorted(got, key=lambda r: r["part"])]))
+    return n, mean, product / n
+
+
 @dataclass
 class Regression:
     """Coefficients of targets on regressors: rows [intercept if c] + regressors."""

@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from impulsia.functions import linalg as L
+from impulsia.sources.tables import prepare
 
 
 def panel_irf(series: DataFrame, panel: str, names: Sequence[str], p: int, horizon: int, c: int = 1) -> DataFrame:
     """panel, variable, shock, horizon, value of Cholesky responses; a panel of too few rows gives none. Each group is a panel's aggregated periods, so groups stay small however many facts or panels there are."""
     names = list(names)
+    prepare(series.sparkSession)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("t")[names].to_numpy(float)

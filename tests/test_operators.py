@@ -123,13 +123,13 @@ def test_bootstrap_is_the_same_on_any_partitions(spark, var, scheme, monkeypatch
 
 def test_bootstrap_identifications(spark, var):
     q = B.plan(var, 5, extra={"target": 0, "scale": (1, 2.0), "cumulate": [2]})
-    chol = B.replicate(spark, B.plan(var, 5), 12, B.by_cholesky)
+    chol = B.each(B.replicate(spark, B.plan(var, 5), 12, B.by_cholesky))
     assert chol.count() == 12 * 6 * 9 and chol.select("b").distinct().count() == 12
     for f in (B.by_long_run_max, B.by_max_share):
-        rows = B.replicate(spark, q, 8, f).where("horizon = 0 and variable = 'b'").collect()
+        rows = B.each(B.replicate(spark, q, 8, f)).where("horizon = 0 and variable = 'b'").collect()
         assert all(r["value"] == pytest.approx(2.0) for r in rows)
     bq = B.replicate(spark, dataclasses.replace(q, extra={"scale": (0, 2.0)}), 8, B.by_long_run)
-    assert all(r["value"] == pytest.approx(2.0) for r in bq.where("horizon = 0 and variable = 'a' and shock = 'a'").collect())
+    assert all(r["value"] == pytest.approx(2.0) for r in B.each(bq).where("horizon = 0 and variable = 'a' and shock = 'a'").collect())
     fixed = B.corrected(spark, B.plan(var, 5), 30)
     assert L.stable(fixed.beta, 3, 2, 1) and not np.allclose(fixed.beta, var.beta)
 
@@ -141,20 +141,20 @@ def test_bootstrap_with_an_instrument(spark, var):
     rows = np.arange(20, len(u))
     q = B.plan(var, 5, scheme="block", z=z[rows], rows=rows, extra={"policy": 0, "variable": 0, "scale_to": 10.0})
     iv = B.replicate(spark, q, 12, B.by_instrument)
-    assert all(r["value"] == pytest.approx(1) for r in iv.where("variable = 'a' and horizon = 0").collect())
+    assert all(r["value"] == pytest.approx(1) for r in B.each(iv).where("variable = 'a' and horizon = 0").collect())
     treated = B.replicate(spark, q, 12, B.by_treatment)
-    assert all(r["value"] == pytest.approx(10) for r in treated.where("variable = 'a' and horizon = 0").collect())
+    assert all(r["value"] == pytest.approx(10) for r in B.each(treated).where("variable = 'a' and horizon = 0").collect())
     point = R.response(spark, var.wold(5) @ L.treated_impact(u[rows], z[rows], z[rows] != 0, 0, 10.0), NAMES)
     moved = B.recentred(treated, point, ["variable", "horizon"], order_statistic=True)
     assert moved.count() == 18
     with pytest.raises(Exception, match="too few"):
-        B.recentred(treated.where("b < 3"), point, ["variable", "horizon"], order_statistic=True).collect()
+        B.recentred(B.replicate(spark, q, 3, B.by_treatment), point, ["variable", "horizon"], order_statistic=True).collect()
     few = dataclasses.replace(q, z=np.where(np.arange(len(rows)) < 5, 1.0, 0.0))
     assert B.replicate(spark, few, 4, B.by_treatment).count() == 0
     history = B.replicate(spark, q, 3, B.by_history)
-    assert history.count() == 3 * len(u) * 3
+    assert B.each(history).count() == 3 * len(u) * 3
     first = dataclasses.replace(q, scheme="wild", z=z, rows=None, extra={"first": np.zeros(2), "cumulate": [1]})
-    up = B.replicate(spark, first, 6, B.by_clean_instrument).where("variable = 'a' and horizon = 0").collect()
+    up = B.each(B.replicate(spark, first, 6, B.by_clean_instrument)).where("variable = 'a' and horizon = 0").collect()
     assert all(r["value"] >= 0 for r in up)
 
 
@@ -228,3 +228,13 @@ def test_generalized_instrument_responses(var):
     lo, hi = R.scale_bounds(psi, var.sigma, z)
     assert lo > 0 and hi == pytest.approx(z.std(ddof=1))
     assert D.recoverable_history(irf, z).shape == (len(z), 3)
+
+
+def test_wide_moments_equal_narrow_ones(series, monkeypatch):
+    d = E.lag_matrix(series, NAMES, 2)
+    names = E.lag_names(NAMES, 2) + NAMES
+    n, mean, cov = E.moments(d, names)
+    monkeypatch.setattr(E, "NARROW", 2)
+    n2, mean2, cov2 = E.moments(d, names)
+    assert n == n2 and np.allclose(mean, mean2) and np.allclose(cov, cov2)
+    assert E.moments(d.limit(0), names)[0] == 0
