@@ -15,6 +15,7 @@ import time
 os.environ.setdefault("OMP_NUM_THREADS", "1")
 os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +39,16 @@ def hourly(spark: SparkSession, sf: str, n: int) -> tuple[DataFrame, list[str]]:
     return S.periods(e, "ts", "hour", by).cache(), names
 
 
-def boot(n: int, p: int, horizon: int, reps: int, identify=B.by_cholesky, correct: int = 0, rows: int = 612, **more):
+def boot(n: int, p: int, horizon: int, reps: int, identify=B.by_cholesky, correct: int = 0, rows: int = 612, instrument: bool = False, **more):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         series, names = hourly(spark, sf, n)
-        q = B.plan(E.fit_var(series.where(F.col("t") <= rows), names, p), horizon, **more)
+        v = E.fit_var(series.where(F.col("t") <= rows), names, p)
+        extra = dict(more)
+        if instrument:  # the first residual with noise of its neighbours, every third row
+            _, u, _ = v.arrays()
+            z = np.where(np.arange(len(u)) % 3 == 0, u[:, 0] + 0.5 * np.roll(u[:, 1], 1), 0.0)
+            extra |= {"scheme": "block", "z": z, "rows": np.arange(len(u)), "extra": {"policy": 0, "variable": 0, "scale_to": 10.0}}
+        q = B.plan(v, horizon, **extra)
         if correct:
             q = B.corrected(spark, q, correct)
         keys = ("variable", "shock", "horizon") if identify in (B.by_cholesky, B.by_long_run) else ("variable", "horizon")
@@ -57,6 +64,9 @@ BENCHES = {
     "boot_lrmax_corrected_4x2_3000": boot(4, 2, 40, 2000, B.by_long_run_max, correct=1000, rows=250, extra={"target": 0}),
     "boot_maxshare_corrected_4x2_3000": boot(4, 2, 40, 2000, B.by_max_share, correct=1000, rows=250, extra={"target": 0}),
     "boot_chol_residual_7x12_1000": boot(7, 12, 48, 1000),
+    "boot_proxy_6x12_1000": boot(6, 12, 48, 1000, B.by_instrument, rows=417, instrument=True, block=24),
+    "boot_history_6x12_500": boot(6, 12, 48, 500, B.by_history, rows=417, instrument=True, block=24),
+    "boot_treatment_6x12_10000": boot(6, 12, 48, 10_000, B.by_treatment, rows=417, instrument=True),
 } | {n: registry.queries()[n] for n in ("orders_series", "ship_series", "events_hourly", "chol_irf", "fevd", "hist_decomp", "boot_proxy_mbb", "boot_hd_iv", "boot_hetero", "panel_irf", "msw")}
 
 

@@ -128,12 +128,11 @@ def simulate(first: np.ndarray, beta: np.ndarray, shocks: np.ndarray, p: int, c:
     base = np.zeros((steps, n)) + (beta[0] if c else 0)
     if exog is not None:
         base = base + exog[p:] @ beta[c + n * p :]
-    a = lag_blocks(beta, n, p, c).transpose(0, 2, 1)
+    # Lags from the farthest on, as they stand in the series.
+    a = lag_blocks(beta, n, p, c)[::-1].transpose(0, 2, 1).reshape(p * n, n)
+    base = base + shocks
     for t in range(steps):
-        row = base[t] + shocks[:, t]
-        for k in range(p):
-            row = row + out[:, t + p - 1 - k] @ a[k]
-        out[:, t + p] = row
+        out[:, t + p] = out[:, t : t + p].reshape(b, p * n) @ a + base[:, t]
     return out
 
 

@@ -65,7 +65,7 @@ def _packed(part: int, m: tuple[int, np.ndarray, np.ndarray]) -> list[pa.Array]:
 
 
 def _unpacked(rows) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    return [(n, np.frombuffer(a, float), np.frombuffer(b, float).reshape(int(len(b) ** 0.5 / 8**0.5), -1)) for n, a, b in rows]
+    return [(n, np.frombuffer(a, float), np.frombuffer(b, float).reshape(len(a) // 8, -1)) for n, a, b in rows]
 
 
 _FIELDS = ["part", "n", "mean", "product"]

@@ -878,6 +878,31 @@ def irf_tidy(spark, sf):
     return rounded(T.irf_with_bands(point, boot_chol(spark, sf), "y1"), 3)
 
 
+@query(
+    base(*RESIDUAL, SIM, BV, Q.long_run("b"), LR, _cum(Q.cells("b_q")), f"bb AS ({Q.bands('cu', KEYS, 3)})",
+         f"pq AS (SELECT variable, shock, horizon, CASE WHEN variable = 'y1' THEN sum(value) OVER (PARTITION BY variable, shock ORDER BY horizon ROWS UNBOUNDED PRECEDING) ELSE value END AS point FROM ({Q.cells('v_q')}))",
+         select="SELECT variable, horizon, " + out("point", "lower", "upper", "lower2", "upper2", digits=3) + " FROM pq JOIN bb USING (variable, shock, horizon) WHERE shock = 'y2'")
+)
+def irf_tidy_bq(spark, sf):
+    point = R.responses(spark, R.long_run_irf(var(spark, sf), HORIZON), NAMES)
+    return rounded(T.irf_with_bands(point, boot_bq(spark, sf), "y2", cumulate=["y1"]), 3)
+
+
+@query(base_z(UZ, *BLOCKED, SIM, BV, *BUZ, f"bp AS ({_two('b_w', 'bi')})", f"bb AS ({Q.bands('bp', KEY1, 2)})", select="SELECT variable, horizon, " + out("mean * 10 as point", *(f"{c} * 10 as {c}" for c in ("lower", "upper", "lower2", "upper2")), digits=1) + " FROM bb"))
+def irf_tidy_iv(spark, sf):
+    return rounded(T.mean_with_bands(boot_proxy_mbb(spark, sf), scale=10.0), 1)
+
+
+@query(base("lr AS (SELECT *, CASE WHEN r12 < 0 THEN -1 ELSE 1 END AS sg FROM v_c WHERE h = (SELECT max(h) FROM v_c))", select="SELECT variable, horizon, " + out("point") + " FROM (SELECT 'y1' AS variable, c.h AS horizon, c.r12 * sg AS point FROM v_c c, lr UNION ALL SELECT 'y2', c.h, c.r22 * sg FROM v_c c, lr)"))
+def irf_tidy_lr(spark, sf):
+    return rounded(T.irf_with_bands(lrmax_irf(spark, sf), None, keys=("variable", "horizon")))
+
+
+@query(base(*RESIDUAL, SIM, BV, Q.long_run("b"), "bq AS (SELECT q.g, q.h, r11 / k11 * 2 AS r11, r12 / k11 * 2 AS r12, r21 / k11 * 2 AS r21, r22 / k11 * 2 AS r22 FROM b_q q JOIN b_kk USING (g))", f"bs0 AS ({Q.cells('bq')})", select=Q.bands("bs0", KEYS, 2)))
+def boot_bq_scaled(spark, sf):
+    return rounded(B.bands(B.replicate(spark, _plan(spark, sf, extra={"scale": (0, 2.0)}), REPS, B.by_long_run)), 2)
+
+
 @query(
     "WITH RECURSIVE m AS (SELECT c_mktsegment AS g, date_trunc('month', o_orderdate) AS ts, 100 * ln(sum(o_totalprice)) AS y1, 100 * ln(count(*)) AS y2 FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL), "
     "s AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY ts) AS t, y1, y2 FROM m WHERE ts < (SELECT max(ts) FROM m)), "
