@@ -6,7 +6,7 @@ result is each document's component. Equal sets are one set from here on.
 1. Tokens are ordered by hash (in step 3, the most frequent ones last). Sets that link share at least L of the first n - ceil(t n) + L tokens of both, for any
    L; with L a share of n, a set most of whose first tokens no other document has among its own is alone. This leaves
    the few sets that could link.
-2. Those are parted into groups of similar ones by their smallest token, a large group at random, twice over, into
+2. Those are parted into groups of similar ones by the commonest of their smallest tokens, a large group at random, twice over, into
    cells of about CELL, each with the group's hub (its smallest set id). A cell stores its token union; a member is
    compared with the members of its own cells, and each cell's local components are found at once. Components that
    share a set, as most of a large group do, are one.
@@ -34,8 +34,8 @@ from impulsia.llm.common import parts, prepare, resident, written
 from impulsia.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 80
-#: Sets of a cell.
-CELL = 64
+#: Sets of a cell, and how many of a set's smallest tokens may name its group.
+CELL, SMALLEST = 64, 4
 #: The most frequent tokens, so many at most, come last in step 3; counted are those that LOCAL sets of a partition have.
 FREQUENT, LOCAL = 1 << 16, 4
 #: Of a set's tokens, the share that step 1 looks at beyond those that a link must touch, in percent.
@@ -95,6 +95,7 @@ def _send(slots: int):
 
 def _candidates(table: pa.Table, answers: pa.Table) -> pa.Table:
     """A row for each document: its set's id and size; the tokens for the first of each set of the bucket that could link."""
+    resident()
     known, seen = X.Known(answers.column("shared").to_pylist()), set()
     n_all, ids_all, blobs = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], []
     for _, tokens, bounds in sets_of(table):
@@ -231,9 +232,13 @@ def joined(docs: DataFrame) -> DataFrame:
 
 def components_of_sets(candidates: DataFrame) -> DataFrame:
     """set_id and comp, a name of its component, for each set of the candidates that links to another. Rows of equal set_id are copies."""
-    sets = candidates.groupBy("set_id").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    # The smallest token: the sets' first eight bytes, little-endian, as they are sorted.
-    sets = written(sets.withColumn("least", F.substring("tokens", 1, 8)), "candidates")
+    sets = written(candidates.groupBy("set_id").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "distinct")
+    # Of a set's smallest tokens (of eight bytes, little-endian, as they are sorted) the one that most sets have among theirs.
+    first = F.explode(F.array(*(F.substring("tokens", 1 + 8 * k, 8) for k in range(SMALLEST)))).alias("least")
+    few = sets.select("set_id", first).where("length(least) = 8")
+    often = few.join(few.groupBy("least").agg(F.count(F.lit(1)).alias("times")), "least")
+    often = often.groupBy("set_id").agg(F.max(F.struct("times", "least")).alias("_k")).select("set_id", "_k.least")
+    sets = written(sets.join(often, "set_id"), "candidates")
     groups = sets.groupBy("least").agg(F.min("set_id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     cells = F.ceil(F.col("size") / F.lit(CELL)).cast("int")
     placed = sets.join(groups.select("least", "hub", cells.alias("cells")), "least", "left")
