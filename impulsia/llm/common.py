@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,24 +19,40 @@ CHUNK_BYTES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch at most: batches of documents, each held several times over on its way, stay at a few MB.
+BATCH_ROWS = 1000
+
 _resident: dict = {}
 
 
 def resident(key=None, make=None):
-    """A large object that a worker keeps between tasks, one at a time: asking for another, or for none, lets go of it."""
+    """A large object that a worker keeps between tasks, one at a time: asking for another, or for none, lets go of it and of memory freed before."""
     if key not in _resident:
         _resident.clear()
+        _trim()
         if make is not None:
             _resident[key] = make()
     return _resident.get(key)
 
 
+def _trim() -> None:
+    """Gives freed memory back to the system, as workers of other sizes stand beside this one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it."""
+    """Lets Python workers import this package from where the driver has it, and bounds the session's Arrow batches."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from impulsia.llm import kernels as K
-from impulsia.llm.common import prepare
+from impulsia.llm.common import prepare, resident
 
 SHINGLE = 5
 #: One of so many hashes lies below the threshold.
@@ -130,6 +130,7 @@ def fingerprints(docs: DataFrame, text: str = "text", column: str = "fingerprint
 
 
 def _compared(batches):
+    resident()
     for batch in batches:
         texts, edits, nexts = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "edited", "next_text"))
         n, out = batch.num_rows, []

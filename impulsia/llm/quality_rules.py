@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impulsia.llm import kernels as K
-from impulsia.llm.common import prepare, written
+from impulsia.llm.common import prepare, resident, written
 
 RISK, LEVEL = 0.02, 0.05
 #: Share of the strictest certified cutoff's true rejections that a more lenient one must reach.
@@ -84,6 +84,7 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     schema = docs.select(*rest, *(F.lit(0).cast("long").alias(c) for c in COUNTS)).schema
 
     def count(batches):
+        resident()
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             for lo, hi, data, offsets in K.chunks(column):

@@ -90,6 +90,7 @@ def _least(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _windows(slots: int):
     def send(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
+        resident()
         known, found = X.Known(answers.column("shared").to_pylist()), []
         doc = X.ids(table.column("doc_id")) if table.num_rows else np.empty(0, np.int64)
         if len(known.ordered):
@@ -129,6 +130,7 @@ def _smallest(table: pa.Table) -> pa.Table:
 
 def _cut(names: list[str], digest: bool):
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
+        resident()
         pairs = [(np.frombuffer(h, np.uint64), np.frombuffer(d, np.int64)) for h, d in zip(answers.column("hashes").to_pylist(), answers.column("least").to_pylist(), strict=True)]
         hashes = np.concatenate([np.empty(0, np.uint64), *(p[0] for p in pairs)])
         least = np.concatenate([np.empty(0, np.int64), *(p[1] for p in pairs)])
