@@ -1,7 +1,7 @@
 """Times the headline queries; prints one JSON line.
 
 BENCH_SF_DIR: the data folder; BENCH_CPUS: local cores. Each query runs to the end (its rows are written to a no-op
-sink) after one warm-up of the session. boot_* queries are the reference's timed configurations at their sizes, on the
+sink) after one warm-up of the session. boot_* queries have the sizes of published timings, on the
 hourly events series of as many variables.
 """
 
