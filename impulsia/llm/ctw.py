@@ -299,9 +299,9 @@ class Scorer:
         return out
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, int, int, dict[int, np.ndarray]]:
-    """Word counts by slot, their sum and number, and the context tree, from the rows that learns() allows."""
-    slots = parts(docs)
+def train(docs: DataFrame, slots: int | None = None) -> tuple[DataFrame, int, int, dict[int, np.ndarray]]:
+    """Word counts by slot, their sum and number, and the context tree, from the rows that learns() allows. Who asks by slot gives their number."""
+    slots = slots or parts(docs)
     sent = written(docs.where(learns(MOD, OUT)).select("text").mapInArrow(_count(slots), SENT), "counts")
     words = written(sent.where("kind = 0").groupBy("_slot").applyInArrow(_word_counts, "_slot int, keys binary, counts binary, n long, v long"), "words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
@@ -361,9 +361,10 @@ def scored(docs: DataFrame) -> DataFrame:
     """Both scores of every row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte's parts."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words, n, v, tree = train(rows)
-    shared = docs.sparkSession.sparkContext.broadcast({"id": hash((n, v, tree[1].tobytes(), tree[2].tobytes())), "tree": tree})
+    # One number for both sides: a projection's size, and so its parts(), is another than its table's.
     slots = parts(docs)
+    words, n, v, tree = train(rows, slots)
+    shared = docs.sparkSession.sparkContext.broadcast({"id": hash((n, v, tree[1].tobytes(), tree[2].tobytes())), "tree": tree})
     dealt = X.bucketed(rows, slots)
     asked = dealt.groupBy("_bucket").applyInArrow(_ask(slots), "_slot int, _from int, asked binary")
     replies = asked.groupBy("_slot").cogroup(words.groupBy("_slot")).applyInArrow(_answer, "_bucket int, keys binary, counts binary")

@@ -11,7 +11,7 @@ import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from impulsia.llm import bpe, ctw, fingerprints, licences, pii, quality_rules
+from impulsia.llm import bpe, common, ctw, fingerprints, licences, pii, quality_rules
 
 from . import corpus as C
 
@@ -164,6 +164,16 @@ def test_lm_scores(spark):
     assert ctw.scored(C.frame(spark, data).limit(0)).count() == 0
 
 
+def test_lm_words_are_asked_where_they_are_counted(spark, tmp_path, monkeypatch):
+    """On a table so large that its size sets the number of slots."""
+    C.frame(spark, C.rows()).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    want = sorted((str(r["doc_id"]), r["n_known"], round(r["base_score"], 6)) for r in ctw.scored(docs).collect())
+    monkeypatch.setattr(ctw, "parts", lambda df: common.parts(df, 1 << 12))
+    assert 4 < ctw.parts(docs.select("doc_id", "text")) < ctw.parts(docs)
+    assert sorted((str(r["doc_id"]), r["n_known"], round(r["base_score"], 6)) for r in ctw.scored(docs).collect()) == want
+
+
 def test_lm_probabilities_sum_to_one(spark):
     _, _, _, tree = ctw.train(C.plain(spark, C.rows()))
     scorer = ctw.Scorer(tree)
