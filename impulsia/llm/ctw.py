@@ -5,10 +5,11 @@ either outcome over all training texts and their Krichevsky-Trofimov estimate. T
 estimate against its longer contexts' is the context tree's posterior, computed bottom-up from all counts. Subtrees of
 the two bytes before (65,536 of them at most) are counted and weighted by different tasks.
 
-What scoring broadcasts has a fixed size: nodes of two and more context bytes are laid into SLOTS hashed places a depth,
-where those that meet are averaged by their counts; no count is dropped. A context never seen gives its weight to the
-longest one seen. The probability of a byte given its context is then the product of eight mixtures, and the score of a
-text the sum of log10 over its bytes, A-Z lower-cased, and an end mark.
+The tree grows with the corpus: every node of two and more context bytes is kept by its whole context, in slots by the
+two bytes before. Buckets of documents ask for the distinct bytes in context they have, and the slot of each answers
+with its probability; only nodes of no and one context byte (65,792) are broadcast. A context never seen gives its
+weight to the longest one seen. The probability of a byte given its context is then the product of eight mixtures, and
+the score of a text the sum of log10 over its bytes, A-Z lower-cased, and an end mark.
 
 A null or empty text is its end alone: one token. Null ids belong to crc32 of the empty text (learned from). Repeated
 rows count and are scored each; other columns are ignored; an empty table gives no rows; without training rows every
@@ -18,9 +19,11 @@ decision is even.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +32,11 @@ from impulsia.llm import kernels as K
 from impulsia.llm.common import learns, parts, prepare, resident, written
 
 DEPTH = 5
-#: Bits of the number of hashed places by depth, from two context bytes on.
-SLOTS = {2: 18, 3: 20, 4: 21, 5: 22}
 MOD, OUT = 5, 1
 #: The word that ends every text.
 END = np.uint64(0x2545F4914F6CDD1D)
-#: Places of a worker's cache of byte probabilities, a power of two.
-CACHE = 1 << 21
+#: Bytes in context that a slot evaluates together.
+TOGETHER = 2_000_000
 RANGES = 64
 U = np.uint64
 
@@ -93,6 +94,12 @@ class Tally:
         return _summed(*(np.concatenate([p[i] for p in self.parts]) for i in (0, 1)))
 
 
+def near_slot(cells: np.ndarray, slots: int) -> np.ndarray:
+    """The slot of each byte in context, by the two bytes before."""
+    near = K.mix(cells >> U(8 * (DEPTH - 1)))
+    return (((near >> U(32)) * U(slots)) >> U(32)).astype(np.int64)
+
+
 SENT = "kind int, _slot int, keys binary, counts binary"
 
 
@@ -119,8 +126,7 @@ def _count(slots: int):
         keys, counts = words.total()
         _packed(0, (((keys >> U(32)) * U(slots)) >> U(32)).astype(np.int64), keys, counts, slots, cols)
         keys, counts = cells.total()
-        near = K.mix(keys >> U(8 * (DEPTH - 1)))  # the two bytes before
-        _packed(1, (((near >> U(32)) * U(slots)) >> U(32)).astype(np.int64), keys, counts, slots, cols)
+        _packed(1, near_slot(keys, slots), keys, counts, slots, cols)
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["kind", "_slot", "keys", "counts"])
 
     return count
@@ -183,99 +189,106 @@ def _weights(keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: tuple[np.n
     return np.logaddexp(own, longer) - math.log(2), 1 / (1 + np.exp(np.clip(longer - own, -700, 700)))
 
 
-def place(depth: int, keys: np.ndarray) -> np.ndarray:
-    return (K.mix(keys + U(depth * 0x9E3779B97F4A7C15 % (1 << 64))) >> U(64 - SLOTS[depth])).astype(np.int64)
-
-
-NODES = "depth int, part int, places binary, sums binary"
-
-
-def _subtrees(table: pa.Table) -> pa.Table:
-    """The nodes of whole subtrees of two context bytes, as sums by hashed place; and what the contexts above need."""
-    cells, counts = _gathered(table)
-    cols: list[list] = [[], [], [], []]
+def levels(cells: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """Depth by depth from the deepest to two, the nodes of whole subtrees of two context bytes: keys, counts of either bit, weighted log probability and own weight."""
     below = None
     for depth in range(DEPTH, 1, -1):
         own, sums = _summed(((cells >> U(8 * (DEPTH - depth + 1))) << U(8)) | (cells & U(255)), counts)
         keys, n0, n1 = nodes_at(own, sums)
         logs, w = _weights(keys, n0, n1, below)
         below = (keys, logs)
-        n = (n0 + n1).astype(np.float64)
-        at = place(depth, keys)
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        stacked = np.stack([np.add.reduceat(x[order], first) for x in (n, n * w, n1.astype(np.float64))], 1)
-        at = at[first]
-        edges = np.searchsorted(at, np.arange(RANGES + 1) << (SLOTS[depth] - 6))
-        for r in np.flatnonzero(np.diff(edges) > 0):
-            lo, hi = edges[r], edges[r + 1]
-            for c, v in zip(cols, (depth, int(r), at[lo:hi].astype(np.int32).tobytes(), stacked[lo:hi].tobytes()), strict=True):
-                c.append(v)
+        yield depth, (keys, n0, n1, logs, w)
+
+
+#: part -1: a slot's bytes in context and their counts; others: ranges of depth-1 nodes and their sums.
+NODES = "part int, _slot int, keys binary, counts binary"
+
+
+def _subtrees(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The counts of a slot, brought together, and what the contexts above need of its subtrees."""
+    cells, counts = _gathered(table)
+    for _, found in levels(cells, counts):
+        keys, n0, n1, logs, _ = found
     # Depth 1: logs of longer contexts and counts by the nearest byte and node.
-    keys, logs = below
     parent = ((keys >> U(16)) << U(8)) | (keys & U(255))
     up, of = np.unique(parent, return_inverse=True)
     stacked = np.stack([np.bincount(of, x, len(up)) for x in (logs, n0.astype(np.float64), n1.astype(np.float64))], 1)
-    for c, v in zip(cols, (1, 0, up.astype(np.int32).tobytes(), stacked.tobytes()), strict=True):
-        c.append(v)
-    return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["depth", "part", "places", "sums"])
+    cols: list[list] = [[-1], [cells.tobytes()], [counts.tobytes()]]
+    edges = np.searchsorted(up, np.arange(RANGES + 1, dtype=np.uint64) * U((1 << 16) // RANGES))
+    for r in np.flatnonzero(np.diff(edges) > 0):
+        lo, hi = edges[r], edges[r + 1]
+        for c, v in zip(cols, (int(r), up[lo:hi].astype(np.int32).tobytes(), stacked[lo:hi].tobytes()), strict=True):
+            c.append(v)
+    return pa.table([pa.array(cols[0], pa.int32()), pa.array([key[0].as_py()] * len(cols[0]), pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["part", "_slot", "keys", "counts"])
 
 
 def _merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    depth, part = key[0].as_py(), key[1].as_py()
-    width = 1 << (SLOTS[depth] - 6) if depth > 1 else 1 << 16
+    part, width = key[0].as_py(), (1 << 16) // RANGES
     total = np.zeros((width, 3))
-    for p, s in zip(table.column("places").to_pylist(), table.column("sums").to_pylist(), strict=True):
-        total[np.frombuffer(p, np.int32) - (part * width if depth > 1 else 0)] += np.frombuffer(s, np.float64).reshape(-1, 3)
-    if depth > 1:
-        n = np.maximum(total[:, 0], 1e-300)
-        seen = total[:, 0] > 0
-        packed = np.stack([np.where(seen, (total[:, 2] + 0.5) / (n + 1), 0), np.where(seen, total[:, 1] / n, 0)], 1).astype(np.float32)
-    else:
-        packed = total
-    return pa.table([pa.array([depth], pa.int32()), pa.array([part], pa.int32()), pa.array([b""], pa.binary()), pa.array([packed.tobytes()], pa.binary())], names=["depth", "part", "places", "sums"])
-
-
-def assemble(rows: list[tuple[int, int, bytes]]) -> dict[int, np.ndarray]:
-    """By depth, the probability of a one and the own weight of each place (0: never seen)."""
-    model = {d: np.zeros((1 << bits, 2), np.float32) for d, bits in SLOTS.items()}
-    near = np.zeros((1 << 16, 3))
-    for depth, part, raw in rows:
-        if depth == 1:
-            near += np.frombuffer(raw, np.float64).reshape(-1, 3)
-        else:
-            width = 1 << (SLOTS[depth] - 6)
-            model[depth][part * width : (part + 1) * width] = np.frombuffer(raw, np.float32).reshape(-1, 2)
+    for p, s in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True):
+        total[np.frombuffer(p, np.int32) - part * width] += np.frombuffer(s, np.float64).reshape(-1, 3)
+    return pa.table([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+
+
+def assemble(rows: list[tuple[int, bytes]]) -> dict[int, np.ndarray]:
+    """Of depths 0 and 1, the probability of a one and the own weight of each node (0: never seen)."""
+    near, width = np.zeros((1 << 16, 3)), (1 << 16) // RANGES
+    for part, raw in rows:
+        near[part * width : (part + 1) * width] = np.frombuffer(raw, np.float64).reshape(-1, 3)
     logs, n0, n1 = near[:, 0], near[:, 1].astype(np.int64), near[:, 2].astype(np.int64)
 
     def level(longer: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = log_kt(zeros, ones)
         seen = zeros + ones > 0
         w = 1 / (1 + np.exp(np.clip(longer - own, -700, 700)))
-        table = np.stack([np.where(seen, (ones + 0.5) / (zeros + ones + 1), 0), np.where(seen, w, 0)], 1).astype(np.float32)
+        table = np.stack([np.where(seen, (ones + 0.5) / (zeros + ones + 1), 0), np.where(seen, w, 0)], 1)
         return table, np.where(seen, np.logaddexp(own, longer) - math.log(2), 0)
 
+    model = {}
     model[1], up = level(logs, n0, n1)
     model[0], _ = level(*(x.reshape(256, 256).sum(0) for x in (up, n0, n1)))
     return model
 
 
-class Scorer:
-    """log10 probabilities of bytes in their contexts, with a cache of those met before."""
+class Tree:
+    """The context tree: depths 0 and 1 whole, and the table of counts by slot, of which any deeper node can be made."""
+
+    def __init__(self, near: dict[int, np.ndarray], counts: DataFrame, slots: int):
+        self.near, self.counts, self.slots = near, counts, slots
+
+    def around(self, cells: np.ndarray) -> Scorer:
+        """A scorer for these bytes in context, from their slots alone."""
+        some = np.unique(near_slot(cells, self.slots)).tolist()
+        return Scorer(self.near, *_gathered(self.counts.where(F.col("_slot").isin(some)).toArrow()))
 
-    def __init__(self, model: dict[int, np.ndarray]):
-        self.model = model
-        self.keys, self.values = np.full(CACHE, ~U(0), np.uint64), np.zeros(CACHE)
+
+class Scorer:
+    """log10 probabilities of bytes in their contexts, of a whole tree or of the counts of some slots."""
+
+    def __init__(self, tree: Tree | dict[int, np.ndarray], cells: np.ndarray = np.empty(0, np.uint64), counts: np.ndarray = np.empty(0, np.int64)):
+        self.tree, self.deep = tree, {}
+        for depth, (keys, n0, n1, _, w) in levels(cells, counts) if len(cells) else ():
+            self.deep[depth] = keys, np.stack([(n1 + 0.5) / (n0 + n1 + 1), w], 1)
+
+    def _found(self, depth: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if depth < 2:
+            return tuple(self.tree[depth][key.astype(np.int64)].T)
+        if depth not in self.deep:
+            return np.zeros(len(key)), np.zeros(len(key))
+        keys, values = self.deep[depth]
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        p, w = values[at].T
+        return np.where(keys[at] == key, p, 0), w
 
     def evaluate(self, cells: np.ndarray) -> np.ndarray:
+        if isinstance(self.tree, Tree):
+            return self.tree.around(cells).evaluate(cells)
         byte, total = cells & U(255), np.zeros(len(cells))
         for k in range(8):
             node = (U(1) << U(k)) | (byte >> U(8 - k))
             q, any_ = np.full(len(cells), 0.5), np.zeros(len(cells), bool)
             for depth in range(DEPTH, -1, -1):
-                key = ((cells >> U(8 * (DEPTH - depth + 1))) << U(8)) | node
-                p, w = self.model[depth][place(depth, key) if depth > 1 else key.astype(np.int64)].T
+                p, w = self._found(depth, ((cells >> U(8 * (DEPTH - depth + 1))) << U(8)) | node)
                 seen = p > 0
                 q = np.where(seen, np.where(any_, w * p + (1 - w) * q, p), q)
                 any_ |= seen
@@ -283,60 +296,98 @@ class Scorer:
         return total
 
     def logs(self, cells: np.ndarray) -> np.ndarray:
-        at = (K.mix(cells) & U(CACHE - 1)).astype(np.int64)
-        out = self.values[at]
-        missing = np.flatnonzero(self.keys[at] != cells)
-        if len(missing):
-            new, of = np.unique(cells[missing], return_inverse=True)
-            values = np.concatenate([self.evaluate(new[i : i + 100_000]) for i in range(0, len(new), 100_000)])
-            out[missing] = values[of]
-            spots = (K.mix(new) & U(CACHE - 1)).astype(np.int64)
-            self.keys[spots] = new
-            self.values[spots] = 0
-            # Of several for one place, numpy keeps the last key; its value must be the same one's.
-            kept = self.keys[spots] == new
-            self.values[spots[kept]] = values[kept]
-        return out
-
-
-def train(docs: DataFrame, slots: int | None = None) -> tuple[DataFrame, int, int, dict[int, np.ndarray]]:
+        """evaluate(), each distinct one once."""
+        new, of = np.unique(cells, return_inverse=True)
+        return np.concatenate([np.empty(0), *(self.evaluate(new[i : i + 100_000]) for i in range(0, len(new), 100_000))])[of]
+
+
+class Lookup:
+    """Values by key, all keys asked for being there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.mask = U((1 << max(1, (2 * len(keys)).bit_length())) - 1)
+        self.at = np.zeros(int(self.mask) + 1, np.int32)
+        self.at[(K.mix(self.keys) & self.mask).astype(np.int64)] = np.arange(len(keys))
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        at = self.at[(K.mix(keys) & self.mask).astype(np.int64)]
+        other = np.flatnonzero(self.keys[at] != keys)
+        at[other] = np.searchsorted(self.keys, keys[other])
+        return self.values[at]
+
+
+def train(docs: DataFrame, slots: int | None = None) -> tuple[DataFrame, int, int, Tree]:
     """Word counts by slot, their sum and number, and the context tree, from the rows that learns() allows. Who asks by slot gives their number."""
     slots = slots or parts(docs)
     sent = written(docs.where(learns(MOD, OUT)).select("text").mapInArrow(_count(slots), SENT), "counts")
     words = written(sent.where("kind = 0").groupBy("_slot").applyInArrow(_word_counts, "_slot int, keys binary, counts binary, n long, v long"), "words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
-    nodes = sent.where("kind = 1").groupBy("_slot").applyInArrow(_subtrees, NODES)
-    merged = nodes.groupBy("depth", "part").applyInArrow(_merged, NODES)
-    tree = assemble([(r["depth"], r["part"], bytes(r["sums"])) for r in merged.toLocalIterator()])
-    return words, total["n"], total["v"], tree
+    nodes = written(sent.where("kind = 1").groupBy("_slot").applyInArrow(_subtrees, NODES), "nodes")
+    merged = nodes.where("part >= 0").groupBy("part").applyInArrow(_merged, "part int, sums binary")
+    near = assemble([(r["part"], bytes(r["sums"])) for r in merged.toLocalIterator()])
+    return words, total["n"], total["v"], Tree(near, nodes.where("part = -1").select("_slot", "keys", "counts"), slots)
+
+
+ASKED = "kind int, _slot int, _from int, asked binary"
 
 
 def _ask(slots: int):
+    """What a bucket asks, each once: words (kind 0) and bytes in context (1)."""
+
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        found = [np.unique(lower_words(K.LOWER[data], offsets)[0]) for _, _, data, offsets in K.chunks(table.column("text"))]
-        hashes = np.unique(np.concatenate([np.empty(0, np.uint64), *found]))
-        edges = X.slot_edges(hashes, slots)
-        full = np.flatnonzero(np.diff(edges) > 0)
-        return pa.table([pa.array(full, pa.int32()), pa.array(np.full(len(full), key[0].as_py()), pa.int32()), pa.array([hashes[edges[s] : edges[s + 1]].tobytes() for s in full], pa.binary())], names=["_slot", "_from", "asked"])
+        words, cells = Tally(), Tally()
+        for _, _, data, offsets in K.chunks(table.column("text")):
+            low = K.LOWER[data]
+            words.add(lower_words(low, offsets)[0])
+            cells.add(grams(low, offsets)[0])
+        cols: list[list] = [[], [], [], []]
+        for kind, tally, slot in ((0, words, lambda x: (((x >> U(32)) * U(slots)) >> U(32)).astype(np.int64)), (1, cells, lambda x: near_slot(x, slots))):
+            keys, counts = tally.total()
+            _packed(kind, slot(keys), keys, counts, slots, cols)
+        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(np.full(len(cols[0]), key[0].as_py()), pa.int32()), pa.array(cols[2], pa.binary())], names=["kind", "_slot", "_from", "asked"])
 
     return ask
 
 
-def _answer(asked: pa.Table, words: pa.Table) -> pa.Table:
-    keys, counts = _gathered(words) if words.num_rows else (np.empty(0, np.uint64), np.empty(0, np.int64))
-    cols: tuple[list, list, list] = ([], [], [])
-    for bucket, blob in zip(asked.column("_from").to_pylist(), asked.column("asked").to_pylist(), strict=True):
-        hashes = np.frombuffer(blob, np.uint64)
-        hashes = hashes[X._in(hashes, keys)]
-        for c, v in zip(cols, (bucket, hashes.tobytes(), counts[np.searchsorted(keys, hashes)].tobytes()), strict=True):
-            c.append(v)
-    return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["_bucket", "keys", "counts"])
-
-
-def _scores(shared, n: int, v: int):
+def _answer(shared):
+    """Counts of the known ones among the words that buckets ask for, log10 probabilities of all bytes in context."""
+
+    def answer(key: tuple[pa.Scalar, ...], asked: pa.Table, counted: pa.Table) -> pa.Table:
+        kind = (asked if asked.num_rows else counted).column("kind")[0].as_py()
+        keys, counts = _gathered(counted)
+        cols: tuple[list, list, list] = ([], [], [])
+        buckets, blobs = asked.column("_from").to_pylist(), [np.frombuffer(b, np.uint64) for b in asked.column("asked").to_pylist()]
+        scorer = Scorer(shared.value, keys, counts) if kind and blobs else None
+        lo = 0
+        while lo < len(blobs):
+            hi, size = lo + 1, len(blobs[lo])
+            while hi < len(blobs) and size + len(blobs[hi]) <= TOGETHER:
+                size += len(blobs[hi])
+                hi += 1
+            logs = scorer.logs(np.concatenate(blobs[lo:hi])) if kind else None
+            at = 0
+            for bucket, own in zip(buckets[lo:hi], blobs[lo:hi], strict=True):
+                if kind:
+                    values = logs[at : at + len(own)]
+                    at += len(own)
+                else:
+                    own = own[X._in(own, keys)]
+                    values = counts[np.searchsorted(keys, own)]
+                for c, v in zip(cols, (bucket, own.tobytes(), values.tobytes()), strict=True):
+                    c.append(v)
+            lo = hi
+        return pa.table([pa.array([kind] * len(cols[0]), pa.int32()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["kind", "_bucket", "keys", "counts"])
+
+    return answer
+
+
+def _scores(n: int, v: int):
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
-        scorer = resident(("tree", shared.value["id"]), lambda: Scorer(shared.value["tree"]))
-        keys, counts = _gathered(answers)
+        keys, counts = _gathered(answers.filter(pc.equal(answers.column("kind"), 0)))
+        told = answers.filter(pc.equal(answers.column("kind"), 1))
+        chances = Lookup(*(np.concatenate([np.empty(0, t), *(np.frombuffer(b, t) for b in told.column(c).to_pylist())]) for c, t in (("keys", np.uint64), ("counts", np.float64))))
         unknown = math.log10(0.5)
         logs = np.log10(counts + 0.5)
         out: list[list[np.ndarray]] = [[np.empty(0)] for _ in range(4)]
@@ -350,7 +401,7 @@ def _scores(shared, n: int, v: int):
             out[0].append(np.diff(bounds))
             out[1].append(np.diff(np.concatenate([[0], np.cumsum(known)])[bounds]))
             out[2].append(np.add.reduceat(each, bounds[:-1]) - np.diff(bounds) * math.log10(n + 0.5 * (v + 1)))
-            out[3].append(np.add.reduceat(scorer.logs(cells), edges[:-1]))
+            out[3].append(np.add.reduceat(chances.of(cells), edges[:-1]))
         cols = [np.concatenate(c) for c in out]
         return pa.table([table.column("doc_id"), *(pa.array(c.astype(np.int64), pa.int64()) for c in cols[:2]), *(pa.array(c, pa.float64()) for c in cols[2:])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
@@ -364,9 +415,10 @@ def scored(docs: DataFrame) -> DataFrame:
     # One number for both sides: a projection's size, and so its parts(), is another than its table's.
     slots = parts(docs)
     words, n, v, tree = train(rows, slots)
-    shared = docs.sparkSession.sparkContext.broadcast({"id": hash((n, v, tree[1].tobytes(), tree[2].tobytes())), "tree": tree})
+    shared = docs.sparkSession.sparkContext.broadcast(tree.near)
     dealt = X.bucketed(rows, slots)
-    asked = dealt.groupBy("_bucket").applyInArrow(_ask(slots), "_slot int, _from int, asked binary")
-    replies = asked.groupBy("_slot").cogroup(words.groupBy("_slot")).applyInArrow(_answer, "_bucket int, keys binary, counts binary")
-    found = dealt.groupBy("_bucket").cogroup(replies.groupBy("_bucket")).applyInArrow(_scores(shared, n, v), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    asked = dealt.groupBy("_bucket").applyInArrow(_ask(slots), ASKED)
+    counted = words.select(F.lit(0).alias("kind"), "_slot", "keys", "counts").union(tree.counts.select(F.lit(1).alias("kind"), "_slot", "keys", "counts"))
+    replies = asked.groupBy("kind", "_slot").cogroup(counted.groupBy("kind", "_slot")).applyInArrow(_answer(shared), "kind int, _bucket int, keys binary, counts binary")
+    found = dealt.groupBy("_bucket").cogroup(replies.groupBy("_bucket")).applyInArrow(_scores(n, v), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return found.select("doc_id", (~learns(MOD, OUT)).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -174,6 +174,49 @@ def test_lm_words_are_asked_where_they_are_counted(spark, tmp_path, monkeypatch)
     assert sorted((str(r["doc_id"]), r["n_known"], round(r["base_score"], 6)) for r in ctw.scored(docs).collect()) == want
 
 
+def test_lm_scores_are_of_the_whole_tree(spark):
+    """Against the recursion over all nodes by hand: contexts are kept apart, and one never seen falls back to the longest seen."""
+    data = [r for r in C.rows() if len(r[1] or "") < 3000]
+    nodes = collections.defaultdict(lambda: [0, 0])
+
+    def steps(t):
+        raw = bytes(5) + C.lower(t).encode() + b"\0"
+        for i in range(5, len(raw)):
+            for k in range(8):
+                yield raw[i - 5 : i], 1 << k | raw[i] >> 8 - k, raw[i] >> 7 - k & 1
+
+    for r in data:
+        if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 != 1:
+            for context, node, bit in steps(r[1]):
+                for d in range(6):
+                    nodes[context[5 - d :], node][bit] += 1
+    longer, weight = collections.defaultdict(float), {}
+    for (context, node), (zeros, ones) in sorted(nodes.items(), key=lambda x: -len(x[0][0])):
+        own = math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(zeros + ones + 1)
+        whole = own
+        if len(context) < 5:
+            whole = np.logaddexp(own, longer[context, node]) - math.log(2)
+            weight[context, node] = math.exp(own - math.log(2) - whole)
+        if context:
+            longer[context[1:], node] += whole
+
+    def score(t):
+        total = 0.0
+        for context, node, bit in steps(t):
+            q = None
+            for d in range(5, -1, -1):
+                if (context[5 - d :], node) in nodes:
+                    zeros, ones = nodes[context[5 - d :], node]
+                    p, w = (ones + 0.5) / (zeros + ones + 1), weight.get((context[5 - d :], node), 1)
+                    q = p if q is None else w * p + (1 - w) * q
+            total += math.log10(0.5 if q is None else q if bit else 1 - q)
+        return total
+
+    texts = {r[0]: r[1] for r in data}
+    for r in ctw.scored(C.frame(spark, data)).collect():
+        assert r["score"] == pytest.approx(score(texts[r["doc_id"]]), rel=1e-9), r["doc_id"]
+
+
 def test_lm_probabilities_sum_to_one(spark):
     _, _, _, tree = ctw.train(C.plain(spark, C.rows()))
     scorer = ctw.Scorer(tree)
