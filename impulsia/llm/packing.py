@@ -19,6 +19,7 @@ import os
 import re
 import zlib
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from itertools import chain, combinations
 
 import numpy as np
@@ -34,6 +35,8 @@ from impulsia.llm.common import resident, written
 LIMIT = 2048
 #: Steps of the search beyond its first descent, and fillings tried at a step.
 NODES, WIDTH = 1500, 4
+#: Pieces of a filling that are searched one by one; what room these leave takes runs of one length, the largest that fits first.
+SINGLY = 64
 END = 0
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
@@ -160,8 +163,9 @@ def lower_bound(counts: dict[int, int], limit: int) -> int:
 
 def _dominated(filling: tuple[int, ...], slack: int, lengths: list[int]) -> bool:
     """Whether a free length could stand in for some of the filling's pieces and waste less or leave smaller ones."""
+    times = Counter(filling)
     for k in range(1, min(len(filling), 4 if len(filling) <= 8 else 2) + 1):
-        for some in set(combinations(filling, k)):
+        for some in set(combinations([x for x, n in times.items() for _ in range(min(n, k))], k)):
             s = sum(some)
             i = bisect_right(lengths, s) if k == 1 else bisect_left(lengths, s)
             if i < len(lengths) and lengths[i] <= s + slack:
@@ -178,10 +182,22 @@ def fillings(room: int, counts: dict[int, int], lengths: list[int], width: int =
     found: dict[tuple[int, ...], int] = {}
     steps = perfect = 0
 
+    def fill(left: int, taken: tuple[int, ...]) -> tuple[tuple[int, ...], int]:
+        used, i = Counter(taken), bisect_right(lengths, left)
+        while i:
+            x = lengths[i - 1]
+            k = min(counts[x] - used[x], left // x)
+            used[x] += k
+            left -= k * x
+            i = min(i - 1, bisect_right(lengths, left))
+        return tuple(sorted(used.elements(), reverse=True)), left
+
     def descend(left: int, below: int, taken: tuple[int, ...]) -> None:
         nonlocal steps, perfect
+        if len(taken) >= SINGLY:
+            taken, left = fill(left, taken)
         i = bisect_right(lengths, min(left, below))
-        if not i or len(taken) >= 64:
+        if not i or len(taken) >= SINGLY:
             perfect += not left and taken not in found
             found.setdefault(taken, left)
             return
@@ -205,7 +221,7 @@ def fillings(room: int, counts: dict[int, int], lengths: list[int], width: int =
             found.setdefault(taken, left)
 
     descend(room, room, ())
-    ranked = sorted(found.items(), key=lambda f: (f[1], len(f[0]), tuple(-x for x in f[0])))
+    ranked = sorted(sorted(found.items(), reverse=True), key=lambda f: (f[1], len(f[0])))
     good = [f for f, slack in ranked if not _dominated(f, slack, lengths)] or [f for f, _ in ranked]
     return good[:width] or [()]
 
@@ -229,13 +245,13 @@ def pack_lengths(counts: dict[int, int], limit: int = LIMIT, nodes: int = NODES)
         out = []
         for f in made:
             bin_ = (top, *f)
-            out.append((bin_, min(have[x] // bin_.count(x) for x in set(bin_))))
+            out.append((bin_, min(have[x] // k for x, k in Counter(bin_).items())))
         return out
 
     def take(have: dict[int, int], lengths: list[int], bin_: tuple[int, ...], times: int, sign: int) -> None:
-        for x in set(bin_):
+        for x, k in Counter(bin_).items():
             before = have.get(x, 0)
-            have[x] = before - sign * times * bin_.count(x)
+            have[x] = before - sign * times * k
             if sign > 0 and not have[x]:
                 del lengths[bisect_left(lengths, x)]
             elif sign < 0 and not before:

@@ -165,6 +165,17 @@ def test_packing_is_optimal_on_small_sets():
     assert packing.pack_lengths({}) == []
 
 
+@pytest.mark.parametrize("counts, best", [({1: 100_000}, 49), ({20: 10_200}, 100), ({2048: 3, 1500: 50, 1: 50_000, 2: 20_000, 7: 3_000}, 94), ({3: 10_000, 5: 10_000}, 40)])
+def test_packing_fills_sequences_with_short_pieces(counts, best):
+    made = packing.pack_lengths(counts)
+    used = collections.Counter()
+    for f, n in made:
+        assert sum(f) <= packing.LIMIT
+        for x, k in collections.Counter(f).items():
+            used[x] += n * k
+    assert used == collections.Counter(counts) and sum(n for _, n in made) == best
+
+
 def labelled(seed=6, n=240):
     rng = random.Random(seed)
     docs, labels = [], []
