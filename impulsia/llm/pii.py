@@ -33,12 +33,28 @@ KINDS = ["email", "phone", "card", "ip", "iban", "ssn", "date", "secret"]
 
 _MONTHS = [datetime.date(2000, m, 1).strftime("%B") for m in range(1, 13)]
 _MONTH = "(?:" + "|".join(_MONTHS) + ")"
+#: Other values that may follow a phone number after a space and are no groups of it.
+_OTHER = (
+    r"(?! (?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}(?![0-9])|[0-9]{1,3}[-/.][0-9]{1,2}[-/.][0-9]{4}(?![0-9])|[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
+    r"|[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}(?![0-9])|(?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}))"
+)
+
+
+def _tail(had: int) -> str:
+    """Digits, each perhaps after a mark, that make 7 to 15 with those had."""
+    least = max(1, 7 - had)
+    return r"(?:[ .-]?[0-9]){%d}(?:%s[ .-]?[0-9]){0,%d}" % (least, _OTHER, 15 - had - least)
+
+
+#: Country code and number in any groups, the area code perhaps in brackets.
+_ABROAD = r"\+(?:" + "|".join(r"[0-9]{%d}[ .-]?\([0-9]{%d}\)%s" % (c, a, _tail(c + a)) for c in (1, 2, 3) for a in (1, 2, 3, 4, 5)) + "|[0-9]" + _tail(1) + ")(?![0-9])"
+_CODE = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})|1(?=[-. ])")
 _MAIL = r"(?P<email>(?<![\w.+-])[\w.+-]{0,63}\w@(?:[\w-]+\.)+[A-Za-z]{2,})"
 _REST = (
     r"(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<secret>(?<!\w)(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w))"
-    r"|(?P<phone>\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ -]?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?![0-9]|\.[0-9])){2,5}|(?<![\w.+)-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![\w-]|\.[0-9]))"
-    r"|(?P<date>(?<![\w.-])(?:[0-9]{4}(?P<mark>[-/.])[0-9]{2}(?P=mark)[0-9]{2}|[0-9]{2}(?P<cut>[./-])[0-9]{2}(?P=cut)[0-9]{4}|[0-9]{1,2} " + _MONTH + r" [0-9]{4}|" + _MONTH + r" [0-9]{1,2}, [0-9]{4})(?![\w-]|[.][0-9]))"
+    r"|(?P<phone>\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|" + _ABROAD + r"|(?<![\w.+)-])(?:1[-. ])?(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![\w-]|\.[0-9]))"
+    r"|(?P<date>(?<![\w.-])(?:[0-9]{4}(?P<mark>[-/.])[0-9]{1,2}(?P=mark)[0-9]{1,2}|[0-9]{1,2}(?P<cut>[./-])[0-9]{1,2}(?P=cut)[0-9]{4}|[0-9]{1,2} " + _MONTH + r" [0-9]{4}|" + _MONTH + r" [0-9]{1,2}, [0-9]{4})(?:(?=T[0-9]{2}:?[0-9]{2})|(?![\w-]|[.][0-9])))"
     r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?\w))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.])[0-9](?:[ -]?[0-9]){12,18}(?!\w))"
@@ -124,11 +140,12 @@ def _email(f: Permutation, s: str) -> str | None:
 
 
 def _phone(f: Permutation, s: str) -> str | None:
-    code = (re.match(r"\+[0-9]{1,3}", s) or [""])[0]
+    code = (_CODE.match(s) or [""])[0]
     own = _digits(s[len(code) :])
-    if not 7 <= len(own) <= 16 - len(code):
+    if not 7 <= len(_digits(s)) <= 15:
         return None
-    return code + _filled(s[len(code) :], str(f(int(own), 10 ** len(own), "phone" + code)).zfill(len(own)))
+    tweak = "phone+1" if code == "1" else "phone" + code
+    return code + _filled(s[len(code) :], str(f(int(own), 10 ** len(own), tweak)).zfill(len(own)))
 
 
 def _card(f: Permutation, s: str) -> str | None:
@@ -176,13 +193,16 @@ def _shapes(s: str) -> list[str]:
         return ["%B {d}, %Y"]
     if " " in s:
         return ["{d} %B %Y"]
+    mark = next(c for c in s if not c.isdigit())
     if s[:4].isdigit():
-        return [f"%Y{s[4]}%m{s[4]}%d"]
-    return [f"%d{s[2]}%m{s[2]}%Y", f"%m{s[2]}%d{s[2]}%Y"]
+        return [f"%Y{mark}%m{mark}%d"]
+    return [f"%d{mark}%m{mark}%Y", f"%m{mark}%d{mark}%Y"]
 
 
 def _date(f: Permutation, s: str) -> str | None:
-    """Numbers parted by dots, dashes or slashes are day, month, year where that is a date, else month, day, year."""
+    """Numbers parted by dots, dashes or slashes are day, month, year where that is a date, else month, day, year. Where one of them has one digit, days and months stay below ten or not."""
+    numbers = re.findall("[0-9]+", s)
+    loose = len(numbers) == 3 and any(len(x) == 1 for x in numbers)
     for shape in _shapes(s):
         try:
             day = datetime.datetime.strptime(s, shape.replace("{d}", "%d")).date().toordinal()
@@ -191,8 +211,16 @@ def _date(f: Permutation, s: str) -> str | None:
         if not FIRST <= day <= LAST:
             return None
         # The order read is part of the format: a pseudonym of month, day, year must not read as day, month, year.
-        ok = (lambda _: True) if not shape.startswith("%m") else lambda v: datetime.date.fromordinal(FIRST + v).day > 12
+        fields = dict(zip(re.findall("%(.)", shape), numbers))
+
+        def ok(v: int) -> bool:
+            d = datetime.date.fromordinal(FIRST + v)
+            same = not loose or all((n > 9) == (int(fields[k]) > 9) for k, n in (("d", d.day), ("m", d.month)))
+            return same and (d.day > 12 or not shape.startswith("%m"))
+
         made = datetime.date.fromordinal(FIRST + f(day - FIRST, LAST - FIRST + 1, "date" + shape, ok))
+        if loose:
+            return re.sub("%(.)", lambda m: f"{ {'d': made.day, 'm': made.month, 'Y': made.year}[m[1]]:0{len(fields[m[1]])}d}", shape)
         return made.strftime(shape.replace("{d}", str(made.day)))
     return None
 

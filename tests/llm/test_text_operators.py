@@ -293,6 +293,29 @@ def test_pii_knows_other_ways_to_write(old):
     assert old not in made and sum(counts.values()) == 1 and made.endswith(", x")
 
 
+@pytest.mark.parametrize("old", ["+442079460958", "+4930123456", "+44 7700 900123", "+91 98765 43210", "+49 30 123456", "+33 1 23 45 67 89", "+44.20.7946.0958", "+44 (0)20 7946 0958", "1-415-555-2671", "5/6/2020", "1-2-2020", "2024-5-6", "5/26/2020", "2024-05-06T10:00:00Z"])
+def test_pii_of_common_layouts(old):
+    f = pii.Permutation(b"k")
+    made, counts = pii.pseudonymise(f"on {old}, x", f)
+    assert made.split(",")[0][3:] != old and sum(counts.values()) == 1 and made.endswith(", x")
+    assert [c if not c.isdigit() else "0" for c in made] == [c if not c.isdigit() else "0" for c in f"on {old}, x"]
+    for code in ("+44", "+49", "+91", "+33", "1-"):
+        assert not old.startswith(code) or not counts.get("phone") or made[3:].startswith(code)
+    assert "T" not in old or made.endswith("T10:00:00Z, x")
+
+
+def test_pii_beside_phones_stays_apart():
+    f = pii.Permutation(b"k")
+    for other, kind in (("2021-02-28", "date"), ("123-45-6789", "ssn"), ("170.106.47.218", "ip"), ("4111 1111 1111 1111", "card"), ("499-555-6503", "phone")):
+        made, counts = pii.pseudonymise(f"+44 7700 900123 {other}", f)
+        assert sum(counts.values()) == 2 and counts[kind] >= 1 and made.split(" ", 3)[3] == pii.pseudonymise(other, f)[0]
+    assert pii.pseudonymise("+442079460958", f)[0] == pii.pseudonymise("+44 20 7946 0958", f)[0].replace(" ", "")
+    days = [f"{d}/{m}/2001" for d in range(1, 10) for m in range(1, 10)]
+    assert len({pii.pseudonymise(x, f)[0] for x in days}) == len(days)
+    for same in ("+123456", "13/45/2020", "2024-05-06Thursday", "+1234567890123456789"):
+        assert pii.pseudonymise(same, f) == (same, {})
+
+
 def test_pii_is_linear_in_long_runs():
     f = pii.Permutation(b"k")
     text = "q" * 200_000 + " a@b.example.org " + "1" * 100_000 + " " + "+1 " * 20_000
