@@ -8,6 +8,10 @@ them. A paragraph is a notice if ordinary text is the less likely half; its fami
 least SURE and the comparison with the family's notices confirms it (it has the share CONFIRM of one notice's word
 pairs), else the notice is unknown.
 
+Notices are wrapped: from each line that is not confirmed alone, the lines after it, up to a blank one, one confirmed
+alone or as many words as the longest notice has, are joined (with the word pairs across line ends; comment marks are
+no words), classified and confirmed as one paragraph. A confirmed one stands for its lines, at its first.
+
 A paragraph without any feature is ordinary text. A null or empty text has no paragraphs. Texts are read whole, each
 row by itself: no shuffle, so copies and hot sources cost what they weigh; repeated rows are scanned each; other
 columns are ignored; an empty table gives no rows.
@@ -69,6 +73,8 @@ SURE, CONFIRM = 0.5, 0.6
 #: Documents of the corpus, and paragraphs of each, that training reads as examples of ordinary text at most.
 SAMPLE, EACH = 400, 4
 COPIES, STEPS, DECAY = 30, 300, 1e-4
+#: Words of the longest notice.
+LONGEST = max(len(re.findall(r"[^\W_]+", n)) for ns in NOTICES.values() for n in ns)
 #: Words of notices that ordinary text has as often are no features by themselves.
 CUT = r"[^\p{L}\p{N}]+"
 
@@ -187,7 +193,7 @@ def _slots(hashes: list[int]) -> tuple[int, int]:
 
 def scan(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """docs with an array of the notices found: paragraph (from 0), family, probability and whether the comparison confirmed it. Columns of the names used are replaced."""
-    docs = docs.drop("notices", "_lines", "_scored", "_odds", "_judged")
+    docs = docs.drop("notices", "_words", "_all", "_lines", "_scored", "_odds", "_judged", "_alone", "_joined")
     hashes = _hashes(docs.sparkSession, model["features"])
     shift, bits = _slots(hashes)
     mask = (1 << bits) - 1
@@ -203,13 +209,22 @@ def scan(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     def slot(g: Column) -> Column:
         return F.shiftright(g, shift).bitwiseAND(F.lit(mask)).cast("int") + 1
 
-    def hits(line: Column) -> Column:
-        ws = F.filter(F.split(line, CUT), lambda w: w != "")
+    def known(gs: Column) -> Column:
+        return F.filter(gs, lambda g: F.element_at(keys, slot(g)) == g)
+
+    def hits(ws: Column) -> Column:
         pairs = F.zip_with(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), _hash_of)
-        return F.filter(F.concat(F.transform(ws, lambda w: _hash_of(w)), pairs), lambda g: F.element_at(keys, slot(g)) == g)
+        return known(F.concat(F.transform(ws, lambda w: _hash_of(w)), pairs))
+
+    def link(ws: Column, after: Column) -> Column:
+        """The word pair across the line end, if known."""
+        pair = F.array(_hash_of(F.try_element_at(ws, F.lit(-1)), F.try_element_at(after, F.lit(1))))
+        return F.when((F.size(ws) > 0) & (F.size(after) > 0), known(pair)).otherwise(F.lit([]).cast("array<bigint>"))
 
-    lines = F.transform(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda line, i: F.struct(i.alias("paragraph"), F.array_distinct(hits(line)).alias("hits")))
-    rows = docs.select("*", F.filter(lines, lambda x: F.size(x["hits"]) > 0).alias("_lines"))
+    split = F.transform(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda line: F.filter(F.split(line, CUT), lambda w: w != ""))
+    rows = docs.select("*", split.alias("_words"))
+    lines = F.transform("_words", lambda ws, i: F.struct(i.alias("paragraph"), i.alias("end"), F.array_distinct(hits(ws)).alias("hits"), F.size(ws).alias("n"), link(ws, F.get("_words", i + 1)).alias("link")))
+    rows = rows.select("*", lines.alias("_all")).drop("_words")
 
     def logits(x: Column) -> Column:
         at = F.transform(x["hits"], lambda g: F.element_at(index, slot(g)) + 1)
@@ -224,28 +239,62 @@ def scan(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
         sets = [[by[p] for p in set(zip(ws, ws[1:]))] for ws in map(words, NOTICES[family])]
         return F.greatest(*[F.size(F.array_intersect(hit, _longs(s))) / F.lit(float(len(s))) for s in sets], F.lit(0.0))
 
-    step = F.transform("_lines", lambda x: F.struct(x["paragraph"].alias("paragraph"), x["hits"].alias("hits"), logits(x).alias("z")))
-    rows = rows.select("*", step.alias("_scored")).drop("_lines")
-    step = F.transform("_scored", lambda x: F.struct(x["paragraph"].alias("paragraph"), x["hits"].alias("hits"), F.transform(x["z"], lambda z: F.exp(z - F.array_max(x["z"]))).alias("e")))
-    rows = rows.select("*", step.alias("_odds")).drop("_scored")
-
     def judge(x: Column) -> Column:
         total = F.aggregate(x["e"], F.lit(0.0), lambda s, e: s + e)
         licence = F.slice(x["e"], 1, none)
         best = F.array_position(licence, F.array_max(licence)).cast("int")
         return F.struct(
-            x["paragraph"].alias("paragraph"), x["hits"].alias("hits"), F.element_at(F.array(*map(F.lit, CLASSES)), best).alias("family"),
+            x["paragraph"].alias("paragraph"), x["end"].alias("end"), x["hits"].alias("hits"), F.element_at(F.array(*map(F.lit, CLASSES)), best).alias("family"),
             (F.array_max(licence) / total).alias("probability"), (F.element_at(x["e"], none + 1) / total).alias("ordinary"),
         )
 
-    rows = rows.select("*", F.filter(F.transform("_odds", judge), lambda x: x["ordinary"] < 0.5).alias("_judged")).drop("_odds")
-
     def confirm(x: Column) -> Column:
         alike = F.coalesce(*(F.when(x["family"] == f, share(x["hits"], f)) for f in NOTICES), F.lit(0.0))
         sure = (x["probability"] >= SURE) & (alike >= CONFIRM)
-        return F.struct(x["paragraph"].alias("paragraph"), F.when(sure, x["family"]).otherwise(F.lit(UNKNOWN)).alias("family"), x["probability"].alias("probability"), sure.alias("confirmed"))
-
-    return rows.select("*", F.transform("_judged", confirm).alias("notices")).drop("_judged")
+        return F.struct(x["paragraph"].alias("paragraph"), F.when(sure, x["family"]).otherwise(F.lit(UNKNOWN)).alias("family"), x["probability"].alias("probability"), sure.alias("confirmed"), x["end"].alias("end"), alike.alias("alike"))
+
+    def judged(rows: DataFrame, name: str) -> DataFrame:
+        """rows with the notices among the paragraphs of _lines, which goes."""
+        step = F.transform("_lines", lambda x: F.struct(x["paragraph"].alias("paragraph"), x["end"].alias("end"), x["hits"].alias("hits"), logits(x).alias("z")))
+        rows = rows.select("*", step.alias("_scored")).drop("_lines")
+        step = F.transform("_scored", lambda x: F.struct(x["paragraph"].alias("paragraph"), x["end"].alias("end"), x["hits"].alias("hits"), F.transform(x["z"], lambda z: F.exp(z - F.array_max(x["z"]))).alias("e")))
+        rows = rows.select("*", step.alias("_odds")).drop("_scored")
+        rows = rows.select("*", F.filter(F.transform("_odds", judge), lambda x: x["ordinary"] < 0.5).alias("_judged")).drop("_odds")
+        return rows.select("*", F.transform("_judged", confirm).alias(name)).drop("_judged")
+
+    rows = judged(rows.select("*", F.filter("_all", lambda x: F.size(x["hits"]) > 0).alias("_lines")), "_alone")
+
+    def own(x: Column) -> Column:
+        return F.exists("_alone", lambda a: a["confirmed"] & (a["paragraph"] == x["paragraph"]))
+
+    def add(a: Column, x: Column) -> Column:
+        more = a["open"] & (a["n"] < LONGEST) & (x["n"] > 0) & ~own(x)
+        gained = F.struct(F.array_union(a["hits"], F.concat(a["link"], x["hits"])).alias("hits"), x["link"].alias("link"), (a["n"] + x["n"]).alias("n"), F.lit(True).alias("open"), x["paragraph"].alias("end"))
+        return F.when(more, gained).otherwise(F.struct(a["hits"].alias("hits"), a["link"].alias("link"), a["n"].alias("n"), F.lit(False).alias("open"), a["end"].alias("end")))
+
+    def join(x: Column) -> Column:
+        start = F.struct(x["hits"].alias("hits"), x["link"].alias("link"), F.lit(0).alias("n"), F.lit(True).alias("open"), x["end"].alias("end"))
+        # Lines with words have one each at least: no more than LONGEST can be joined.
+        return F.aggregate(F.slice("_all", x["paragraph"] + 2, LONGEST), start, add, lambda a: F.struct(x["paragraph"].alias("paragraph"), a["end"].alias("end"), a["hits"].alias("hits")))
+
+    begin = F.filter("_all", lambda x: ((F.size(x["hits"]) > 0) | (F.size(x["link"]) > 0)) & ~own(x))
+    rows = rows.select("*", F.transform(begin, join).alias("_lines")).drop("_all")
+    rows = rows.withColumn("_lines", F.filter("_lines", lambda x: (x["end"] > x["paragraph"]) & (F.size(x["hits"]) > 1)))
+    rows = judged(rows, "_joined")
+
+    def merge(a: Column, x: Column) -> Column:
+        """Of overlapping joined paragraphs of a family the likest stands for all."""
+        last = F.try_element_at(a, F.lit(-1))
+        best = F.when(x["alike"] >= last["alike"], x).otherwise(last)
+        both = F.struct(*(best[c].alias(c) for c in ("paragraph", "family", "probability", "confirmed")), F.greatest(last["end"], x["end"]).alias("end"), best["alike"].alias("alike"))
+        over = (F.size(a) > 0) & (last["family"] == x["family"]) & (last["end"] >= x["paragraph"])
+        return F.when(over, F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(a, F.array(x)))
+
+    sure = F.filter("_joined", lambda x: x["confirmed"])
+    rows = rows.withColumn("_joined", F.aggregate(sure, F.filter("_joined", lambda x: F.lit(False)), merge))
+    rest = F.filter("_alone", lambda s: s["confirmed"] | ~F.exists("_joined", lambda m: (m["paragraph"] <= s["paragraph"]) & (s["paragraph"] <= m["end"])))
+    notices = F.transform(F.array_sort(F.concat(rest, F.col("_joined"))), lambda x: F.struct(*(x[c].alias(c) for c in ("paragraph", "family", "probability", "confirmed"))))
+    return rows.select("*", notices.alias("notices")).drop("_alone", "_joined")
 
 
 def _doubles(values) -> Column:

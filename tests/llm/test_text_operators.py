@@ -286,6 +286,23 @@ def test_licences(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_licences_wrapped_over_lines(spark):
+    rng = random.Random(4)
+    wrapped = {
+        "gpl": ["# This program is free software: you can redistribute it and/or modify", "# it under the terms of the GNU General Public License as published by", "# the Free Software Foundation, either version 3 of the License, or", "# (at your option) any later version."],
+        "mit": [" * Permission is hereby granted, free of charge, to any person", " * obtaining a copy of this software and associated documentation", " * files, to deal in it"],
+        "bsd": ["Redistribution and use in source and binary", "forms, with or without modification, are", "permitted provided that the following", "conditions are met:"],
+    }
+    rows = [(i, C.prose(rng, 60)) for i in range(40)]
+    rows += [(100 + i, C.prose(rng, 40) + "\n" * k + "\n".join(x)) for i, (x, k) in enumerate((x, k) for x in wrapped.values() for k in (1, 2))]
+    rows += [(200, "Released under the MIT License.\n" + "\n".join(wrapped["gpl"])), (201, "Released under the MIT License.\nLicensed under CC BY 4.0"), (202, "free software can\n\nredistribute")]
+    got = {r["doc_id"]: r for r in licences.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, f in enumerate(f for f in wrapped for _ in range(2)):
+        assert (got[100 + i]["licence"], got[100 + i]["confirmed"], got[100 + i]["families"].split(",").count(f)) == (f, True, 1), f
+    assert got[200]["families"].split(",")[:2] == ["mit", "gpl"] and got[201]["families"] == "mit,cc-by"
+    assert all(got[i]["n_notices"] == 0 for i in range(40)) and not got[202]["confirmed"]
+
+
 @pytest.mark.parametrize("old", ["12 March 1990", "March 2, 1990", "1990/03/12", "12-03-1990", "(499) 555-6503", "499-555-6503", "+44 20 7946 0958"])
 def test_pii_knows_other_ways_to_write(old):
     f = pii.Permutation(b"k")
