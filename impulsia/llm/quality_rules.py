@@ -1,12 +1,13 @@
 """Quality rules whose cutoffs are risk-controlled.
 
-Each rule rejects a document whose measure exceeds a cutoff. For each stratum (language) and rule, cutoffs of a fixed
-grid are tested from lenient to strict on labelled good documents: the exact (Clopper-Pearson) upper bound of the
-share of good documents beyond the cutoff must not exceed RISK. Testing in fixed order stops at the first failure, and
-each stratum and rule has an equal share of the error level (Bonferroni), so that with probability 1 - LEVEL no chosen
-cutoff anywhere rejects more than RISK of the good documents of its stratum. Of the certified cutoffs the most lenient
-is taken that rejects nearly all the bad documents that the strictest does. A stratum with too few labels to certify a
-cutoff has none: its documents are kept.
+Each rule rejects a document whose measure exceeds a cutoff. Labelled documents are parted in two by their ids. For each
+stratum (language) one half proposes a cutoff of a fixed grid for every rule: of those beyond which no more than RISK of
+its good documents lie, the most lenient that rejects nearly all the bad documents that the strictest does. The other
+half tests all rules together, from lenient to strict, every cutoff the same number of steps of the grid above its
+proposal: the exact (Clopper-Pearson) upper bound of the share of good documents that any rule rejects must not exceed
+RISK. Testing in fixed order stops at the first failure, and each stratum has an equal share of the error level
+(Bonferroni), so that with probability 1 - LEVEL the rules together reject no more than RISK of the good documents of
+any stratum. A stratum with too few labels to certify cutoffs has none: its documents are kept.
 
 A null or empty text has no words and fails the base rules. A null language is a stratum of its own. Documents without
 a label, with a null label or a null id count in no test. Repeated rows are judged each; an empty table gives no rows.
@@ -113,39 +114,58 @@ def upper_bound(bad: int, n: int, level: float) -> float:
     return hi
 
 
-def certified(good: int, beyond: list[int], bad_beyond: list[int], level: float, risk: float = RISK) -> float | None:
-    """The cutoff for a stratum and rule, from how many of the good and bad documents lie beyond each of the grid."""
-    last = -1
-    if good:
-        for i, k in enumerate(beyond):
-            # A share above the bound fails without computing it.
-            if k > risk * good or upper_bound(k, good, level) > risk:
-                break
-            last = i
+def proposed(good: int, beyond: list[int], bad_beyond: list[int], risk: float = RISK) -> int | None:
+    """The index of a rule's cutoff, from how many of the good and bad documents lie beyond each of the grid."""
+    last = sum(k <= risk * good for k in beyond) - 1 if good else -1
     if last < 0 or not bad_beyond[last]:
         return None
-    return next(GRID[i] for i in range(last + 1) if bad_beyond[i] >= NEARLY * bad_beyond[last])
+    return next(i for i in range(last + 1) if bad_beyond[i] >= NEARLY * bad_beyond[last])
+
+
+def certified(good: int, most: dict[int, int], level: float, risk: float = RISK) -> int | None:
+    """The fewest steps above the proposals that are certified, from how many good documents are rejected up to how many steps at most."""
+    found, k = None, 0
+    for steps in range(len(GRID) - 1, -1, -1):
+        k += most.get(steps, 0)
+        # A share above the bound fails without computing it.
+        if not good or k > risk * good or upper_bound(k, good, level) > risk:
+            break
+        found = steps
+    return found
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> dict[str, dict[str, float]]:
     """Cutoffs by stratum and rule, from all labelled documents: counts by stratum, rule and grid cell come to the driver."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    base = _base()
-    rows = measured.where(~base).join(known, "doc_id")
-    cells = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _cell(F.expr(e)).alias("cell")) for r, e in RULES.items())))
-    counted_ = rows.select(F.coalesce(stratum, F.lit("")).alias("stratum"), "quality", cells.alias("c")).groupBy("stratum", "quality", "c.rule", "c.cell").count()
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    rows = measured.where(~_base()).join(known, "doc_id").select(F.coalesce(stratum, F.lit("")).alias("stratum"), "quality", half.alias("half"), *(_cell(F.expr(e)).alias(r) for r, e in RULES.items()))
+    cells = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("cell")) for r in RULES)))
+    counted_ = rows.where("half = 0").select("stratum", "quality", cells.alias("c")).groupBy("stratum", "quality", "c.rule", "c.cell").count()
     seen: dict[str, dict[str, dict[int, list[int]]]] = {}
     for r in counted_.collect():
         by = seen.setdefault(r["stratum"], {x: {0: [0] * (len(GRID) + 1), 1: [0] * (len(GRID) + 1)} for x in RULES})
         by[r["rule"]][int(r["quality"] > 0)][r["cell"]] += r["count"]
-    each = level / max(1, len(seen) * len(RULES))
-    out: dict[str, dict[str, float]] = {}
+    tried: dict[str, dict[str, int]] = {}
     for s, by in seen.items():
         for rule, hist in by.items():
             beyond = [[sum(h[: i + 1]) for i in range(len(GRID))] for h in (hist[1], hist[0])]
-            cut = certified(sum(hist[1]), beyond[0], beyond[1], each, risk)
-            if cut is not None:
-                out.setdefault(s, {})[rule] = cut
+            at = proposed(sum(hist[1]), beyond[0], beyond[1], risk)
+            if at is not None:
+                tried.setdefault(s, {})[rule] = at
+    if not tried:
+        return {}
+    steps = F.lit(-1)  # above its proposals, up to which some rule rejects the document
+    for s, rules in tried.items():
+        steps = F.when(F.col("stratum") == s, F.greatest(F.lit(-1), *(F.lit(at) - F.col(rule) for rule, at in rules.items()))).otherwise(steps)
+    most: dict[str, dict[int, int]] = {}
+    for r in rows.where("half = 1 AND quality > 0").select("stratum", steps.alias("steps")).groupBy("stratum", "steps").count().collect():
+        most.setdefault(r["stratum"], {})[r["steps"]] = r["count"]
+    out: dict[str, dict[str, float]] = {}
+    for s, rules in tried.items():
+        above = certified(sum(most.get(s, {}).values()), most.get(s, {}), level / len(tried), risk)
+        own = {rule: GRID[at - above] for rule, at in rules.items() if above is not None and at >= above}
+        if own:
+            out[s] = own
     return out
 
 

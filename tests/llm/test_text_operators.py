@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from impulsia.llm import bpe, common, ctw, fingerprints, licences, pii, quality_rules
@@ -131,6 +132,21 @@ def test_quality_rules_count_and_keep(spark):
     assert quality_rules.judged(df.limit(0), labels).count() == 0
 
 
+def test_quality_rules_bound_the_verdict_not_each_rule(spark):
+    """Good documents fail different rules, each under the bound and more of them together."""
+    columns = ["doc_id", *quality_rules.COUNTS]
+    plain = dict(n_words=1000, word_chars=5000, n_symbols=0, n_dup_lines=0, n_repeat_words=0, n_lines=100, n_upper=0, n_marks=0)
+    odd = [dict(n_symbols=900), dict(n_marks=900), dict(n_upper=4000), dict(n_dup_lines=90), dict(n_repeat_words=450), dict(word_chars=30_000)]
+    good = [plain | (odd[i % 6] if i < 6 * 150 else {}) for i in range(10_000)]  # 1.5% beyond each
+    bad = [plain | odd[i % 6] for i in range(600)]
+    rows = [(i, *(x[c] for c in quality_rules.COUNTS)) for i, x in enumerate(good + bad)]
+    measured = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in columns)).withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(i, int(i < len(good))) for i in range(len(rows))], "doc_id long, quality int")
+    found = quality_rules.cutoffs(measured, labels).get("en", {})
+    fails = " or ".join(["false", *(f"{quality_rules.RULES[r]} > {cut}" for r, cut in found.items())])
+    assert measured.where(f"doc_id < {len(good)} and ({fails})").count() <= quality_rules.RISK * len(good)
+
+
 def test_binomial_bound_is_exact():
     def tail(k, n, p):
         return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
