@@ -70,8 +70,9 @@ OTHERS = [
 NONE, UNKNOWN = "none", "unknown"
 CLASSES = [*NOTICES, UNKNOWN, NONE]
 SURE, CONFIRM = 0.5, 0.6
-#: Documents of the corpus, and paragraphs of each, that training reads as examples of ordinary text at most.
-SAMPLE, EACH = 400, 4
+#: Documents of the corpus, paragraphs of each and characters of these that training reads as examples of ordinary text
+#: at most, from anywhere in a text and in a paragraph, as hashes fall.
+SAMPLE, EACH, CHARS = 400, 4, 600
 COPIES, STEPS, DECAY = 30, 300, 1e-4
 #: Words of the longest notice.
 LONGEST = max(len(re.findall(r"[^\W_]+", n)) for ns in NOTICES.values() for n in ns)
@@ -143,7 +144,9 @@ def temperature(rows: list[tuple[set, int]], features: dict, w: np.ndarray, b: n
 def train(docs: DataFrame, sample: int = SAMPLE, seed: int = 11) -> dict:
     """The model. docs: doc_id, text; of which a bounded sample, the smallest hashed ids, gives ordinary paragraphs."""
     some = docs.where("text IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    paragraphs = some.select(F.explode(F.slice(F.split("text", r"\n+"), 1, EACH)).alias("p")).where("length(p) > 0").select(F.substring("p", 1, 600).alias("p")).collect()
+    dealt = F.sort_array(F.transform(F.filter(F.split("text", r"\n+"), lambda p: p != ""), lambda p: F.struct(F.xxhash64(p, F.col("doc_id")).alias("h"), p.alias("p"))))
+    start = F.pmod("h", F.greatest(F.length("p") - CHARS, F.lit(0)) + 1).cast("int") + 1
+    paragraphs = some.select(F.explode(F.slice(dealt, 1, EACH)).alias("x")).select("x.*").select(F.col("p").substr(start, F.lit(CHARS)).alias("p")).collect()
     fronts = [set(zip(ws, ws[1:])) for ns in NOTICES.values() for ws in map(words, ns)]
     background = []
     for r in sorted(r["p"] for r in paragraphs):

@@ -302,6 +302,14 @@ def test_licences(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_licences_learn_ordinary_text_from_whole_texts(spark):
+    """Words that only later lines, or later parts of a long line, have are ordinary too."""
+    rng = random.Random(8)
+    rows = [(i, "\n".join([C.prose(rng, 8) for _ in range(4)] + ["so unencumbered here"] * 40) if i % 2 else C.prose(rng, 300) + " so dedicated here" * 300) for i in range(80)]
+    features = licences.train(spark.createDataFrame(rows, "doc_id long, text string"))["features"]
+    assert ("unencumbered",) not in features and ("dedicated",) not in features and ("universal",) in features
+
+
 def test_licences_wrapped_over_lines(spark):
     rng = random.Random(4)
     wrapped = {
