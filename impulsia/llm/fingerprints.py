@@ -13,15 +13,19 @@ fingerprinted each; columns that aren't asked for are ignored; an empty table gi
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from impulsia.llm import kernels as K
-from impulsia.llm.common import prepare, resident
+from impulsia.llm.common import parts, prepare, resident
 
 SHINGLE = 5
 #: One of so many hashes lies below the threshold.
@@ -30,8 +34,8 @@ FLOOR = 32
 #: Hashes are kept to so many bits; 5 bytes each.
 BITS = 40
 TOP = 1 << BITS
-#: Neighbours by id are found within runs of so many ids, and then between the runs' ends.
-RUN = 1024
+#: Neighbours by id are found within runs of ids and between the runs' ends: so many runs a partition of the shuffle, and so many runs in all at most.
+RUNS, MOST_RUNS = 4, 1 << 14
 
 
 class Sketches:
@@ -159,25 +163,50 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes or [np.empty(0, np.uint64)]), np.concatenate(bounds)
 
 
+def _in_runs(rows: DataFrame, runs: int) -> DataFrame:
+    """rows with a run: even, consecutive ranges of descending ids, ascending from the largest ids to the null ones. An id that fills several of them has as many, over which its rows are dealt by a hash."""
+    total, known = rows.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    at = rows.approxQuantile("doc_id", [k / runs for k in range(1, runs)], 1 / (4 * runs)) if known else []
+    times = Counter(at)
+    wide = {x: k for x, k in times.items() if k > 1}
+    cuts = sorted({*times, *(math.nextafter(x, math.inf) for x in wide)}) or [0.0]
+    bucketizer = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_id", outputCol="_range", handleInvalid="keep")
+    rows = bucketizer.transform(rows.withColumn("_id", F.col("doc_id").cast("double")))
+    rows = rows.withColumn("_back", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("_range").cast("long")))
+    shares = {bisect_right(cuts, x): k for x, k in wide.items()}
+    # Large ids that one double stands for lie in one range: the most frequent is dealt, others come before and after it.
+    often = rows.where(F.col("_back").isin([*shares])).groupBy("_back", "doc_id").count().groupBy("_back").agg(F.max_by("doc_id", "count").alias("_hot")) if shares else None
+    hot = {r["_back"]: r["_hot"] for r in often.collect()} if shares else {}
+    table = [(x, k, hot.get(x)) for x, k in shares.items()] + [(-1, -(-(total - known) * runs // max(1, total)), None)]
+    subs = rows.sparkSession.createDataFrame(table, "_back long, _subs long, _hot long")
+    rows = rows.join(F.broadcast(subs), "_back", "left")
+    dealt = F.pmod(F.xxhash64("tie", F.monotonically_increasing_id()), F.col("_subs"))
+    sub = F.when(F.col("doc_id") > F.col("_hot"), 0).when(F.col("doc_id") < F.col("_hot"), F.col("_subs") - 1).when(F.col("_subs") > 1, dealt).otherwise(F.lit(0))
+    return rows.withColumn("run", F.col("_back") * F.lit(-(1 << 32)) + sub).drop("_id", "_range", "_back", "_subs", "_hot")
+
+
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edit, whose last third is replaced by as much of the start of the next document by descending doc_id (after the last, the first).
 
-    Ties in doc_id go by text hash; null ids come last. The text is shuffled once, by runs of ids; the first row of the next run, found before the shuffle, joins each run as its end.
+    Rows of one id follow each other by text hash (an id so frequent that it fills several runs, run by run); null ids come last. The text is shuffled once, by runs of ids; the first row of the next run, found before the shuffle, joins each run as its end.
     """
     prepare(docs.sparkSession)
-    run = F.coalesce(F.floor(F.col("doc_id") / F.lit(RUN)).cast("long"), F.lit(-(1 << 62)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), run.alias("run"), F.xxhash64("text").alias("tie"))
+    n = parts(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
+    rows = _in_runs(rows, max(2, min(RUNS * n, MOST_RUNS)))
     order = [F.desc_nulls_last("doc_id"), F.col("tie")]
     first = rows.select("*", F.row_number().over(Window.partitionBy("run").orderBy(*order)).alias("place")).where("place = 1")
-    down = Window.orderBy(F.desc("run"))
-    links = rows.select("run").distinct().select("run", F.coalesce(F.lead("run").over(down), F.max("run").over(Window.partitionBy())).alias("next_run"))
+    # A row a run, of which there are MOST_RUNS and a few at most: no window over documents.
+    down = Window.orderBy("run")
+    links = rows.select("run").distinct().select("run", F.coalesce(F.lead("run").over(down), F.min("run").over(Window.partitionBy())).alias("next_run"))
     ends = links.join(first.select(F.col("run").alias("next_run"), "text"), "next_run")
-    ends = ends.select(F.lit(None).cast("long").alias("doc_id"), "text", "run", F.lit(0).cast("long").alias("tie"), F.lit(1).alias("end"))
+    ends = ends.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("tie"), "run", F.lit(1).alias("end"))
     after = Window.partitionBy("run").orderBy("end", *order)
-    pairs = rows.select("*", F.lit(0).alias("end")).unionByName(ends).select("*", F.lead("text").over(after).alias("next_text")).where("end = 0")
-    n = F.char_length("text").cast("long")
+    dealt = rows.select("*", F.lit(0).alias("end")).unionByName(ends).repartition(n, "run")
+    pairs = dealt.select("*", F.lead("text").over(after).alias("next_text")).where("end = 0")
+    n_chars = F.char_length("text").cast("long")
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 3 as int))"), F.expr("substring(next_text, 1, cast(n_chars div 3 as int))"))
-    pairs = pairs.select("*", n.alias("n_chars")).select("*", edited.alias("edited"))
+    pairs = pairs.select("*", n_chars.alias("n_chars")).select("*", edited.alias("edited"))
     pairs = pairs.select("*", F.sha2(F.col("edited"), 256).alias("edited_sha256"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_edited double, n_shingles long"
     return pairs.mapInArrow(_compared, schema)
