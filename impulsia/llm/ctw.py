@@ -416,7 +416,7 @@ def scored(docs: DataFrame) -> DataFrame:
     slots = parts(docs)
     words, n, v, tree = train(rows, slots)
     shared = docs.sparkSession.sparkContext.broadcast(tree.near)
-    dealt = X.bucketed(rows, slots)
+    dealt = X.bucketed(rows, X.Slots(slots, 1))
     asked = dealt.groupBy("_bucket").applyInArrow(_ask(slots), ASKED)
     counted = words.select(F.lit(0).alias("kind"), "_slot", "keys", "counts").union(tree.counts.select(F.lit(1).alias("kind"), "_slot", "keys", "counts"))
     replies = asked.groupBy("kind", "_slot").cogroup(counted.groupBy("kind", "_slot")).applyInArrow(_answer(shared), "kind int, _bucket int, keys binary, counts binary")

@@ -10,9 +10,14 @@ result is each document's component. Equal sets are one set from here on.
    cells of about CELL, each with the group's hub (its smallest set id). A cell stores its token union; a member is
    compared with the members of its own cells, and each cell's local components are found at once. Components that
    share a set, as most of a large group do, are one.
-3. For the links that remain, sets are queries against the cells that hold members of other components: the
-   token-group matrix, over the tokens of prefixes, says which cells may hold a link; a cell is opened only if the
-   query's overlap with its union reaches t n; members are then compared exactly.
+3. For the links that remain, sets are queries against the cells that hold members of other components. The
+   token-group matrix has a row for each token of a prefix and cell that has it in one: the number of rows that a query
+   meets bounds its overlap with the cell's members, and no set travels to a cell where it is less than a link needs
+   (as in step 1, MATRIX percent for L). A cell is then opened only if the query's overlap with its whole union reaches
+   t n; members are compared exactly. The queries of a cell are dealt into parts of about QUERIES, each with the members.
+
+What has a row a document, set or component is joined by spread_join(): a third of all rows may be copies of one text
+or lie in one component.
 
 A null or empty text, or one without words, has an empty set and links with nothing; a text of fewer words than a
 shingle has its whole sequence as its set. A null id is a member like any other but never the smallest. Repeated rows
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 
 from impulsia.llm import exchange as X
 from impulsia.llm import kernels as K
-from impulsia.llm.common import parts, prepare, resident, written
+from impulsia.llm.common import discard, hot_from, parts, place, prepare, resident, spread_join, written
 from impulsia.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 80
@@ -40,6 +45,10 @@ CELL, SMALLEST = 64, 4
 FREQUENT, LOCAL = 1 << 16, 4
 #: Of a set's tokens, the share that step 1 looks at beyond those that a link must touch, in percent.
 EXTRA = 30
+#: The same in step 3.
+MATRIX = 10
+#: Queries of a cell that a task holds, about.
+QUERIES = 2048
 
 
 def least_overlap(n):
@@ -69,11 +78,11 @@ def _first(tokens: np.ndarray, bounds: np.ndarray, count: np.ndarray) -> tuple[n
     return np.arange(len(text)) + np.repeat(bounds[:-1] - np.cumsum(count) + count, count), text
 
 
-def _looked_at(n: np.ndarray) -> np.ndarray:
-    return np.where(n > 0, np.minimum(n, prefix_length(n) - 1 + np.maximum(1, EXTRA * n // 100)), 0)
+def _looked_at(n: np.ndarray, extra: int = EXTRA) -> np.ndarray:
+    return np.where(n > 0, np.minimum(n, prefix_length(n) - 1 + np.maximum(1, extra * n // 100)), 0)
 
 
-def _send(slots: int):
+def _send(slots: X.Slots):
     def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         resident()
         seen: set[int] = set()
@@ -191,7 +200,7 @@ def _frequent(batches):
 
 
 def _prefixes(last):
-    """The tokens of each set's prefix, within which sets that link share one. last: tokens that come last, and in which order."""
+    """The tokens of each set's prefix. last: tokens that come last, and in which order."""
 
     def cut(batches):
         late, rank = last.value
@@ -205,7 +214,7 @@ def _prefixes(last):
                 at = np.minimum(np.searchsorted(late, flat), len(late) - 1)
                 order = np.where(late[at] == flat, rank[at], 0)
             flat = flat[np.lexsort((flat, order, text))]
-            count = prefix_length(n)
+            count = _looked_at(n, MATRIX)
             at, row = _first(flat, np.concatenate([[0], np.cumsum(n)]), count)
             rest = [batch.column(batch.schema.get_field_index(c)).take(pa.array(row)) for c in ("set_id", "comp", "n", "hub", "cell", "size")]
             yield pa.RecordBatch.from_arrays([pa.array(K.signed(flat[at]), pa.int64()), *rest], names=["token", "set_id", "comp", "n", "hub", "cell", "size"])
@@ -216,32 +225,41 @@ def _prefixes(last):
 def joined(docs: DataFrame) -> DataFrame:
     """For every row: doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
     prepare(docs.sparkSession)
-    slots = parts(docs)
+    slots = X.slots_for(parts(docs))
     dealt = X.bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), slots)
-    answers = X.answered(dealt.groupBy("_bucket").applyInArrow(_send(slots), X.SENT))
+    answers = X.answered(dealt.groupBy("_bucket").applyInArrow(_send(slots), X.SENT), slots)
     rows = dealt.groupBy("_bucket").cogroup(answers.groupBy("_bucket")).applyInArrow(_candidates, "doc_id long, n long, set_id long, tokens binary")
     rows = written(rows, "sets")
     members = rows.select("doc_id", "n", "set_id")
     links = components_of_sets(rows.where("tokens IS NOT NULL").select("set_id", "n", "tokens"))
-    named = members.join(links, "set_id", "left").select("doc_id", "n", F.coalesce("comp", "set_id").alias("comp"))
-    named = written(named, "members")
-    least = named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    found = named.join(least, "comp", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # A row a set, then a row a component; only sets of several documents or with links are asked for again.
+    sets = members.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times"))
+    sets = sets.join(links, "set_id", "left").where("times > 1 OR comp IS NOT NULL")
+    sets = written(sets.select("set_id", "least", "times", F.coalesce("comp", "set_id").alias("comp")), "named")
+    hot = hot_from(members.count())
+    roots = sets.groupBy("comp").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("sets"))
+    told = spread_join(sets.select("set_id", "times", "comp"), roots, "comp", "sets", hot, "set_id").select("set_id", "times", "component")
+    # Empty sets have no row to find, and are dealt out.
+    asking = members.withColumn("set_id", F.when(F.col("n") > 0, F.col("set_id")).otherwise(F.xxhash64(place())))
+    found = spread_join(asking, told, "set_id", "times", hot, place())
+    component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def components_of_sets(candidates: DataFrame) -> DataFrame:
     """set_id and comp, a name of its component, for each set of the candidates that links to another. Rows of equal set_id are copies."""
     sets = written(candidates.groupBy("set_id").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "distinct")
+    hot = hot_from(sets.count())
     # Of a set's smallest tokens (of eight bytes, little-endian, as they are sorted) the one that most sets have among theirs.
     first = F.explode(F.array(*(F.substring("tokens", 1 + 8 * k, 8) for k in range(SMALLEST)))).alias("least")
-    few = sets.select("set_id", first).where("length(least) = 8")
-    often = few.join(few.groupBy("least").agg(F.count(F.lit(1)).alias("times")), "least")
+    few = sets.select("set_id", first).where("length(least) = 8").select("set_id", F.xxhash64("least").alias("least"))
+    often = spread_join(few, few.groupBy("least").agg(F.count(F.lit(1)).alias("all"), F.count(F.lit(1)).alias("times")), "least", "all", hot, "set_id")
     often = often.groupBy("set_id").agg(F.max(F.struct("times", "least")).alias("_k")).select("set_id", "_k.least")
-    sets = written(sets.join(often, "set_id"), "candidates")
-    groups = sets.groupBy("least").agg(F.min("set_id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    chosen = written(sets.join(often, "set_id"), "candidates")
+    discard(sets)
+    groups = chosen.groupBy("least").agg(F.min("set_id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     cells = F.ceil(F.col("size") / F.lit(CELL)).cast("int")
-    placed = sets.join(groups.select("least", "hub", cells.alias("cells")), "least", "left")
+    placed = spread_join(chosen, groups.select("least", "hub", cells.alias("cells"), "size"), "least", "size", hot, "set_id")
     cell = F.when(F.col("set_id") == F.col("hub"), 0).otherwise(F.coalesce(F.pmod(F.xxhash64("set_id"), F.col("cells")), F.lit(0))).cast("int")
     placed = placed.select("set_id", "n", "tokens", F.coalesce("hub", "set_id").alias("hub"), cell.alias("cell"), "cells")
     # A set of a large group goes to a cell of either of two deals; where its local components meet, they are one.
@@ -253,31 +271,42 @@ def components_of_sets(candidates: DataFrame) -> DataFrame:
     local = written(others.unionByName(hubs).groupBy("hub", "cell").applyInArrow(_local, "set_id long, comp long"), "local")
     first = local.groupBy("set_id").agg(F.min("comp").alias("comp"), F.max("comp").alias("other"))
     met = components(first.where("comp <> other").select(F.col("comp").alias("a"), F.col("other").alias("b")).distinct())
-    first = first.join(met.select(F.col("node").alias("comp"), "root"), "comp", "left").select("set_id", F.coalesce("root", "comp").alias("comp"))
+    each = first.groupBy("comp").agg(F.count(F.lit(1)).alias("sets")).join(met.select(F.col("node").alias("comp"), "root"), "comp")
+    first = spread_join(first.select("set_id", "comp"), each, "comp", "sets", hot, "set_id").select("set_id", F.coalesce("root", "comp").alias("comp"))
     comps = written(placed.join(first, "set_id", "left").select("set_id", "n", "tokens", "hub", "cell", F.coalesce("comp", "set_id").alias("comp")), "comps")
+    discard(chosen, local)
 
     # The matrix has a row for each token and cell; of two sets, the one of the smaller component (of equals, of the
     # smaller name) asks the other's cell.
-    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    grouped = comps.join(sizes, "comp", "left").select("set_id", "n", "tokens", "comp", "hub", "cell", F.coalesce("size", F.lit(1)).alias("size"))
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.count(F.lit(1)).alias("times")).where("size > 1")
+    grouped = spread_join(comps, sizes, "comp", "times", hot, "set_id").withColumn("size", F.coalesce("size", F.lit(1)))
     # Any one order of tokens is right; with frequent ones last, sets that share a common passage alone don't meet.
     often = comps.select("tokens").mapInArrow(_frequent, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
-    often = often.orderBy(F.desc("times"), "token").limit(FREQUENT).collect()
-    late = np.array([r["token"] for r in often], np.int64).view(np.uint64)
+    often = often.orderBy(F.desc("times"), "token").limit(FREQUENT).select("token").toArrow()
+    late = often.column("token").to_numpy().view(np.uint64)
     rank = np.arange(len(late), 0, -1)
     order = np.argsort(late)
     last = comps.sparkSession.sparkContext.broadcast((late[order], rank[order]))
     tokens = grouped.mapInArrow(_prefixes(last), "token long, set_id long, comp long, n long, hub long, cell int, size long")
     contested = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     tokens = written(tokens.join(contested, "token"), "tokens")
+    last.destroy()
     rank = F.struct("size", "comp")
     matrix = tokens.groupBy("token", F.col("hub").alias("g_hub"), F.col("cell").alias("g_cell")).agg(F.min("n").alias("g_least"), F.max("n").alias("g_most"), F.max(rank).alias("g_rank"))
     fits = (100 * F.col("g_most") >= THRESHOLD * F.col("n")) & (THRESHOLD * F.col("g_least") <= 100 * F.col("n"))
-    pairs = tokens.join(matrix, "token").where(fits & (F.col("g_rank") > rank)).select("set_id", "g_hub", "g_cell").distinct()
-    pairs = written(pairs, "pairs")
-    asked = pairs.join(grouped.select("set_id", F.col("comp").alias("q_comp"), F.col("tokens").alias("q_tokens")), "set_id").select("g_hub", "g_cell", "q_comp", "q_tokens")
-    opened = grouped.select(F.col("hub").alias("g_hub"), F.col("cell").alias("g_cell"), "comp", "tokens").join(pairs.select("g_hub", "g_cell").distinct(), ["g_hub", "g_cell"], "left_semi")
-    edges = asked.groupBy("g_hub", "g_cell").cogroup(opened.groupBy("g_hub", "g_cell")).applyInArrow(_open, "a long, b long")
+    met = tokens.join(matrix, "token").where(fits & (F.col("g_rank") > rank)).groupBy("set_id", "g_hub", "g_cell").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("shared"))
+    # A partner has t n tokens at least, and so as large a share of the first ones in common.
+    needed = F.greatest(F.lit(1), F.floor(F.lit(MATRIX) * F.ceil(F.lit(THRESHOLD) * F.col("n") / 100) / 100))
+    pairs = written(met.where(F.col("shared") >= needed).select("set_id", "g_hub", "g_cell"), "pairs")
+    parts_ = pairs.groupBy("g_hub", "g_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERIES)).cast("int").alias("parts"))
+    asked = pairs.join(parts_, ["g_hub", "g_cell"]).join(grouped.select("set_id", F.col("comp").alias("q_comp"), F.col("tokens").alias("q_tokens")), "set_id")
+    asked = asked.select("g_hub", "g_cell", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int").alias("part"), "q_comp", "q_tokens")
+    opened = grouped.select(F.col("hub").alias("g_hub"), F.col("cell").alias("g_cell"), "comp", "tokens").join(parts_, ["g_hub", "g_cell"])
+    opened = opened.select("g_hub", "g_cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "comp", "tokens")
+    key = ["g_hub", "g_cell", "part"]
+    edges = asked.groupBy(*key).cogroup(opened.groupBy(*key)).applyInArrow(_open, "a long, b long")
     merged = components(edges.distinct())
-    named = comps.select("set_id", "comp").join(merged.select(F.col("node").alias("comp"), "root"), "comp", "left")
+    discard(tokens, pairs)
+    each = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("sets")).join(merged.select(F.col("node").alias("comp"), "root"), "comp")
+    named = spread_join(comps.select("set_id", "comp"), each, "comp", "sets", hot, "set_id")
     return named.select("set_id", F.coalesce("root", "comp").alias("comp"))

@@ -8,7 +8,8 @@ matches are extended to whole windows, whose hashes are then compared corpus-wid
 
 A null or empty text has no words, and a text of fewer than SIZE words no window. A null id counts as larger than any
 other; rows of equal id don't remove from each other. Windows are judged on the input, not on what is left. Texts of
-any length are read whole; other columns pass; an empty table gives an empty one.
+any length are read whole; other columns pass; an empty table gives an empty one. Without digest a null text becomes
+an empty one.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ class Words:
         return flags[self.at + PERIOD] > flags[self.at]
 
 
-def _anchors(slots: int):
+def _anchors(slots: X.Slots):
     def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         resident()
         once, many = [], []
@@ -88,7 +89,7 @@ def _least(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return hashes[first], doc[first], doc[last] != doc[first]
 
 
-def _windows(slots: int):
+def _windows(slots: X.Slots):
     def send(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         resident()
         known, found = X.Known(answers.column("shared").to_pylist()), []
@@ -99,7 +100,7 @@ def _windows(slots: int):
                 near = words.near(known)
                 found.append((words.hashes()[near], doc[lo + words.text[near]]))
         hashes, least, several = _least(*(np.concatenate([np.empty(0, t), *(f[i] for f in found)]) for i, t in ((0, np.uint64), (1, np.int64))))
-        edges, cols = X.slot_edges(hashes, slots), [[], [], [], [], []]
+        edges, cols = X.slot_edges(hashes, slots.ranges), [[], [], [], [], []]
         for s in np.flatnonzero(np.diff(edges) > 0):
             lo, hi = edges[s], edges[s + 1]
             for c, v in zip(cols, (int(s), key[0].as_py(), hashes[lo:hi].tobytes(), least[lo:hi].tobytes(), several[lo:hi].tobytes()), strict=True):
@@ -172,11 +173,11 @@ def deduplicated(docs: DataFrame, digest: bool = False) -> DataFrame:
     prepare(docs.sparkSession)
     rows = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = rows.select("doc_id", "text") if digest else rows.drop("n_words", "n_removed", X.BUCKET)
-    slots = parts(docs)
+    slots = X.slots_for(parts(docs))
     dealt = X.bucketed(rows, slots)
-    shared = X.answered(dealt.groupBy("_bucket").applyInArrow(_anchors(slots), X.SENT))
+    shared = X.answered(dealt.groupBy("_bucket").applyInArrow(_anchors(slots), X.SENT), slots)
     windows = dealt.groupBy("_bucket").cogroup(shared.groupBy("_bucket")).applyInArrow(_windows(slots), "_slot int, _from int, hashes binary, least binary, several binary")
-    smallest = windows.groupBy("_slot").applyInArrow(_smallest, "_bucket int, hashes binary, least binary")
+    smallest = X.exchanged(windows, slots, [("hashes", {"hashes": 8, "least": 8, "several": 1})], _smallest, ["hashes", "least"])
     if digest:
         schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     else:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from impulsia.llm import jaccard_join, nbsvm, packing, substring_dedup
+from impulsia.llm import common, exchange, jaccard_join, nbsvm, packing, substring_dedup
 from impulsia.llm.components import components
 
 from . import corpus as C
@@ -72,6 +72,24 @@ def test_substring_dedup_is_exact(spark, seed):
     assert substring_dedup.deduplicated(C.frame(spark, data).limit(0), digest=True).count() == 0
 
 
+def test_exchanges_by_relays_give_the_same(spark, monkeypatch):
+    data = C.rows(5) + [(4242, "the very same row, " * 9, *C.rows()[0][2:])] * 60
+    df = C.frame(spark, data)
+    assert exchange.slots_for(7) == (7, 1) and exchange.slots_for(7, 2) == (9, 3) and exchange.slots_for(9, 2) == (9, 3)
+    monkeypatch.setattr(exchange, "slots_for", lambda n: exchange.Slots(9, 3))
+    got = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.deduplicated(df, digest=True).collect())
+    assert got == collections.Counter((r[0], n, gone, hashlib.sha256(" ".join(kept).encode()).hexdigest()) for r, (kept, n, gone) in zip(data, cut_words(data), strict=True))
+    links = collections.Counter((r["doc_id"], r["component_id"], r["n_shingles"]) for r in jaccard_join.joined(df).collect())
+    assert links == collections.Counter((r[0], c, n) for r, (c, n) in zip(data, group_of(data), strict=True))
+
+
+def test_hot_keys_are_spread(spark):
+    left = spark.range(300).select(F.col("id"), F.when(F.col("id") < 200, 5).otherwise(F.col("id")).cast("long").alias("k"))
+    right = spark.createDataFrame([(5, 200, "hot"), (250, 1, "one"), (999, 1, "none")], "k long, times long, v string")
+    got = {r["id"]: r["v"] for r in common.spread_join(left, right, "k", "times", 10, "id").collect()}
+    assert got == {i: "hot" if i < 200 else "one" if i == 250 else None for i in range(300)}
+
+
 def test_any_long_match_shares_an_aligned_anchor():
     p, cover = substring_dedup.PERIOD, set(substring_dedup.COVER)
     for a, b in itertools.product(range(p), repeat=2):
