@@ -6,26 +6,31 @@ squared-hinge model is fitted by dual coordinate descent. A logistic curve fitte
 training turns margins into the probability of label 1, at the classes' shares among all labelled rows; a short text's
 log odds are drawn towards these shares.
 
-Training reads a bounded sample: SAMPLE documents of either class, those whose hashed ids are smallest; scores cover
-every row and whole texts. A null or empty text has no features and gets the share of label 1. Null ids and labels
-train nothing. Repeated rows are scored each. Without labels of both classes every score is the share of label 1 (0.5
-without labels).
+The hinge loss is squared, so that dual variables have no upper bound. Training reads a bounded sample: SAMPLE documents
+of either class, those whose hashed ids are smallest, and of a document with more than FEATURES distinct n-grams as
+many of them, as hashes fall over the whole text. So the driver holds 2 * SAMPLE * FEATURES numbers of four bytes twice
+at most. Scores cover every row and whole texts, with all their n-grams. A null or empty text has no features and gets
+the share of label 1. Null ids and labels train nothing; of rows of one id one trains, that of the smallest features.
+Repeated rows are scored each. Without labels of both classes every score is the share of label 1 (0.5 without labels).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impulsia.llm import kernels as K
-from impulsia.llm.common import learns, prepare, resident
+from impulsia.llm.common import learns, prepare, resident, trim
 
 BUCKETS = 1 << 20
 SIZES = (3, 4)
 #: Labelled documents of either class that training reads at most.
 SAMPLE = 2000
+#: Distinct n-grams of a document that training reads at most.
+FEATURES = 8192
 SMOOTH, COST, EPOCHS = 1.0, 1.0, 12
 #: From a text of so many distinct n-grams, half of the evidence counts: few n-grams say little against the classes' shares.
 HALF = 200
@@ -50,33 +55,32 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (keys & np.uint64(BUCKETS - 1)).astype(np.int64), np.searchsorted(keys, np.arange(len(offsets), dtype=np.uint64) << np.uint64(20))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the buckets and, last, the bias; and the squares of the log ratios. y: 1 or -1."""
-    counts = [np.full(BUCKETS, SMOOTH), np.full(BUCKETS, SMOOTH)]
-    for row, sign in zip(rows, y, strict=True):
-        counts[int(sign > 0)][row] += 1
+def fit(buckets: np.ndarray, bounds: np.ndarray, y: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the buckets and, last, the bias; and the squares of the log ratios. buckets, bounds: each row's features, as from features(). y: 1 or -1."""
+    counts = np.full((2, BUCKETS), SMOOTH)
+    spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+    for (lo, hi), sign in zip(spans, y, strict=True):
+        counts[int(sign > 0), buckets[lo:hi]] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    ratio = np.append(ratio, 1.0)
-    rows = [np.append(r, BUCKETS) for r in rows]
-    scaled = []
-    for r in rows:
-        x = ratio[r]
-        x[:-1] *= _scale((x[:-1] ** 2).sum())
-        scaled.append(x)
-    w, alpha = np.zeros(BUCKETS + 1), np.zeros(len(y))
+    scaled = ratio[buckets].astype(np.float32)
+    for lo, hi in spans:
+        scaled[lo:hi] *= _scale(float((scaled[lo:hi] ** 2).sum()))
+    w, bias, alpha = np.zeros(BUCKETS), 0.0, np.zeros(len(y))
     weight = {s: len(y) / (2 * max(1, (y == s).sum())) for s in (-1, 1)}
     soft = np.array([1 / (2 * COST * weight[int(s)]) for s in y])
-    norm = np.array([(x**2).sum() for x in scaled]) + soft
+    norm = np.array([1 + float((scaled[lo:hi] ** 2).sum()) for lo, hi in spans]) + soft
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(y)):
-            r, x = rows[i], scaled[i]
-            slope = y[i] * (w[r] @ x) - 1 + soft[i] * alpha[i]
-            new = max(alpha[i] - slope / norm[i], 0.0)
-            if new != alpha[i]:
-                w[r] += (new - alpha[i]) * y[i] * x
-                alpha[i] = new
-    return np.append((w * ratio)[:BUCKETS], w[BUCKETS]), ratio[:BUCKETS] ** 2
+            lo, hi = spans[i]
+            r, x = buckets[lo:hi], scaled[lo:hi]
+            slope = y[i] * (w[r] @ x + bias) - 1 + soft[i] * alpha[i]
+            step = max(alpha[i] - slope / norm[i], 0.0) - alpha[i]
+            if step:
+                w[r] += step * y[i] * x
+                bias += step * y[i]
+                alpha[i] += step
+    return np.append(w * ratio, bias), ratio**2
 
 
 def margin(weights: np.ndarray, squares: np.ndarray, buckets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -122,28 +126,52 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         resident()
         for batch in batches:
             for lo, hi, data, offsets in K.chunks(batch.column(1)):
-                buckets, bounds = features(data, offsets)
+                buckets, bounds = _sampled(*features(data, offsets))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), K.blobs(buckets.astype(np.uint32), bounds)], names=["doc_id", "quality", "buckets"])
 
-    got = picked.mapInArrow(extract, "doc_id long, quality int, buckets binary").collect()
-    unique = {r["doc_id"]: r for r in sorted(got, key=lambda r: (r["doc_id"], bytes(r["buckets"])))}
-    got = [unique[k] for k in sorted(unique)]
-    y = np.array([1 if r["quality"] else -1 for r in got])
+    found = picked.mapInArrow(extract, "doc_id long, quality int, buckets binary")
+    # Of rows of one id one comes to the driver.
+    got = found.groupBy("doc_id", "quality").agg(F.min("buckets").alias("buckets")).toArrow().sort_by("doc_id")
+    y = np.where(got.column("quality").to_numpy() > 0, 1, -1)
     if len(set(y.tolist())) < 2:
         return {"share": share}
-    rows = [np.frombuffer(r["buckets"], np.uint32).astype(np.int64) for r in got]
+    flat = got.column("buckets").combine_chunks()
+    del got
     held = np.zeros(len(y), bool)
     for s in (-1, 1):  # every fourth of either class, while training keeps some
         held[np.flatnonzero(y == s)[CALIBRATE - 1 :: CALIBRATE]] = True
-    weights, squares = fit([r for r, h in zip(rows, held, strict=True) if not h], y[~held])
+    weights, squares = fit(*_flat(flat.filter(pa.array(~held))), y[~held])
     part = held if len(set(y[held].tolist())) == 2 else np.ones(len(y), bool)
-    kept = [r for r, h in zip(rows, part, strict=True) if h]
-    m = margin(weights, squares, np.concatenate(kept), np.concatenate([[0], np.cumsum([len(r) for r in kept])]))
+    m = margin(weights, squares, *_flat(flat.filter(pa.array(part))))
     prior = np.where(y[part] > 0, share / max(1, (y[part] > 0).sum()), (1 - share) / max(1, (y[part] < 0).sum()))
     a, b = curve(m, y[part], prior * part.sum())
+    del flat
+    trim()
     return {"share": share, "weights": weights.astype(np.float32), "squares": squares.astype(np.float32), "curve": (a, b)}
 
 
+def _flat(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The features of all rows of a binary column that extract() made, and where each row's begin."""
+    blobs = blobs.combine_chunks() if isinstance(blobs, pa.ChunkedArray) else blobs
+    sizes = pc.fill_null(pc.binary_length(blobs), 0).to_numpy(zero_copy_only=False) // 4
+    bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    return np.frombuffer(b"".join(blobs.to_pylist()), np.uint32), bounds
+
+
+def _sampled(buckets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text's features FEATURES at most: those of the smallest hashes, salted by how many the text has."""
+    count = np.diff(bounds)
+    if not (count > FEATURES).any():
+        return buckets, bounds
+    kept = []
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        own = buckets[lo:hi]
+        if len(own) > FEATURES:
+            own = own[np.sort(np.argsort(K.mix(own.astype(np.uint64) + (np.uint64(len(own)) << np.uint64(32))), kind="stable")[:FEATURES])]
+        kept.append(own)
+    return np.concatenate(kept), np.concatenate([[0], np.cumsum([len(x) for x in kept])])
+
+
 def score(docs: DataFrame, model: dict, text: str = "text", column: str = "score") -> DataFrame:
     """docs with the probability of label 1 of each text. The model is a few MB whatever the corpus. A column of that name is replaced."""
     prepare(docs.sparkSession)
