@@ -6,8 +6,10 @@ estimate against its longer contexts' is the context tree's posterior, computed
 the two bytes before (65,536 of them at most) are counted and weighted by different tasks.
 
 The tree grows with the corpus: every node of two and more context bytes is kept by its whole context, in slots by the
-two bytes before. Buckets of documents ask for the distinct bytes in context they have, and the slot of each answers
-with its probability; only nodes of no and one context byte (65,792) are broadcast. A context never seen gives its
+two bytes before. Counts travel packed by slot from each input partition; where a slot would be sent more than HEAVY
+bytes of them (the commonest pairs of bytes, words of a large corpus), those of equal keys are first brought together by
+as many tasks as that takes. Buckets of documents ask for the distinct bytes in context they have, and the slot of each
+answers with its probability; only nodes of no and one context byte (65,792) are broadcast. A context never seen gives its
 weight to the longest one seen. The probability of a byte given its context is then the product of eight mixtures, and
 the score of a text the sum of log10 over its bytes, A-Z lower-cased, and an end mark.
 
@@ -37,6 +39,8 @@ MOD, OUT = 5, 1
 END = np.uint64(0x2545F4914F6CDD1D)
 #: Bytes in context that a slot evaluates together.
 TOGETHER = 2_000_000
+#: Bytes of counts that a slot reads uncombined.
+HEAVY = 64 << 20
 RANGES = 64
 U = np.uint64
 
@@ -132,6 +136,38 @@ def _count(slots: int):
     return count
 
 
+def _parts(batches):
+    """Rows of heavy slots cut by a hash of the key: a row a part."""
+    for batch in batches:
+        cols: list[list] = [[], [], [], [], []]
+        for row in batch.to_pylist():
+            keys, counts = np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.int64)
+            part = (K.mix(keys ^ U(0x632BE59BD9B4E019)) % U(row["parts"])).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            edges = np.searchsorted(part[order], np.arange(row["parts"] + 1))
+            for p in np.flatnonzero(np.diff(edges) > 0):
+                at = order[edges[p] : edges[p + 1]]
+                for c, v in zip(cols, (row["kind"], row["_slot"], int(p), keys[at].tobytes(), counts[at].tobytes()), strict=True):
+                    c.append(v)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in cols[:3]), *(pa.array(c, pa.binary()) for c in cols[3:])], names=["kind", "_slot", "part", "keys", "counts"])
+
+
+def _together(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    keys, counts = _gathered(table)
+    return pa.table([*(pa.array([k.as_py()], pa.int32()) for k in key[:2]), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["kind", "_slot", "keys", "counts"])
+
+
+def combined(sent: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """What was sent, of heavy slots with the counts of equal keys brought together."""
+    sizes = sent.groupBy("kind", "_slot").agg(F.sum(F.length("keys").cast("long")).alias("size")).where(F.col("size") > heavy)
+    sizes = written(sizes.select("kind", "_slot", F.ceil(F.col("size") / F.lit(heavy)).cast("int").alias("parts")), "heavy")
+    if not sizes.count():
+        return sent
+    few = F.broadcast(sizes)  # two kinds of slots: a row for 64 MB of counts at most
+    cut = sent.join(few, ["kind", "_slot"]).select("kind", "_slot", "parts", "keys", "counts").mapInArrow(_parts, "kind int, _slot int, part int, keys binary, counts binary")
+    return sent.join(few, ["kind", "_slot"], "left_anti").unionByName(cut.groupBy("kind", "_slot", "part").applyInArrow(_together, SENT))
+
+
 def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(b, np.uint64) for b in table.column("keys").to_pylist())])
     counts = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(b, np.int64) for b in table.column("counts").to_pylist())])
@@ -322,6 +358,7 @@ def train(docs: DataFrame, slots: int | None = None) -> tuple[DataFrame, int, in
     """Word counts by slot, their sum and number, and the context tree, from the rows that learns() allows. Who asks by slot gives their number."""
     slots = slots or parts(docs)
     sent = written(docs.where(learns(MOD, OUT)).select("text").mapInArrow(_count(slots), SENT), "counts")
+    sent = combined(sent)
     words = written(sent.where("kind = 0").groupBy("_slot").applyInArrow(_word_counts, "_slot int, keys binary, counts binary, n long, v long"), "words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     nodes = written(sent.where("kind = 1").groupBy("_slot").applyInArrow(_subtrees, NODES), "nodes")
@@ -390,7 +427,7 @@ def _scores(n: int, v: int):
         chances = Lookup(*(np.concatenate([np.empty(0, t), *(np.frombuffer(b, t) for b in told.column(c).to_pylist())]) for c, t in (("keys", np.uint64), ("counts", np.float64))))
         unknown = math.log10(0.5)
         logs = np.log10(counts + 0.5)
-        out: list[list[np.ndarray]] = [[np.empty(0)] for _ in range(4)]
+        out: list[list[np.ndarray]] = [[np.empty(0)] for _ in range(5)]
         for _, _, data, offsets in K.chunks(table.column("text")):
             low = K.LOWER[data]
             words, bounds = lower_words(low, offsets)
@@ -402,14 +439,15 @@ def _scores(n: int, v: int):
             out[1].append(np.diff(np.concatenate([[0], np.cumsum(known)])[bounds]))
             out[2].append(np.add.reduceat(each, bounds[:-1]) - np.diff(bounds) * math.log10(n + 0.5 * (v + 1)))
             out[3].append(np.add.reduceat(chances.of(cells), edges[:-1]))
+            out[4].append(out[3][-1] * -math.log2(10) / np.diff(edges))
         cols = [np.concatenate(c) for c in out]
-        return pa.table([table.column("doc_id"), *(pa.array(c.astype(np.int64), pa.int64()) for c in cols[:2]), *(pa.array(c, pa.float64()) for c in cols[2:])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        return pa.table([table.column("doc_id"), *(pa.array(c.astype(np.int64), pa.int64()) for c in cols[:2]), *(pa.array(c, pa.float64()) for c in cols[2:])], names=["doc_id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
 
     return score
 
 
 def scored(docs: DataFrame) -> DataFrame:
-    """Both scores of every row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte's parts."""
+    """Both scores of every row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte, the code length of the text and its end mark by their number of bytes."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # One number for both sides: a projection's size, and so its parts(), is another than its table's.
@@ -420,5 +458,5 @@ def scored(docs: DataFrame) -> DataFrame:
     asked = dealt.groupBy("_bucket").applyInArrow(_ask(slots), ASKED)
     counted = words.select(F.lit(0).alias("kind"), "_slot", "keys", "counts").union(tree.counts.select(F.lit(1).alias("kind"), "_slot", "keys", "counts"))
     replies = asked.groupBy("kind", "_slot").cogroup(counted.groupBy("kind", "_slot")).applyInArrow(_answer(shared), "kind int, _bucket int, keys binary, counts binary")
-    found = dealt.groupBy("_bucket").cogroup(replies.groupBy("_bucket")).applyInArrow(_scores(n, v), "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return found.select("doc_id", (~learns(MOD, OUT)).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    found = dealt.groupBy("_bucket").cogroup(replies.groupBy("_bucket")).applyInArrow(_scores(n, v), "doc_id long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    return found.select("doc_id", (~learns(MOD, OUT)).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")

@@ -16,6 +16,7 @@ a label, with a null label or a null id count in no test. Repeated rows are judg
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impulsia.llm import kernels as K
-from impulsia.llm.common import prepare, resident, written
+from impulsia.llm.common import hot_from, place, prepare, resident, spread_join, written
 
 RISK, LEVEL = 0.02, 0.05
 #: Share of the strictest certified cutoff's true rejections that a more lenient one must reach.
 NEARLY = 0.95
 MIN_WORDS, MAX_REPEAT = 50, 50
+#: Strata whose cutoffs are broadcast at most; those of more are joined by shuffle.
+STRATA = 100_000
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"]
 #: Measures that rules bound from above, of the counts.
@@ -134,39 +137,61 @@ def certified(good: int, most: dict[int, int], level: float, risk: float = RISK)
     return found
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and rule, from all labelled documents: counts by stratum, rule and grid cell come to the driver."""
+def _cut(rule: str) -> str:
+    return f"cut_{rule}"
+
+
+def _proposals(risk: float):
+    """A stratum's proposals from its counts by quality, rule and cell: indices of the grid, null without one."""
+
+    def propose(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        hist = {rule: [[0] * (len(GRID) + 1), [0] * (len(GRID) + 1)] for rule in RULES}
+        for r in table.to_pylist():
+            hist[r["rule"]][r["good"]][r["cell"]] += r["count"]
+        found = []
+        for bad, good in hist.values():
+            beyond, bad_beyond = ([sum(h[: i + 1]) for i in range(len(GRID))] for h in (good, bad))
+            found.append(proposed(sum(good), beyond, bad_beyond, risk))
+        return pa.table([pa.array([key[0].as_py()]), *(pa.array([x], pa.int32()) for x in found)], names=["stratum", *RULES])
+
+    return propose
+
+
+def _certificates(level: float, risk: float):
+    """How many steps above its proposals a stratum's cutoffs are certified, from the good documents rejected by steps; none if they are not."""
+
+    def certify(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        most = {r["steps"]: r["count"] for r in table.to_pylist()}
+        return pa.table([pa.array([key[0].as_py()]), pa.array([certified(sum(most.values()), most, level, risk)], pa.int32())], names=["stratum", "above"])
+
+    return certify
+
+
+def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """stratum and, of each rule, its cutoff (cut_<rule>, null: none), for strata with any; from all labelled documents. A null stratum is the empty one. Strata are tested in tasks, each from counts of a bounded number of cells."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
-    rows = measured.where(~_base()).join(known, "doc_id").select(F.coalesce(stratum, F.lit("")).alias("stratum"), "quality", half.alias("half"), *(_cell(F.expr(e)).alias(r) for r, e in RULES.items()))
+    rows = measured.where(~_base()).join(known, "doc_id").select(F.coalesce(stratum, F.lit("")).alias("stratum"), (F.col("quality") > 0).cast("int").alias("good"), half.alias("half"), *(_cell(F.expr(e)).alias(r) for r, e in RULES.items()))
+    rows = written(rows, "measured")
     cells = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("cell")) for r in RULES)))
-    counted_ = rows.where("half = 0").select("stratum", "quality", cells.alias("c")).groupBy("stratum", "quality", "c.rule", "c.cell").count()
-    seen: dict[str, dict[str, dict[int, list[int]]]] = {}
-    for r in counted_.collect():
-        by = seen.setdefault(r["stratum"], {x: {0: [0] * (len(GRID) + 1), 1: [0] * (len(GRID) + 1)} for x in RULES})
-        by[r["rule"]][int(r["quality"] > 0)][r["cell"]] += r["count"]
-    tried: dict[str, dict[str, int]] = {}
-    for s, by in seen.items():
-        for rule, hist in by.items():
-            beyond = [[sum(h[: i + 1]) for i in range(len(GRID))] for h in (hist[1], hist[0])]
-            at = proposed(sum(hist[1]), beyond[0], beyond[1], risk)
-            if at is not None:
-                tried.setdefault(s, {})[rule] = at
-    if not tried:
-        return {}
-    steps = F.lit(-1)  # above its proposals, up to which some rule rejects the document
-    for s, rules in tried.items():
-        steps = F.when(F.col("stratum") == s, F.greatest(F.lit(-1), *(F.lit(at) - F.col(rule) for rule, at in rules.items()))).otherwise(steps)
-    most: dict[str, dict[int, int]] = {}
-    for r in rows.where("half = 1 AND quality > 0").select("stratum", steps.alias("steps")).groupBy("stratum", "steps").count().collect():
-        most.setdefault(r["stratum"], {})[r["steps"]] = r["count"]
-    out: dict[str, dict[str, float]] = {}
-    for s, rules in tried.items():
-        above = certified(sum(most.get(s, {}).values()), most.get(s, {}), level / len(tried), risk)
-        own = {rule: GRID[at - above] for rule, at in rules.items() if above is not None and at >= above}
-        if own:
-            out[s] = own
-    return out
+    counts = rows.where("half = 0").select("stratum", "good", cells.alias("c")).groupBy("stratum", "good", "c.rule", "c.cell").count()
+    tried = counts.groupBy("stratum").applyInArrow(_proposals(risk), "stratum string, " + ", ".join(f"{r} int" for r in RULES))
+    tried = written(tried.where(F.coalesce(*RULES).isNotNull()), "proposals")
+    strata = tried.count()
+    at = {r: f"at_{r}" for r in RULES}
+    # Up to how many steps above the proposals some rule rejects the document; without a good document a stratum has one row, of none.
+    steps = F.greatest(F.lit(-1), *(F.coalesce(F.col(at[r]) - F.col(r), F.lit(-1)) for r in RULES))
+    good = rows.where("half = 1 AND good = 1").join(_small(tried.withColumnsRenamed(at), strata), "stratum")
+    most = good.select("stratum", steps.alias("steps")).groupBy("stratum", "steps").count()
+    above = most.groupBy("stratum").applyInArrow(_certificates(level / max(1, strata), risk), "stratum string, above int")
+    grid = F.array(*map(F.lit, GRID))
+    found = tried.join(above.where("above IS NOT NULL"), "stratum")
+    found = found.select("stratum", *(F.when(F.col(r) >= F.col("above"), F.get(grid, F.col(r) - F.col("above"))).alias(_cut(r)) for r in RULES))
+    return written(found.where(F.coalesce(*map(_cut, RULES)).isNotNull()), "cutoffs")
+
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= STRATA else table
 
 
 def _cell(value):
@@ -183,10 +208,16 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: floa
     """The counts of every document with base_failed and kept."""
     measured = written(counted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(stratum).alias("stratum"), "text")), "counts")
     found = cutoffs(measured, labels, "stratum", risk, level)
-    fails = F.lit(False)
-    for s, rules in found.items():
-        beyond = F.lit(False)
-        for rule, cut in rules.items():
-            beyond = beyond | F.coalesce(F.expr(RULES[rule]) > cut, F.lit(False))
-        fails = fails | ((F.coalesce("stratum", F.lit("")) == s) & beyond)
-    return measured.select("doc_id", *COUNTS, _base().alias("base_failed"), (~_base() & ~fails).alias("kept"))
+    strata = found.count()
+    rows = measured.withColumn("stratum", F.coalesce("stratum", F.lit("")))
+    if strata <= STRATA:
+        rows = rows.join(F.broadcast(found), "stratum", "left")
+    else:
+        hashed, own = F.xxhash64("stratum"), {"stratum": "of"}
+        times = rows.groupBy(hashed.alias("key")).agg(F.count(F.lit(1)).alias("times"))
+        cuts = found.withColumnsRenamed(own).withColumn("key", F.xxhash64("of")).join(times, "key")
+        rows = spread_join(rows.withColumn("key", hashed), cuts, "key", "times", hot_from(measured.count()), place())
+        rows = rows.select("doc_id", *COUNTS, *(F.when(F.col("of") == F.col("stratum"), F.col(_cut(r))).alias(_cut(r)) for r in RULES))
+    beyond = (F.coalesce(F.expr(e) > F.col(_cut(r)), F.lit(False)) for r, e in RULES.items())
+    fails = reduce(lambda a, b: a | b, beyond)
+    return rows.select("doc_id", *COUNTS, _base().alias("base_failed"), (~_base() & ~fails).alias("kept"))

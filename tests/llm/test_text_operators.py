@@ -169,11 +169,75 @@ def test_quality_rules_bound_the_verdict_not_each_rule(spark):
     rows = [(i, *(x[c] for c in quality_rules.COUNTS)) for i, x in enumerate(good + bad)]
     measured = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in columns)).withColumn("lang", F.lit("en"))
     labels = spark.createDataFrame([(i, int(i < len(good))) for i in range(len(rows))], "doc_id long, quality int")
-    found = quality_rules.cutoffs(measured, labels).get("en", {})
+    found = {r: row[f"cut_{r}"] for row in quality_rules.cutoffs(measured, labels).collect() for r in quality_rules.RULES if row[f"cut_{r}"] is not None}
     fails = " or ".join(["false", *(f"{quality_rules.RULES[r]} > {cut}" for r, cut in found.items())])
     assert measured.where(f"doc_id < {len(good)} and ({fails})").count() <= quality_rules.RISK * len(good)
 
 
+def _kept_by_hand(rows, labels, risk, level):
+    """kept of each (doc_id, stratum, measures or None if the base rules fail), by the method in plain Python."""
+    grid, rules = quality_rules.GRID, list(quality_rules.RULES)
+    half = {i: h for i, h in labels["half"].items()}
+    good = {s: [[m for i, t, m in rows if m and t == s and labels["quality"].get(i) == q and half[i] == h] for h in (0, 1) for q in (1, 0)] for s in {t for _, t, _ in rows}}
+    at = {}
+    for s, (good0, bad0, _, _) in good.items():
+        for k, rule in enumerate(rules):
+            fine = [g for g in range(len(grid)) if good0 and sum(m[k] > grid[g] for m in good0) <= risk * len(good0)]
+            last = max((g for g in fine if all(x in fine for x in range(g))), default=None)
+            if last is None or not any(m[k] > grid[last] for m in bad0):
+                continue
+            at.setdefault(s, {})[k] = next(g for g in range(last + 1) if sum(m[k] > grid[g] for m in bad0) >= quality_rules.NEARLY * sum(m[k] > grid[last] for m in bad0))
+    cuts = {}
+    for s, own in at.items():
+        held, found = good[s][2], None
+        for steps in range(len(grid) - 1, -1, -1):
+            lost = sum(any(g >= steps and m[k] > grid[g - steps] for k, g in own.items()) for m in held)
+            if not held or quality_rules.upper_bound(lost, len(held), level / len(at)) > risk:
+                break
+            found = steps
+        if found is not None:
+            cuts[s] = {k: grid[g - found] for k, g in own.items() if g >= found}
+    return {i: m is not None and not any(m[k] > c for k, c in cuts.get(t, {}).items()) for i, t, m in rows}, cuts
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_quality_rules_keep_what_plain_python_keeps(spark, monkeypatch, few):
+    monkeypatch.setattr(quality_rules, "STRATA", 100 if few else 0)
+    rng = random.Random(15)
+    docs, labels = [], []
+    for i in range(2600):
+        lang, bad = rng.choice(["en", "en", "de", None, "xx"]), rng.random() < 0.25
+        w = C.prose(rng, rng.randrange(40, 90)).split()
+        odd = rng.choice([lambda x: x + "$$", lambda x: x.upper(), lambda x: x + "!!!"]) if bad or rng.random() < 0.001 else (lambda x: x)
+        docs.append((i, " ".join(map(odd, w)), lang))
+        if rng.random() < 0.9 and lang != "xx":
+            labels.append((i, int(not bad)))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    label = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = quality_rules.judged(df, label).collect()
+    half = {r["doc_id"]: r["half"] for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half")).collect()}
+    by = {r["doc_id"]: r for r in got}
+    measures = lambda r: None if r["base_failed"] else [eval(e, {}, {c: r[c] for c in quality_rules.COUNTS}) for e in quality_rules.RULES.values()]  # noqa: E731, S307
+    want, cuts = _kept_by_hand([(i, t or "", measures(by[i])) for i, _, t in docs], {"quality": dict(labels), "half": half}, quality_rules.RISK, quality_rules.LEVEL)
+    assert {i: r["kept"] for i, r in by.items()} == want
+    assert "en" in cuts and "xx" not in cuts
+
+
+def test_quality_rules_hold_their_risk_over_many_samples():
+    """Of simulated holdouts, no more than LEVEL certify cutoffs whose true false rejection exceeds RISK."""
+    rng = np.random.default_rng(3)
+    wrong = 0
+    for _ in range(400):
+        # The true share rejected up to each number of steps, from lenient (many steps) to strict.
+        true = np.sort(rng.uniform(0, 0.06, 6))
+        n = 1500
+        at = rng.multinomial(n, np.diff(np.concatenate([[0], true, [1]])))
+        most = {5 - k: int(c) for k, c in enumerate(at[:6])} | {-1: int(at[6])}
+        steps = quality_rules.certified(n, most, quality_rules.LEVEL)
+        wrong += steps is not None and steps <= 5 and true[5 - steps] > quality_rules.RISK
+    assert wrong <= quality_rules.LEVEL * 400 + 3 * math.sqrt(400 * 0.05 * 0.95)
+
+
 def test_binomial_bound_is_exact():
     def tail(k, n, p):
         return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
@@ -202,7 +266,8 @@ def test_lm_scores(spark):
         assert (r["held_out"], r["n_tokens"], r["train_tokens"], r["n_known"]) == (held(r["doc_id"]), len(w), n, sum(count[x] > 0 for x in w))
         assert r["base_score"] == pytest.approx(sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
         assert r["score"] < 0
-    bits = sorted(-r["score"] * math.log2(10) / (len(t.encode()) + 1) for r in got if r["held_out"] for t in [texts[r["doc_id"]][0] or ""])
+        assert r["bits_per_byte"] == pytest.approx(-r["score"] * math.log2(10) / (len((texts[r["doc_id"]][0] or "").encode()) + 1))
+    bits = sorted(r["bits_per_byte"] for r in got if r["held_out"])
     assert bits[len(bits) // 2] < 4.0
     assert ctw.scored(C.frame(spark, data).limit(0)).count() == 0
 
@@ -217,6 +282,21 @@ def test_lm_words_are_asked_where_they_are_counted(spark, tmp_path, monkeypatch)
     assert sorted((str(r["doc_id"]), r["n_known"], round(r["base_score"], 6)) for r in ctw.scored(docs).collect()) == want
 
 
+def test_lm_counts_of_heavy_slots_are_combined(spark):
+    sent = C.plain(spark, C.rows()).select("text").repartition(3).mapInArrow(ctw._count(2), ctw.SENT)
+
+    def sums(df):
+        total = collections.Counter()
+        for r in df.collect():
+            for k, n in zip(np.frombuffer(r["keys"], np.uint64).tolist(), np.frombuffer(r["counts"], np.int64).tolist()):
+                total[r["kind"], r["_slot"], k] += n
+        return total
+
+    both = ctw.combined(sent, 1 << 12)
+    assert sums(both) == sums(sent)
+    assert sum(len(r["keys"]) for r in both.collect()) == 8 * len(sums(sent)) < sum(len(r["keys"]) for r in sent.collect())
+
+
 def test_lm_scores_are_of_the_whole_tree(spark):
     """Against the recursion over all nodes by hand: contexts are kept apart, and one never seen falls back to the longest seen."""
     data = [r for r in C.rows() if len(r[1] or "") < 3000]
