@@ -3,8 +3,8 @@
 Features of a paragraph (a line) are the distinct words and word pairs that occur in licence notices. A multinomial
 logistic regression over these sparse indicators, trained on the driver from notices (whole, cut, and set into
 ordinary words) and a bounded sample of the corpus, gives each paragraph a probability for every family, for a notice
-of no known family ("unknown") and for ordinary text. A temperature fitted on examples left out of training calibrates
-them. A paragraph is a notice if ordinary text is the less likely half; its family stands if its probability is at
+of no known family ("unknown") and for ordinary text. A temperature calibrates them: it is fitted on other wordings of
+the notices (HELD) and other documents' paragraphs than training reads. A paragraph is a notice if ordinary text is the less likely half; its family stands if its probability is at
 least SURE and the comparison with the family's notices confirms it (it has the share CONFIRM of one notice's word
 pairs), else the notice is unknown.
 
@@ -12,7 +12,7 @@ Notices are wrapped: from each line that is not confirmed alone, the lines after
 alone or as many words as the longest notice has, are joined (with the word pairs across line ends; comment marks are
 no words), classified and confirmed as one paragraph. A confirmed one stands for its lines, at its first.
 
-A paragraph without any feature is ordinary text. A null or empty text has no paragraphs. Texts are read whole, each
+A paragraph without any feature is ordinary text. Training skips null ids and texts. A null or empty text has no paragraphs. Texts are read whole, each
 row by itself: no shuffle, so copies and hot sources cost what they weigh; repeated rows are scanned each; other
 columns are ignored; an empty table gives no rows.
 """
@@ -67,6 +67,20 @@ OTHERS = [
     "Licensed under the European Union Public Licence",
     "Use of this source code is governed by a license that can be found in the accompanying file",
 ]
+#: Other wordings, which neither training nor the comparison reads: they calibrate.
+HELD = {
+    "apache-2.0": ["This library is distributed under the terms of the Apache License, Version 2.0", "Unless required by applicable law, software distributed under the Apache License 2.0 comes without warranties"],
+    "mit": ["This code is available under the MIT license", "Permission is granted, free of charge, to any person obtaining a copy of this program under the MIT License"],
+    "gpl": ["You may redistribute this program under the terms of the GNU General Public License as published by the Free Software Foundation", "This file is part of a program licensed under the GNU GPL version 3"],
+    "bsd": ["This software is distributed under the BSD 3-Clause License", "Redistribution and use in source and binary forms are permitted provided that the conditions of the BSD license are met"],
+    "mpl-2.0": ["This file is subject to the terms of the Mozilla Public License, version 2.0", "Distributed under the Mozilla Public License 2.0"],
+    "cc-by-nc": ["This text is available under CC BY-NC 4.0", "Made available under a Creative Commons Attribution-NonCommercial licence"],
+    "cc-by-sa": ["This article is available under CC BY-SA 4.0", "Text is available under the Creative Commons Attribution-ShareAlike License"],
+    "cc-by": ["This article is distributed under CC BY 4.0", "This is an open access article under the terms of the Creative Commons Attribution License"],
+    "public-domain": ["This work is in the public domain under CC0 1.0", "The author has dedicated this work to the public domain"],
+    "proprietary": ["All rights reserved by the copyright holder", "Unauthorized copying of this document is strictly prohibited. All rights reserved"],
+}
+HELD_OTHERS = ["Distributed under the Eclipse Public License", "This program is licensed under the Open Software License 3.0", "Released under the ISC License", "Licensed under the Academic Free License version 3.0"]
 NONE, UNKNOWN = "none", "unknown"
 CLASSES = [*NOTICES, UNKNOWN, NONE]
 SURE, CONFIRM = 0.5, 0.6
@@ -88,11 +102,11 @@ def grams(ws: list[str]) -> set[tuple[str, ...]]:
     return {*((w,) for w in ws), *zip(ws, ws[1:])}
 
 
-def examples(background: list[list[str]], seed: int) -> list[tuple[set, int]]:
+def examples(notices: dict[str, list[str]], others: list[str], background: list[list[str]], seed: int) -> list[tuple[set, int]]:
     """Notices with words dropped or cut off and set into ordinary words, scraps of notices, and ordinary paragraphs."""
     rng, out = random.Random(seed), []
     plain = [w for ws in background for w in ws] or ["word"]
-    sources = [(CLASSES.index(f), words(n)) for f, ns in NOTICES.items() for n in ns] + [(CLASSES.index(UNKNOWN), words(n)) for n in OTHERS]
+    sources = [(CLASSES.index(f), words(n)) for f, ns in notices.items() for n in ns] + [(CLASSES.index(UNKNOWN), words(n)) for n in others]
     none = CLASSES.index(NONE)
     for label, ws in sources:
         for k in range(COPIES):
@@ -107,62 +121,89 @@ def examples(background: list[list[str]], seed: int) -> list[tuple[set, int]]:
     return out + [(grams(ws), none) for ws in background]
 
 
-def fit(rows: list[tuple[set, int]], features: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Weights by feature and class, and biases, by gradient steps with momentum over all rows."""
-    x = np.zeros((len(rows), len(features)))
-    y = np.zeros((len(rows), len(CLASSES)))
-    for i, (gs, label) in enumerate(rows):
-        x[i, [features[g] for g in gs if g in features]] = 1
-        y[i, label] = 1
-    weight = 1 / np.maximum(y.sum(0), 1)
-    per_row = (y * weight).sum(1)
+class Sparse:
+    """Indicator rows: the features of each, and the rows of each feature."""
+
+    def __init__(self, rows: list[tuple[set, int]], features: dict):
+        own = [sorted(features[g] for g in gs if g in features) for gs, _ in rows]
+        counts = np.array([len(x) for x in own], np.int64)
+        self.feature = np.array([i for x in own for i in x], np.int64)
+        self.bounds = np.concatenate([[0], np.cumsum(counts)])
+        order = np.argsort(self.feature, kind="stable")
+        self.row = np.repeat(np.arange(len(rows)), counts)[order]
+        self.begin = np.searchsorted(self.feature[order], np.arange(len(features) + 1))
+        self.labels = np.array([label for _, label in rows], np.int64)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """The sum of the weights of each row's features."""
+        return _sums(w[self.feature], self.bounds)
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        """The sum over each feature's rows."""
+        return _sums(g[self.row], self.begin)
+
+
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    run = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0)])
+    return run[bounds[1:]] - run[bounds[:-1]]
+
+
+def fit(x: Sparse, n_features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights by feature and class, and biases, by gradient steps with momentum over all rows, every class weighing the same."""
+    y = np.eye(len(CLASSES))[x.labels]
+    per_row = (y / np.maximum(y.sum(0), 1)).sum(1)
     per_row /= per_row.sum()
-    w, b = np.zeros((len(features), len(CLASSES))), np.zeros(len(CLASSES))
+    w, b = np.zeros((n_features, len(CLASSES))), np.zeros(len(CLASSES))
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     for _ in range(STEPS):
-        z = x @ w + b
+        z = x.times(w) + b
         p = np.exp(z - z.max(1, keepdims=True))
         g = (p / p.sum(1, keepdims=True) - y) * per_row[:, None]
-        vw, vb = 0.9 * vw - 2 * (x.T @ g + DECAY * w), 0.9 * vb - 2 * g.sum(0)
+        vw, vb = 0.9 * vw - 2 * (x.back(g) + DECAY * w), 0.9 * vb - 2 * g.sum(0)
         w, b = w + vw, b + vb
     return w, b
 
 
-def temperature(rows: list[tuple[set, int]], features: dict, w: np.ndarray, b: np.ndarray) -> float:
-    """The divisor of scores under which the left-out rows are likeliest."""
-    z = np.array([w[[features[g] for g in gs if g in features]].sum(0) + b for gs, _ in rows])
-    y = [label for _, label in rows]
+def temperature(x: Sparse, w: np.ndarray, b: np.ndarray) -> float:
+    """The divisor of scores under which the left-out rows are likeliest, every class weighing the same."""
+    z = x.times(w) + b
+    share = 1 / np.maximum(np.bincount(x.labels, minlength=len(CLASSES)), 1)[x.labels]
 
     def loss(t: float) -> float:
         s = z / t
         top = s.max(1)
-        return float((np.log(np.exp(s - top[:, None]).sum(1)) + top - s[np.arange(len(y)), y]).mean())
+        return float((share * (np.log(np.exp(s - top[:, None]).sum(1)) + top - s[np.arange(len(s)), x.labels])).sum())
 
     return min((0.25 * 1.15**k for k in range(30)), key=loss)
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, seed: int = 11) -> dict:
-    """The model. docs: doc_id, text; of which a bounded sample, the smallest hashed ids, gives ordinary paragraphs."""
-    some = docs.where("text IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    """The model. docs: doc_id, text; of which a bounded sample, the smallest hashed ids, gives ordinary paragraphs: every third document's to calibration, the others' to training."""
+    rank = F.xxhash64("doc_id")
+    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    ids = known.select("doc_id").orderBy(rank, "doc_id").limit(sample).distinct()
+    # Rows of one id, however many, give sample rows at most.
+    some = known.join(F.broadcast(ids), "doc_id", "left_semi").orderBy(rank, F.xxhash64("text")).limit(sample)
     dealt = F.sort_array(F.transform(F.filter(F.split("text", r"\n+"), lambda p: p != ""), lambda p: F.struct(F.xxhash64(p, F.col("doc_id")).alias("h"), p.alias("p"))))
     start = F.pmod("h", F.greatest(F.length("p") - CHARS, F.lit(0)) + 1).cast("int") + 1
-    paragraphs = some.select(F.explode(F.slice(dealt, 1, EACH)).alias("x")).select("x.*").select(F.col("p").substr(start, F.lit(CHARS)).alias("p")).collect()
-    fronts = [set(zip(ws, ws[1:])) for ns in NOTICES.values() for ws in map(words, ns)]
-    background = []
-    for r in sorted(r["p"] for r in paragraphs):
-        ws = words(r)
+    paragraphs = some.select("doc_id", F.explode(F.slice(dealt, 1, EACH)).alias("x")).select("doc_id", "x.*").select("doc_id", F.col("p").substr(start, F.lit(CHARS)).alias("p")).collect()
+    fronts = [set(zip(ws, ws[1:])) for ns in (*NOTICES.values(), *HELD.values()) for ws in map(words, ns)]
+    background: tuple[list, list] = ([], [])
+    turn = {d: k for k, d in enumerate(sorted({r["doc_id"] for r in paragraphs}))}
+    for r in sorted(paragraphs, key=lambda r: (turn[r["doc_id"]], r["p"])):
+        ws = words(r["p"])
         pairs = set(zip(ws, ws[1:]))
         if ws and all(len(pairs & f) < 0.3 * len(f) for f in fronts):  # a notice is no ordinary text
-            background.append(ws)
-    common = {w for ws in background for w in ws}
+            background[turn[r["doc_id"]] % 3 == 2].append(ws)
+    common = {w for ws in background[0] for w in ws}
     features: dict[tuple[str, ...], int] = {}
     for n in [n for ns in NOTICES.values() for n in ns] + OTHERS:
         for g in sorted(grams(words(n))):
             if len(g) == 2 or g[0] not in common:
                 features.setdefault(g, len(features))
-    rows = examples(background, seed)
-    w, b = fit(rows, features)
-    return {"features": list(features), "weights": w, "bias": b, "temperature": temperature(examples(background, seed + 1), features, w, b)}
+    w, b = fit(Sparse(examples(NOTICES, OTHERS, background[0], seed), features), len(features))
+    held = Sparse(examples(HELD, HELD_OTHERS, background[1], seed + 1), features)
+    return {"features": list(features), "weights": w, "bias": b, "temperature": temperature(held, w, b)}
 
 
 def _hash_of(a: Column, b: Column | None = None) -> Column:

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import public_tokenizers
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -409,6 +410,100 @@ def test_licences(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def scanned_by_hand(text, model):
+    """Notices (line, family, probability, confirmed) of a text, by the method in plain Python."""
+    at = {f: i for i, f in enumerate(model["features"])}
+    w, b = model["weights"] / model["temperature"], model["bias"] / model["temperature"]
+    lines = [[x for x in regex.split(r"[^\p{L}\p{N}]+", line) if x] for line in (text or "").lower().split("\n")]
+    hits = [{g for g in licences.grams(ws) if g in at} for ws in lines]
+
+    def link(i):
+        if i + 1 < len(lines) and lines[i] and lines[i + 1]:
+            return {(lines[i][-1], lines[i + 1][0])} & at.keys()
+        return set()
+
+    def judge(start, end, found):
+        z = sum((w[at[g]] for g in found), b)
+        e = np.exp(z - z.max())
+        best = int(np.argmax(e[:-1]))
+        if e[-1] / e.sum() >= 0.5:
+            return None
+        family, p, alike = licences.CLASSES[best], e[best] / e.sum(), 0.0
+        for n in licences.NOTICES.get(family, []):
+            ws = licences.words(n)
+            pairs = set(zip(ws, ws[1:]))
+            alike = max(alike, len(pairs & found) / len(pairs))
+        sure = p >= licences.SURE and alike >= licences.CONFIRM
+        return {"line": start, "family": family if sure else licences.UNKNOWN, "p": p, "sure": sure, "end": end, "alike": alike}
+
+    alone = [x for x in (judge(i, i, h) for i, h in enumerate(hits) if h) if x]
+    own = {x["line"] for x in alone if x["sure"]}
+    joined = []
+    for i in range(len(lines)):
+        if i in own or not (hits[i] or link(i)):
+            continue
+        found, n, end = set(hits[i]), 0, i
+        while end + 1 < len(lines) and end - i < licences.LONGEST and n < licences.LONGEST and lines[end + 1] and end + 1 not in own:
+            found |= link(end) | hits[end + 1]
+            n += len(lines[end + 1])
+            end += 1
+        x = judge(i, end, found) if end > i and len(found) > 1 else None
+        if not x or not x["sure"]:
+            continue
+        last = joined[-1] if joined else None
+        if last and last["family"] == x["family"] and last["end"] >= x["line"]:
+            joined[-1] = (x if x["alike"] >= last["alike"] else last) | {"end": max(last["end"], x["end"])}
+        else:
+            joined.append(x)
+    rest = [x for x in alone if x["sure"] or not any(m["line"] <= x["line"] <= m["end"] for m in joined)]
+    return sorted((x["line"], x["family"], x["p"], x["sure"]) for x in rest + joined)
+
+
+def test_licences_scan_as_plain_python_does(spark):
+    rng = random.Random(21)
+    notices = [n for ns in (*licences.NOTICES.values(), *licences.HELD.values(), licences.OTHERS) for n in ns]
+    docs = [(i, C.prose(rng, 50)) for i in range(60)]
+    for i in range(150):
+        lines = []
+        for _ in range(rng.randrange(1, 7)):
+            ws = rng.choice(notices).split()[rng.choice([0, 0, 0, 3]) :] if rng.random() < 0.6 else C.prose(rng, rng.randrange(0, 25)).split()
+            while ws:
+                k = rng.choice([4, 8, 30])
+                lines.append(rng.choice(["", "# ", " * "]) + " ".join(ws[:k]))
+                ws = ws[k:]
+            lines += [""] * rng.randrange(2)
+        docs.append((1000 + i, "\n".join(lines)))
+    df = spark.createDataFrame([*docs, (None, None), (3, ""), (4, "\n\n")], "doc_id long, text string")
+    model = licences.train(df)
+    total = 0
+    for r in licences.scan(df, model).collect():
+        got, want = [tuple(x) for x in r["notices"]], scanned_by_hand(r["text"], model)
+        assert [x[:2] + x[3:] for x in got] == [x[:2] + x[3:] for x in want], r["text"]
+        assert [x[2] for x in got] == pytest.approx([x[2] for x in want], rel=1e-5)
+        total += len(want)
+    assert total > 200
+
+
+def test_licences_of_wordings_that_training_has_not(spark):
+    """Neither among the notices of training and comparison nor among those of calibration."""
+    wordings = {
+        "apache-2.0": "Licensed to you under the Apache License, Version 2.0, with no warranty",
+        "mit": "The whole repository is released under the MIT License",
+        "gpl": "The sources are licensed under the GNU General Public License, version 3 or later",
+        "cc-by": "Photographs are licensed under CC BY 4.0",
+        "cc-by-sa": "The guide is licensed under CC BY-SA 4.0",
+        "unknown": "Distributed under the Microsoft Public License",
+        None: "She was licensed to practise medicine in two states",
+    }
+    read = {n for ns in (*licences.NOTICES.values(), *licences.HELD.values(), licences.OTHERS, licences.HELD_OTHERS) for n in ns}
+    assert not read & set(wordings.values())
+    assert not {n for ns in licences.NOTICES.values() for n in ns} & {n for ns in licences.HELD.values() for n in ns} and not {*licences.OTHERS} & {*licences.HELD_OTHERS}
+    rng = random.Random(3)
+    rows = [(i, C.prose(rng, 60)) for i in range(60)] + [(100 + i, t) for i, t in enumerate(wordings.values())]
+    got = {r["doc_id"]: r["licence"] for r in licences.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[100 + i] for i in range(len(wordings))] == list(wordings)
+
+
 def test_licences_learn_ordinary_text_from_whole_texts(spark):
     """Words that only later lines, or later parts of a long line, have are ordinary too."""
     rng = random.Random(8)
