@@ -5,7 +5,8 @@ LIMIT numbers, whatever the corpus. Bin completion takes the largest length left
 the rest of its sequence (none that a larger free piece could improve in place of some of its pieces), best fit first,
 and uses the chosen one as often as the counts allow. Depth-first search keeps the best packing found as incumbent and
 prunes a branch whose waste exceeds what a better packing could afford; it ends at the lower bound or after NODES
-steps, with the incumbent. Pieces then take their places by their rank among the pieces of their length, which is
+steps, with the incumbent. These bounds are on the search, never on pieces: every piece is packed, and a sequence is
+filled until no piece left fits. Pieces then take their places by their rank among the pieces of their length, which is
 counted per input partition, so no task sees more than its share.
 
 A null or empty text is one piece, the end token alone. Repeated rows are packed each; other columns are ignored; an
@@ -37,6 +38,10 @@ LIMIT = 2048
 NODES, WIDTH = 1500, 4
 #: Pieces of a filling that are searched one by one; what room these leave takes runs of one length, the largest that fits first.
 SINGLY = 64
+#: Of one sequence's fillings, the steps that enumerate them and the lengths tried at each depth, at most; what they have found then is ranked.
+STEPS, TRIES = 400, 64
+#: Dominance is tested for groups of up to so many pieces; of fillings with more than MANY pieces, for up to the second number.
+GROUP, MANY = (4, 2), 8
 END = 0
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
@@ -164,7 +169,7 @@ def lower_bound(counts: dict[int, int], limit: int) -> int:
 def _dominated(filling: tuple[int, ...], slack: int, lengths: list[int]) -> bool:
     """Whether a free length could stand in for some of the filling's pieces and waste less or leave smaller ones."""
     times = Counter(filling)
-    for k in range(1, min(len(filling), 4 if len(filling) <= 8 else 2) + 1):
+    for k in range(1, min(len(filling), GROUP[len(filling) > MANY]) + 1):
         for some in set(combinations([x for x, n in times.items() for _ in range(min(n, k))], k)):
             s = sum(some)
             i = bisect_right(lengths, s) if k == 1 else bisect_left(lengths, s)
@@ -215,7 +220,7 @@ def fillings(room: int, counts: dict[int, int], lengths: list[int], width: int =
                 descend(rest, x, (*taken, x))
             tried += 1
             steps += 1
-            if steps > 400 or tried > 64 or perfect >= width:
+            if steps > STEPS or tried > TRIES or perfect >= width:
                 break
         if not tried:
             found.setdefault(taken, left)

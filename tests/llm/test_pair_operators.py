@@ -194,6 +194,36 @@ def test_packing_fills_sequences_with_short_pieces(counts, best):
     assert used == collections.Counter(counts) and sum(n for _, n in made) == best
 
 
+@pytest.mark.parametrize("draw, n", [(lambda r: 10, 100_000), (lambda r: r.randrange(5, 41), 200_000), (lambda r: min(2048, int(r.lognormvariate(5.5, 1.2)) + 1), 100_000), (lambda r: r.randrange(1, 2049), 50_000), (lambda r: 1 if r.random() < 0.3 else r.randrange(300, 1500), 60_000)])
+def test_packing_is_near_the_lower_bound(draw, n):
+    rng = random.Random(1)
+    counts = collections.Counter(draw(rng) for _ in range(n))
+    made = packing.pack_lengths(counts)
+    used = collections.Counter()
+    for f, times in made:
+        assert sum(f) <= packing.LIMIT
+        for x, k in collections.Counter(f).items():
+            used[x] += times * k
+    assert used == counts and sum(times for _, times in made) <= 1.01 * packing.lower_bound(counts, packing.LIMIT)
+
+
+def test_classifier_with_repeated_rows_clashing_columns_and_long_texts(spark):
+    docs, labels = labelled()
+    rng = random.Random(1)
+    long_ = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(60_000))
+    odd = [*docs, (docs[1][0], docs[1][1], "en", "s", 0), (docs[1][0], "other text " * 30, "en", "s", 0), (9000, long_, "en", "s", 0), (9001, None, None, None, None)]
+    df = C.plain(spark, odd).withColumns({"quality": F.lit("x"), "score": F.lit("y"), "buckets": F.lit(1), "one": F.lit(2)})
+    label = spark.createDataFrame([*labels, (9000, 1, 0), labels[1], labels[1]], "doc_id long, quality int, toxic int")
+    rows = nbsvm.scored(df, label).collect()
+    assert collections.Counter(r["doc_id"] for r in rows) == collections.Counter(r[0] for r in odd)
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    buckets, bounds = nbsvm.features(np.frombuffer((long_ + docs[0][1]).encode(), np.uint8), np.array([0, len(long_.encode()), len((long_ + docs[0][1]).encode())]))
+    few, at = nbsvm._sampled(buckets, bounds)
+    assert np.diff(bounds)[0] > nbsvm.FEATURES == np.diff(at)[0] and np.array_equal(few[at[1] :], buckets[bounds[1] :])
+    out = nbsvm.score(df, nbsvm.train(df, label))
+    assert out.columns == [c for c in df.columns if c != "score"] + ["score"] and out.count() == len(odd)
+
+
 def labelled(seed=6, n=240):
     rng = random.Random(seed)
     docs, labels = [], []
