@@ -67,13 +67,13 @@ def companion(beta: np.ndarray, n: int, p: int, c: int = 1) -> np.ndarray:
 
 
 def cholesky(sigma: np.ndarray) -> np.ndarray:
-    """Lower factor; with a small ridge where the matrix is no longer positive definite."""
+    """Lower factor; with a small ridge for each matrix that is no longer positive definite, and for no other."""
     try:
         return np.linalg.cholesky(sigma)
     except np.linalg.LinAlgError:
-        n = sigma.shape[-1]
-        ridge = 1e-8 * np.trace(sigma, axis1=-2, axis2=-1)[..., None, None] / n
-        return np.linalg.cholesky(sigma + ridge * np.eye(n))
+        if sigma.ndim > 2:
+            return np.stack([cholesky(m) for m in sigma])
+        return np.linalg.cholesky(sigma + 1e-8 * np.trace(sigma) / len(sigma) * np.eye(len(sigma)))
 
 
 def long_run_impact(ma: np.ndarray, sigma: np.ndarray) -> np.ndarray:
@@ -197,6 +197,16 @@ def contributions(ma: np.ndarray, s: np.ndarray, shocks: np.ndarray) -> np.ndarr
     return out
 
 
+def moved(a: np.ndarray, s: np.ndarray, shocks: np.ndarray) -> np.ndarray:
+    """contributions() of responses that the lag matrices a (p, N, N) give, by running through time: T p N^2 steps."""
+    p, n = a.shape[:2]
+    out = np.zeros((len(shocks) + p, n))
+    wide = a[::-1].transpose(0, 2, 1).reshape(p * n, n)
+    for t, e in enumerate(shocks):
+        out[t + p] = out[t : t + p].reshape(-1) @ wide + s * e
+    return out[p:]
+
+
 def block_size(t: int) -> int:
     """The usual block length for t rows, rounded half away from zero."""
     return int(np.floor(5.03 * t**0.25 + 0.5))

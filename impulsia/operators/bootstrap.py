@@ -162,7 +162,7 @@ def by_history(q, d, y, beta, u, sigma):
     """Contributions over time of the shock that the instrument identifies: time stands for the horizon."""
     rows = np.arange(u.shape[1]) if q.rows is None else q.rows
     s = L.iv_impact(u[:, rows], d.z, q.extra["policy"])
-    out = [L.contributions(L.wold(beta[i], len(q.names), q.p, q.c, u.shape[1] - 1), s[i], L.shock_series(u[i], sigma[i], s[i])) for i in range(len(u))]
+    out = [L.moved(L.lag_blocks(beta[i], len(q.names), q.p, q.c), s[i], L.shock_series(u[i], sigma[i], s[i])) for i in range(len(u))]
     return _all(np.stack(out))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,16 +60,30 @@ def historical(irf: DataFrame, shocks: DataFrame, variables: Sequence[str] | Non
     """t, variable, shock, value: what each shock up to t contributes at t, by a join of responses and shock series on the shock and the time between. irf: variable, shock, horizon, value with all horizons of the sample; shocks: t, shock, value."""
     if variables is not None:
         irf = irf.where(F.col("variable").isin(list(variables)))
-    last = shocks.agg(F.max("t").alias("last"))
-    moved = shocks.select("shock", F.col("t").alias("_s"), F.col("value").alias("_e")).join(F.broadcast(irf), "shock")
-    moved = moved.withColumn("t", F.col("_s") + F.col("horizon")).join(F.broadcast(last), F.col("t") <= F.col("last"))
-    return moved.groupBy("t", "variable", "shock").agg(F.sum(F.col("value") * F.col("_e")).alias("value"))
+    last = shocks.agg(F.max("t").alias("_last"))
+    left = shocks.select("shock", F.col("t").alias("_s"), F.col("value").alias("_e")).join(F.broadcast(last), how="cross").withColumn("_left", F.col("_last") - F.col("_s"))
+    lags = irf.withColumnRenamed("shock", "_of")
+    # Only what still falls into the sample is made.
+    moved = left.join(lags, (F.col("shock") == F.col("_of")) & (F.col("horizon") <= F.col("_left")))
+    return moved.groupBy((F.col("_s") + F.col("horizon")).alias("t"), "variable", "shock").agg(F.sum(F.col("value") * F.col("_e")).alias("value"))
+
+
+def historical_var(v: Var, impact: np.ndarray, shocks: Sequence[str]) -> DataFrame:
+    """As historical(), of a model's own shocks through an impact matrix: each is run through the lags in time, T p N^2 steps a shock."""
+    _, u, _ = v.arrays()
+    e = u @ np.linalg.inv(impact).T
+    a = L.lag_blocks(v.beta, v.n, v.p, v.c)
+    made = np.stack([L.moved(a, impact[:, j], e[:, j]) for j in range(v.n)], axis=2)
+    t, n = len(e), v.n
+    at = np.repeat(np.arange(t), n * n)
+    columns = [pa.array(at + v.p + 1, pa.int64()), pa.array(np.tile(np.repeat(np.array(v.names), n), t)), pa.array(np.tile(np.array(list(shocks)), t * n)), pa.array(made.reshape(-1))]
+    return v.series.sparkSession.createDataFrame(pa.table(columns, names=["t", "variable", "shock", "value"]))
 
 
 def historical_iv(v: Var, s: np.ndarray) -> np.ndarray:
     """(T - p, N): contributions of the unit-normalised shock behind an impact vector."""
     _, u, _ = v.arrays()
-    return L.contributions(v.wold(len(u) - 1), s, L.shock_series(u, v.sigma, s))
+    return L.moved(L.lag_blocks(v.beta, v.n, v.p, v.c), s, L.shock_series(u, v.sigma, s))
 
 
 def recoverable_history(irf: np.ndarray, fit: np.ndarray) -> np.ndarray:

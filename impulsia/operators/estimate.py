@@ -137,8 +137,11 @@ class Regression:
 def regress(df: DataFrame, targets: Sequence[str], regressors: Sequence[str], c: int = 1) -> Regression:
     if c not in (0, 1):
         raise ValueError(f"c: {c!r} is neither 0 nor 1")
-    names, k = [*regressors, *targets], len(regressors)
-    n, mean, cov = moments(df, names)
+    return _solved(targets, regressors, c, *moments(df, [*regressors, *targets]))
+
+
+def _solved(targets: Sequence[str], regressors: Sequence[str], c: int, n: int, mean: np.ndarray, cov: np.ndarray) -> Regression:
+    k = len(regressors)
     second = cov if c else cov + np.outer(mean, mean)
     slopes = np.linalg.solve(second[:k, :k], second[:k, k:])
     beta = np.vstack([mean[k:] - mean[:k] @ slopes, slopes]) if c else slopes
@@ -146,6 +149,31 @@ def regress(df: DataFrame, targets: Sequence[str], regressors: Sequence[str], c:
     return Regression(list(targets), list(regressors), c, n, beta, ssr, mean, cov)
 
 
+#: Periods that the driver takes at once, in one job, to fit from; of longer series moments are aggregated.
+LOCAL = 100_000
+
+
+def collected(series: DataFrame, names: Sequence[str]) -> pa.Table | None:
+    """t and the columns as doubles by time, in one job; None where there are more than LOCAL rows."""
+    got = series.select("t", *(F.col(n).cast("double").alias(n) for n in names)).orderBy("t").limit(LOCAL + 1).toArrow()
+    return got if got.num_rows <= LOCAL else None
+
+
+def _columns(table: pa.Table, names: Sequence[str]) -> np.ndarray:
+    return np.column_stack([table.column(n).to_numpy() for n in names]).reshape(table.num_rows, len(names))
+
+
+def _lag_moments(y: np.ndarray, ex: np.ndarray | None, p: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """moments() of lags 1..p, exogenous columns and targets."""
+    x = np.column_stack([L.lagged(y, p), *([] if ex is None else [ex[p:]]), y[p:]])
+    x = x[~np.isnan(x).any(axis=1)]
+    if not len(x):
+        k = x.shape[1]
+        return 0, np.full(k, np.nan), np.full((k, k), np.nan)
+    mean = x.mean(axis=0)
+    return len(x), mean, (x - mean).T @ (x - mean) / len(x)
+
+
 @dataclass
 class Var:
     """A fitted vector autoregression."""
@@ -186,16 +214,26 @@ class Var:
         if not self._arrays:
             rows = self.series.orderBy("t").select(*self.names, *self.exog).collect()
             data = np.array([list(r) for r in rows], float).reshape(-1, self.n + len(self.exog))
-            y, ex = data[:, : self.n], data[:, self.n :] if self.exog else None
-            u = y[self.p :] - L.design(y, self.p, self.c, ex) @ self.beta
-            self._arrays = {"y": y, "u": u, "ex": ex}
+            self._keep(data[:, : self.n], data[:, self.n :] if self.exog else None)
         return self._arrays["y"], self._arrays["u"], self._arrays["ex"]
 
+    def _keep(self, y: np.ndarray, ex: np.ndarray | None) -> None:
+        u = y[self.p :] - L.design(y, self.p, self.c, ex) @ self.beta
+        self._arrays.update(y=y, u=u, ex=ex)
+
 
 def fit_var(series: DataFrame, names: Sequence[str], p: int, c: int = 1, exog: Sequence[str] = ()) -> Var:
-    """Each variable on [1,] lags 1..p of all and exogenous columns at t."""
-    x = lag_names(names, p) + list(exog)
-    return Var(series, list(names), p, c, list(exog), regress(lag_matrix(series, names, p), names, x, c))
+    """Each variable on [1,] lags 1..p of all and exogenous columns at t. A series of up to LOCAL periods is read once and fitted on the driver; of a longer one moments are aggregated."""
+    if c not in (0, 1):
+        raise ValueError(f"c: {c!r} is neither 0 nor 1")
+    names, exog = list(names), list(exog)
+    x, table = lag_names(names, p) + exog, collected(series, [*names, *exog])
+    if table is None:
+        return Var(series, names, p, c, exog, regress(lag_matrix(series, names, p), names, x, c))
+    y, ex = _columns(table, names), _columns(table, exog) if exog else None
+    v = Var(series.sparkSession.createDataFrame(table), names, p, c, exog, _solved(names, x, c, *_lag_moments(y, ex, p)))
+    v._keep(y, ex)
+    return v
 
 
 def fit_varx(series: DataFrame, names: Sequence[str], exog: Sequence[str], p: int, c: int = 1) -> Regression:
@@ -240,11 +278,15 @@ def ols(df: DataFrame, target: str, regressors: Sequence[str], c: int = 1, lags:
 
 def lag_selection(series: DataFrame, names: Sequence[str], pmax: int, c: int = 1, exog: Sequence[str] = ()) -> list[tuple[int, float, float, float]]:
     """(p, AIC, BIC, HQ) of p = 1..pmax, each on the rows that its own lags leave, with the full number of rows in the formulas; the penalty counts an intercept an equation and one coefficient an exogenous column."""
-    t, n, m = series.count(), len(names), len(exog)
-    out = []
+    table, n, m = collected(series, [*names, *exog]), len(names), len(exog)
+    t, out = series.count() if table is None else table.num_rows, []
     for p in range(1, pmax + 1):
-        v = fit_var(series, names, p, c, exog)
-        a = float(np.log(np.linalg.det(v.regression.ssr / t)))
+        if table is None:
+            ssr = fit_var(series, names, p, c, exog).regression.ssr
+        else:
+            ex = _columns(table, exog) if exog else None
+            ssr = _solved(names, lag_names(names, p) + list(exog), c, *_lag_moments(_columns(table, names), ex, p)).ssr
+        a = float(np.log(np.linalg.det(ssr / t)))
         b = (p * n * n + n + m) / t
         out.append((p, a + 2 * b, a + np.log(t) * b, a + 2 * b * np.log(np.log(t))))
     return out

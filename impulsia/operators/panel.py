@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from impulsia.functions import linalg as L
 from impulsia.sources.tables import prepare
@@ -24,7 +25,10 @@ def panel_irf(series: DataFrame, panel: str, names: Sequence[str], p: int, horiz
             return pd.DataFrame(columns=columns)
         beta, _, sigma = L.fit(y, p, c)
         irf = L.wold(beta, len(names), p, c, horizon) @ L.cholesky(sigma)
-        rows = [(pdf[panel].iloc[0], v, s, h, irf[h, i, j]) for h in range(horizon + 1) for i, v in enumerate(names) for j, s in enumerate(names)]
-        return pd.DataFrame(rows, columns=columns).astype({"horizon": np.int32})
+        n, at = len(names), horizon + 1
+        cells = {"variable": np.tile(np.repeat(names, n), at), "shock": np.tile(names, at * n), "horizon": np.repeat(np.arange(at, dtype=np.int32), n * n), "value": irf.reshape(-1)}
+        return pd.DataFrame({panel: [pdf[panel].iloc[0]] * (at * n * n), **cells})[columns]
 
-    return series.groupBy(panel).applyInPandas(one, f"{panel} string, variable string, shock string, horizon int, value double")
+    cells = [("variable", StringType()), ("shock", StringType()), ("horizon", IntegerType()), ("value", DoubleType())]
+    schema = StructType([StructField(panel, series.schema[panel].dataType), *(StructField(n, t) for n, t in cells)])
+    return series.groupBy(panel).applyInPandas(one, schema)

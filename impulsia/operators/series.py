@@ -27,9 +27,10 @@ def periods(facts: DataFrame, stamp: str, unit: str, measures: dict[str, Column]
 def gap_filled(by: DataFrame, unit: str, keys: DataFrame, names: Sequence[str], value: float = 0.0) -> DataFrame:
     """Every period from the first to the last for every row of keys, missing measures set to value."""
     ends = by.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    grid = ends.select(F.explode(F.sequence("lo", "hi", F.expr(f"interval 1 {unit}"))).alias("ts"))
-    # The grid has a row a period and keys a row a panel: a few thousand rows.
-    full = grid.join(F.broadcast(keys.distinct()), how="cross").join(by.select("ts", *keys.columns, *names), ["ts", *keys.columns], "left")
+    # One row beside each of the keys, which then has its own periods.
+    spans = keys.distinct().join(F.broadcast(ends), how="cross")
+    grid = spans.select(*keys.columns, F.explode(F.sequence("lo", "hi", F.expr(f"interval 1 {unit}"))).alias("ts"))
+    full = grid.join(by.select("ts", *keys.columns, *names), ["ts", *keys.columns], "left")
     filled = full.fillna(value, list(names))
     return filled.select(*keys.columns, F.row_number().over(ordered(keys.columns, "ts")).alias("t"), "ts", *names)
 

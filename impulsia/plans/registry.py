@@ -550,8 +550,7 @@ HIST = SHOCKS, VL, "hd AS (SELECT sh.t + i.horizon AS t, i.variable, i.shock, su
 def _history(spark, sf) -> tuple[E.Var, DataFrame]:
     v = var(spark, sf)
     chol = np.linalg.cholesky(v.sigma)
-    irf = R.responses(spark, R.cholesky_irf(v, v.regression.rows - 1, chol), NAMES)
-    return v, D.historical(irf, D.structural_shocks(v, chol, NAMES))
+    return v, D.historical_var(v, chol, NAMES)
 
 
 @query(base(*HIST, select=f"SELECT t, variable, shock, {out('value')} FROM hd"))
