@@ -8,6 +8,7 @@ retried tasks and other cluster sizes give the same numbers. Quantiles interpola
 from __future__ import annotations
 
 import hashlib
+import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -20,6 +21,8 @@ from impulsia.functions import linalg as L
 from impulsia.operators.estimate import Var
 from impulsia.sources.tables import prepare
 
+log = logging.getLogger("impulsia")
+
 #: A row a cell and batch, with the values of the batch's replications.
 DRAWS = "variable string, shock string, horizon int, b array<bigint>, values array<double>"
 #: Replications that a task holds at a time.
@@ -234,6 +237,7 @@ def _range(spark: SparkSession, nboot: int) -> DataFrame:
 
 def replicate(spark: SparkSession, q: Plan, nboot: int, identify: Identify, draws: Callable[[Plan, Sequence[int]], Draw] = draw) -> DataFrame:
     """Every replication's values, packed: a row a cell (variable, shock, horizon) and batch; shock is null where there is one only. each() unpacks them."""
+    log.info("%d replications of %d variables, %d lags, scheme %s, identified %s", nboot, len(q.names), q.p, q.scheme, identify.__name__)
     cumulate = identify not in (by_clean_instrument, by_recovery)
     prepare(spark)
 
@@ -292,7 +296,10 @@ def corrected(spark: SparkSession, q: Plan, nboot: int) -> Plan:
     """The plan with coefficients corrected for the bias that a first round of replications shows; its residuals stay."""
     import dataclasses
 
+    log.info("bias correction from %d replications", nboot)
     beta = L.bias_corrected(q.beta, mean_coefficients(spark, q, nboot), len(q.names), q.p, q.c)
+    if not np.array_equal(beta, q.beta):
+        log.info("coefficients corrected, largest root %.4f", np.abs(np.linalg.eigvals(L.companion(beta, len(q.names), q.p, q.c))).max())
     return dataclasses.replace(q, beta=beta)
 
 

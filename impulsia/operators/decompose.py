@@ -49,6 +49,13 @@ def spectral_shares(all_: DataFrame, one: DataFrame, bins: int, low: float, high
     return one.select("variable").distinct().join(top, "variable", "left").join(whole, "variable", "left").select("variable", (F.col("power") / F.col("whole")).alias("share"))
 
 
+def spectral_bounds(all_: DataFrame, one: DataFrame, lower_scale: float, upper_scale: float, bins: int, low: float, high: float, fourier: bool = True) -> DataFrame:
+    """variable, lower, upper: bounds of the share that a shock known by its responses to an instrument only makes, from the scales of scale_bounds()."""
+    share = spectral_shares(all_, one, bins, low, high, fourier)
+    lower, upper = upper_scale**2, (upper_scale**2 / lower_scale) ** 2
+    return share.select("variable", (F.col("share") * lower).alias("lower"), (F.col("share") * upper).alias("upper"))
+
+
 def structural_shocks(v: Var, impact: np.ndarray, shocks: Sequence[str]) -> DataFrame:
     """t, shock, value: the residuals through the inverse of an impact matrix."""
     inverse = np.linalg.inv(impact)

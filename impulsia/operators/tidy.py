@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The default palette of fifteen colours, hex.
-PALETTE = [f"#{r:02x}{g:02x}{b:02x}" for r, g, b in [(int(127 + 120 * ((k * 5) % 15) / 15), int(40 + 200 * ((k * 7) % 15) / 15), int(60 + 180 * ((k * 4) % 15) / 15)) for k in range(15)]]
+#: The default palette, hex. Fixed values, in their order.
+PALETTE = ["#910048", "#E5E5E5", "#407EC9", "#FF8200", "#707372", "#00B0B9", "#001E60", "#78BE20", "#8031A7", "#658D1B", "#F2A900", "#E35205", "#DA291C", "#231F20", "#009CDE"]
+
+
+def colours(n: int, reverse: bool = False) -> list[str]:
+    """n colours of the palette, which starts anew, with a warning, where it is too short."""
+    own = PALETTE[::-1] if reverse else PALETTE
+    if n > len(own):
+        warnings.warn(f"{n} colours are asked for, the palette has {len(own)}: some are used again", stacklevel=2)
+    return [own[i % len(own)] for i in range(n)]
+
+
+def ranked(found: DataFrame, levels: Sequence[str], column: str = "variable") -> DataFrame:
+    """found with <column>_rank, the place (from 1) of its value among the levels, by which plots and sorts go; a value that is none of them has none."""
+    at = F.array_position(F.array(*map(F.lit, levels)), F.col(column))
+    return found.withColumn(f"{column}_rank", F.nullif(at, F.lit(0)).cast("int"))
+
 
 BANDS = ["lower", "upper", "lower2", "upper2"]
 
@@ -29,6 +45,17 @@ def mean_with_bands(found: DataFrame, scale: float = 1.0, keys: Sequence[str] =
     return found.select(*keys, (F.col("mean") * scale).alias("point"), *((F.col(b) * scale).alias(b) for b in BANDS))
 
 
+def sets(found: DataFrame, shock: str, scale: float = 1.0) -> DataFrame:
+    """Of weak-instrument sets (variable, horizon, irf, dm_lower, dm_upper, ar_lower, ar_upper): shock, variable, horizon, point and both kinds of bounds, scaled."""
+    kept = {"point": "irf", "dm_lo": "dm_lower", "dm_hi": "dm_upper", "ar_lo": "ar_lower", "ar_hi": "ar_upper"}
+    return found.select(F.lit(shock).alias("shock"), "variable", "horizon", *((F.col(c) * scale).alias(n) for n, c in kept.items()))
+
+
+def treatment(found: DataFrame, shock: str, scale: float = 1.0) -> DataFrame:
+    """Of recentred treatment bands: shock, variable, horizon, point and bands, scaled."""
+    return found.select(F.lit(shock).alias("shock"), "variable", "horizon", *((F.col(c) * scale).alias(c) for c in ("point", *BANDS)))
+
+
 def shares(found: DataFrame, one_shock: str | None = None) -> DataFrame:
     """horizon, variable, shock, value; with one_shock (found: variable, horizon, share), what the others make is added."""
     if one_shock is None:

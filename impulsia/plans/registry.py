@@ -8,6 +8,7 @@ are rounded, as sums of doubles depend on their order.
 from __future__ import annotations
 
 from collections.abc import Callable
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -227,6 +228,12 @@ def lag_selection(spark, sf):
     return rounded(frame(spark, E.lag_selection(orders(spark, sf), NAMES, 2), "p int, aic double, bic double, hq double"))
 
 
+@query(_sql["lag_selection"].replace("SELECT p, round", "SELECT p_, round", 1).replace("SELECT p_, round", "SELECT criterion, arg_min(p, value)::INTEGER AS p FROM (UNPIVOT (SELECT p, round", 1) + ") ON aic, bic, hq INTO NAME criterion VALUE value) GROUP BY criterion")
+def lag_choice(spark, sf):
+    found = E.best_lags(E.lag_selection(orders(spark, sf), NAMES, 2))
+    return frame(spark, list(found.items()), "criterion string, p int")
+
+
 @query(base(select='SELECT "row", col, ' + out("value") + " FROM (" + " UNION ALL ".join(f"SELECT {i} AS \"row\", {j} AS col, a{i}{j} AS value FROM v_b" for i in (1, 2) for j in (1, 2)) + ")"))
 def companion(spark, sf):
     m = L.companion(var(spark, sf).beta, 2, 1)
@@ -335,6 +342,66 @@ def maxshare_irf(spark, sf):
     return rounded(R.response(spark, L.max_share(v.wold(HORIZON), np.linalg.cholesky(v.sigma), 1), NAMES))
 
 
+NAMES3 = [*NAMES, "y3"]
+
+
+def orders3(spark: SparkSession, sf: str) -> DataFrame:
+    """t, ts, y1, y2, y3 by month: with the share of urgent orders, in percent."""
+    m = {"y1": 100 * F.log(F.sum("o_totalprice")), "y2": 100 * F.log(F.count(F.lit(1))), "y3": 100 * F.avg(F.when(F.col("o_orderpriority") == "1-URGENT", 1.0).otherwise(0.0))}
+    return S.periods(table(spark, sf, "orders"), "o_orderdate", "month", m, drop_last=True)
+
+
+_LAGS3 = [f"{n}_l1" for n in ("y1", "y2", "y3")]
+_R3 = (1, 2, 3)
+THREE = (
+    "m3 AS (SELECT date_trunc('month', o_orderdate) AS ts, 100 * ln(sum(o_totalprice)) AS y1, 100 * ln(count(*)) AS y2, 100 * avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0.0 END) AS y3 FROM orders GROUP BY 1)",
+    "s3 AS (SELECT row_number() OVER (ORDER BY ts) AS t, * FROM m3 WHERE ts < (SELECT max(ts) FROM m3))",
+    "x3 AS (SELECT 0 AS g, t, y1, y2, y3, lag(y1) OVER w AS y1_l1, lag(y2) OVER w AS y2_l1, lag(y3) OVER w AS y3_l1 FROM s3 WINDOW w AS (ORDER BY t))",
+    Q.ols("q", "x3", ["y1", "y2", "y3"], _LAGS3),
+    "v3 AS (SELECT " + ", ".join(f"e_y{i}_y{j} / (n - 4) AS s{i}{j}" for i in _R3 for j in _R3 if i <= j) + " FROM q_b)",
+    "w3(h, " + ", ".join(f"f{i}{j}" for i in _R3 for j in _R3) + ") AS (SELECT 0, " + ", ".join(f"{float(i == j)}::DOUBLE" for i in _R3 for j in _R3)
+    + " UNION ALL SELECT h + 1, " + ", ".join(" + ".join(f"f{i}{k} * y{k}_y{j}_l1" for k in _R3) for i in _R3 for j in _R3) + f" FROM w3, q_b WHERE h < {HORIZON})",
+    "l1 AS (SELECT *, sqrt(s11) AS l11, s12 / sqrt(s11) AS l21, s13 / sqrt(s11) AS l31 FROM v3)",
+    "l2 AS (SELECT *, sqrt(s22 - l21 * l21) AS l22, (s23 - l31 * l21) / sqrt(s22 - l21 * l21) AS l32 FROM l1)",
+    "l3 AS (SELECT *, sqrt(s33 - l31 * l31 - l32 * l32) AS l33 FROM l2)",
+    # Responses to the second and third Cholesky shocks.
+    "c3 AS (SELECT h, " + ", ".join(f"f{i}2 * l22 + f{i}3 * l32 AS a{i}, f{i}3 * l33 AS b{i}" for i in _R3) + " FROM w3, l3)",
+)
+#: Weights of both shocks where they move the second variable most at the end, and where they make most of its summed error variances.
+LRMAX3 = f"k3 AS (SELECT a2 / sqrt(a2 * a2 + b2 * b2) AS ka, b2 / sqrt(a2 * a2 + b2 * b2) AS kb FROM c3 WHERE h = {HORIZON})"
+SHARE3 = (
+    f"o3 AS (SELECT sum(({HORIZON} + 1 - h) * a2 * a2) AS a, sum(({HORIZON} + 1 - h) * a2 * b2) AS b, sum(({HORIZON} + 1 - h) * b2 * b2) AS d FROM c3)",
+    "g3 AS (SELECT a, b, (a + d) / 2 + sqrt(((a - d) / 2) ** 2 + b * b) AS top FROM o3)",
+    "k3 AS (SELECT b / sqrt(b * b + (top - a) ** 2) AS ka, (top - a) / sqrt(b * b + (top - a) ** 2) AS kb FROM g3)",
+)
+OUT3 = f"z3 AS (SELECT h, " + ", ".join(f"a{i} * ka + b{i} * kb AS r{i}" for i in _R3) + f" FROM c3, k3), n3 AS (SELECT CASE WHEN r1 < 0 THEN -1 ELSE 1 END AS sg FROM z3 WHERE h = {HORIZON})"
+SELECT3 = "SELECT variable, horizon, " + out("value") + " FROM (" + " UNION ALL ".join(f"SELECT 'y{i}' AS variable, h AS horizon, r{i} * sg AS value FROM z3, n3" for i in _R3) + ")"
+
+
+@query(Q.with_(*THREE, LRMAX3, OUT3, select=SELECT3))
+def lrmax_irf_three(spark, sf):
+    v = E.fit_var(orders3(spark, sf), NAMES3, 1)
+    return rounded(R.response(spark, L.long_run_max(v.wold(HORIZON), np.linalg.cholesky(v.sigma), 1), NAMES3))
+
+
+@query(Q.with_(*THREE, *SHARE3, OUT3, select=SELECT3))
+def maxshare_irf_three(spark, sf):
+    v = E.fit_var(orders3(spark, sf), NAMES3, 1)
+    return rounded(R.response(spark, L.max_share(v.wold(HORIZON), np.linalg.cholesky(v.sigma), 1), NAMES3))
+
+
+@query(Q.with_(*THREE, *SHARE3, select="SELECT variable, " + out("value") + " FROM (SELECT 'y1' AS variable, 0.0 AS value UNION ALL SELECT 'y2', abs(ka) FROM k3 UNION ALL SELECT 'y3', abs(kb) FROM k3)"))
+def maxshare_vector_three(spark, sf):
+    v = E.fit_var(orders3(spark, sf), NAMES3, 1)
+    h = np.abs(L.max_share_vector(v.wold(HORIZON), np.linalg.cholesky(v.sigma), 1))
+    return rounded(frame(spark, [(n, float(x)) for n, x in zip(NAMES3, h, strict=True)], "variable string, value double"))
+
+
+@query(Q.with_(*THREE, select="SELECT variable, shock, horizon, " + out("value") + " FROM (" + " UNION ALL ".join(f"SELECT 'y{i}' AS variable, 'y{j}' AS shock, h AS horizon, f{i}{j} AS value FROM w3" for i in _R3 for j in _R3) + ")"))
+def wold_irf_three(spark, sf):
+    return rounded(R.responses(spark, E.fit_var(orders3(spark, sf), NAMES3, 1).wold(HORIZON), NAMES3))
+
+
 @query(base(select="SELECT 'y1' AS variable, 0.0 AS value UNION ALL SELECT 'y2', 1.0"))
 def maxshare_vector(spark, sf):
     v = var(spark, sf)
@@ -481,6 +548,51 @@ def irf_bounds(spark, sf):
     return rounded(frame(spark, [(lo, hi)], "lower_scale double, upper_scale double"))
 
 
+@query(base_z(*CLEAN, CZ, "iv AS (SELECT sum(zc * u2) / sum(zc * u1) AS s2 FROM cz)", "sc AS (SELECT s2, sqrt((s22 - 2 * s2 * s12 + s2 * s2 * s11) / (s11 * s22 - s12 * s12)) AS size FROM iv, v_v)", "ivr AS (SELECT h, (f11 + f12 * s2) / size AS r1, (f21 + f22 * s2) / size AS r2 FROM v_w, sc)", select=TWO.format("ivr")))
+def svar_iv_cleaned_irf(spark, sf):
+    """As svar_iv_unit_irf, with the instrument cleaned of its own lags and those of the variables."""
+    v, u, z = _cleaned(spark, sf)
+    s = z @ u / (z @ z)
+    s = s / s[0]
+    return rounded(R.response(spark, v.wold(HORIZON) @ (s / np.sqrt(s @ np.linalg.solve(v.sigma, s))), NAMES))
+
+
+FIT = Q.ols("inw", "czf", ["zc"], ["u1", "u2", "u1f", "u2f"]), "ft AS (SELECT t, zc - u_zc AS f FROM inw_u)"
+
+
+@query(base_z(*CLEAN, CZ, *FIT, "lb AS (SELECT f - avg(f) OVER () AS d, t FROM ft)", "lc AS (SELECT d, lag(d) OVER (ORDER BY t) AS d1, lag(d, 2) OVER (ORDER BY t) AS d2 FROM lb)", "lq AS (SELECT count(*) AS n, sum(d * d1) / sum(d * d) AS r1, sum(d * d2) / sum(d * d) AS r2 FROM lc)", "ls AS (SELECT n * (n + 2) * (r1 * r1 / (n - 1) + r2 * r2 / (n - 2)) AS q FROM lq)", select="SELECT " + out("q as statistic", "exp(-q / 2) as pval") + " FROM ls"))
+def recoverability_test(spark, sf):
+    _, u, z = _cleaned(spark, sf)
+    r = I.recoverability(z, u, 1, 2)
+    return rounded(frame(spark, [(float(r["statistic"]), float(r["pval"]))], "statistic double, pval double"))
+
+
+@query(base_z(*CLEAN, *PSI, GEN, *FIT, "rh AS (SELECT x.t + gi.h AS t, sum(r1 * x.e) AS r1, sum(r2 * x.e) AS r2 FROM (SELECT t, f / stddev_samp(f) OVER () AS e FROM ft) x, gi WHERE x.t + gi.h <= (SELECT max(t) FROM ft) GROUP BY ALL)", select="SELECT t, " + out("r1 as y1", "r2 as y2") + " FROM rh"))
+def hist_decomp_recoverable(spark, sf):
+    """Contributions of a shock that leads of the residuals recover, through its responses up to HORIZON."""
+    v, u, z = _cleaned(spark, sf)
+    hd = D.recoverable_history(R.generalized_iv(v, z, 1, HORIZON)[0], I.invertibility(z, u, 1)["fit"])
+    return rounded(frame(spark, [(i + 2, float(a), float(b)) for i, (a, b) in enumerate(hd)], "t long, y1 double, y2 double"))
+
+
+BOUNDS = "gr AS (SELECT range * pi() / 256 AS th FROM range(256))", "wv AS (SELECT p01 + p11 * cos(th) AS a, -p11 * sin(th) AS b, p02 + p12 * cos(th) AS c, -p12 * sin(th) AS d, s11, s12, s22, dt FROM pa, gr)", "sz AS (SELECT sqrt(max(((a * a + b * b) * s22 - 2 * (a * c + b * d) * s12 + (c * c + d * d) * s11) / dt)) AS m FROM wv)"
+
+
+@query(
+    base_z(*CLEAN, *PSI, GEN, *BOUNDS, "om AS (SELECT k * pi() / 128 AS w FROM range(1, 129) t(k) WHERE k * pi() / 128 BETWEEN 2 * pi() / 32 AND 2 * pi() / 4.5)",
+           "gl AS (SELECT 'y1' AS variable, h, r1 * sqrt(a2) AS r FROM gi, pa UNION ALL SELECT 'y2', h, r2 * sqrt(a2) FROM gi, pa)",
+           "tp AS (SELECT variable, sum(p) AS top FROM (SELECT variable, w, sum(r * cos(w * h)) ** 2 + sum(r * sin(w * h)) ** 2 AS p FROM gl, om GROUP BY ALL) GROUP BY variable)",
+           "wh AS (SELECT variable, sum(p) AS whole FROM (SELECT variable, shock, w, sum(value * cos(w * horizon)) ** 2 + sum(value * sin(w * horizon)) ** 2 AS p FROM v_i, om GROUP BY ALL) GROUP BY variable)",
+           select="SELECT variable, " + out("top / whole * vz as lower", "top / whole / (m * m) as upper") + " FROM tp JOIN wh USING (variable), sz, (SELECT var_samp(zc) AS vz FROM cz)")
+)
+def spectral_fevd_bounds(spark, sf):
+    v, _, z = _cleaned(spark, sf)
+    psi = R.generalized_iv(v, z, 1, HORIZON)[1]
+    one = R.response(spark, L.convolve(v.wold(HORIZON), psi[:, :, None], HORIZON + 1)[:, :, 0], NAMES)
+    all_ = R.responses(spark, R.cholesky_irf(v, HORIZON), NAMES)
+    return rounded(D.spectral_bounds(all_, one, *R.scale_bounds(psi, v.sigma, z), 128, 4.5, 32))
+
+
 @query(Q.with_(Q.ORDERS, Q.SHIP, "s2 AS (SELECT 0::BIGINT AS g, t, CASE WHEN inside THEN z ELSE 0 END AS y1, s.y1 AS y2 FROM s JOIN z USING (t))", Q.var1("n", "s2", HORIZON), "n0 AS (SELECT r21 AS top FROM n_c WHERE h = 0)", "nr AS (SELECT h, r11 / top * 10 AS r1, r21 / top * 10 AS r2 FROM n_c, n0)", select=TWO.format("nr").replace("'y2'", "'y1_'").replace("'y1'", "'z'").replace("'y1_'", "'y1'")))
 def internal_instrument_irf(spark, sf):
     d = with_z(spark, sf).select("t", "ts", F.when(F.col("inside"), F.col("z")).otherwise(F.lit(0.0)).alias("z"), "y1")
@@ -853,14 +965,62 @@ def boot_iv_recover(spark, sf):
     return rounded(B.bands(B.replicate(spark, q, REPS, B.by_recovery, B.recovery_draws), ("variable", "horizon")), 2)
 
 
-@query()
-def msw(spark, sf):
+def _msw_sql(lags: int, confidence: float = 0.9) -> tuple[str, ...]:
+    """ms: the weak-instrument sets of a first-order model, by scalar influences: of each response's numerator (q) and of the target's covariance (w)."""
+    crit = NormalDist().inv_cdf(0.5 + confidence / 2) ** 2
+
+    def covariance(a: str, b: str) -> str:
+        more = "".join(f" + {1 - k / (lags + 1)} * (sum({a} * {b}_l{k}) + sum({a}_l{k} * {b})) / count(*)" for k in range(1, lags + 1))
+        return f"sum({a} * {b}) / count(*){more}"
+
+    lagged = "".join(f", lag({c}, {k}, 0) OVER o AS {c}_l{k}" for k in range(1, lags + 1) for c in "qw")
+    lag_terms = " UNION ALL ".join(f"SELECT a.h + b.h + 1 AS h, {j} AS j, a.f{j}1 * b.c1 AS r11, a.f{j}2 * b.c1 AS r21, a.f{j}1 * b.c2 AS r12, a.f{j}2 * b.c2 AS r22 FROM v_w a, mc b WHERE a.h + b.h < {HORIZON}" for j in (1, 2))
+    return (
+        "mx0 AS (SELECT d.t, d.x1, d.x2, u1, u2, e.z FROM v_d d JOIN e USING (t) WHERE e.inside)",
+        "mq AS (SELECT count(*)::DOUBLE AS tt, avg(x1) AS m1, avg(x2) AS m2, avg(z) AS mz, covar_pop(x1, x1) AS c11, covar_pop(x1, x2) AS c12, covar_pop(x2, x2) AS c22, covar_pop(x1, z) AS cz1, covar_pop(x2, z) AS cz2, sum(z * u1) / count(*) AS g1, sum(z * u2) / count(*) AS g2 FROM mx0)",
+        "mi AS (SELECT t, a1 * u1 AS p11, a1 * u2 AS p21, a2 * u1 AS p12, a2 * u2 AS p22, zr * u1 AS w1, zr * u2 AS w2 FROM (SELECT t, u1, u2, (c22 * (x1 - m1) - c12 * (x2 - m2)) / det AS a1, (c11 * (x2 - m2) - c12 * (x1 - m1)) / det AS a2, "
+        "z - mz - (c22 * cz1 - c12 * cz2) / det * (x1 - m1) - (c11 * cz2 - c12 * cz1) / det * (x2 - m2) AS zr FROM mx0, (SELECT *, c11 * c22 - c12 * c12 AS det FROM mq)))",
+        "mc AS (SELECT h, f11 * g1 + f12 * g2 AS c1, f21 * g1 + f22 * g2 AS c2 FROM v_w, mq)",
+        f"mr AS (SELECT h, j, sum(r11) AS r11, sum(r21) AS r21, sum(r12) AS r12, sum(r22) AS r22 FROM ({lag_terms}) GROUP BY h, j)",
+        "mh AS (SELECT w.h, n.j, CASE n.j WHEN 1 THEN f11 ELSE f21 END AS s1, CASE n.j WHEN 1 THEN f12 ELSE f22 END AS s2, CASE n.j WHEN 1 THEN c1 ELSE c2 END AS cg, coalesce(r11, 0) AS r11, coalesce(r21, 0) AS r21, coalesce(r12, 0) AS r12, coalesce(r22, 0) AS r22 FROM v_w w JOIN mc USING (h) CROSS JOIN (VALUES (1), (2)) n(j) LEFT JOIN mr ON mr.h = w.h AND mr.j = n.j)",
+        "mt AS (SELECT h, j, cg, t, r11 * p11 + r21 * p21 + r12 * p12 + r22 * p22 + s1 * w1 + s2 * w2 AS q, w1 AS w FROM mh, mi)",
+        "md AS (SELECT h, j, cg, t, q - avg(q) OVER (PARTITION BY h, j) AS q, w - avg(w) OVER (PARTITION BY h, j) AS w FROM mt)",
+        f"ml AS (SELECT *{lagged} FROM md WINDOW o AS (PARTITION BY h, j ORDER BY t))",
+        f"mv AS (SELECT h, j, any_value(cg) AS cg, {covariance('q', 'q')} AS vq, {covariance('q', 'w')} AS vqw, {covariance('w', 'w')} AS vw FROM ml GROUP BY h, j)",
+        f"mm AS (SELECT h, j, cg / g1 AS irf, sqrt(greatest(vq / (g1 * g1) - 2 * cg / g1 * vqw / (g1 * g1) + (cg / g1) ** 2 * vw / (g1 * g1), 0) / tt) AS se, tt * g1 * g1 - {crit!r} * vw AS a, -2 * tt * cg * g1 + 2 * {crit!r} * vqw AS b, tt * cg * cg - {crit!r} * vq AS c FROM mv, mq)",
+        f"ms AS (SELECT 'y' || j AS variable, h AS horizon, irf, se, irf - sqrt({crit!r}) * se AS dm_lower, irf + sqrt({crit!r}) * se AS dm_upper, "
+        "CASE WHEN h = 0 AND j = 1 THEN 1.0 WHEN b * b - 4 * a * c > 0 THEN least((-b - sqrt(b * b - 4 * a * c)) / (2 * a), (-b + sqrt(b * b - 4 * a * c)) / (2 * a)) END AS ar_lower, "
+        "CASE WHEN h = 0 AND j = 1 THEN 1.0 WHEN b * b - 4 * a * c > 0 THEN greatest((-b - sqrt(b * b - 4 * a * c)) / (2 * a), (-b + sqrt(b * b - 4 * a * c)) / (2 * a)) END AS ar_upper, "
+        "CASE WHEN h = 0 AND j = 1 THEN 'interval' WHEN b * b - 4 * a * c > 0 THEN CASE WHEN a > 0 THEN 'interval' ELSE 'complement' END WHEN a > 0 THEN 'empty' ELSE 'real_line' END AS set_kind FROM mm)",
+    )
+
+
+SETS = ["irf", "se", "dm_lower", "dm_upper", "ar_lower", "ar_upper"]
+
+
+def _sets(spark, sf, lags: int) -> DataFrame:
     v = var(spark, sf)
     z, rows = _inside(spark, sf, v)
-    r = I.weak_iv_sets(v, z, rows, HORIZON, 0)
-    names = ["irf", "se", "dm_lower", "dm_upper", "ar_lower", "ar_upper"]
-    made = [(n, h, *(float(r[k][h, i]) for k in names), str(r["set_kind"][h, i])) for h in range(HORIZON + 1) for i, n in enumerate(NAMES)]
-    return rounded(frame(spark, made, "variable string, horizon int, " + ", ".join(f"{k} double" for k in names) + ", set_kind string"))
+    r = I.weak_iv_sets(v, z, rows, HORIZON, 0, lags=lags)
+    # A missing end is null, as in SQL.
+    ends = lambda k, h, i: None if np.isnan(r[k][h, i]) else float(r[k][h, i])
+    made = [(n, h, *(ends(k, h, i) for k in SETS), str(r["set_kind"][h, i])) for h in range(HORIZON + 1) for i, n in enumerate(NAMES)]
+    return frame(spark, made, "variable string, horizon int, " + ", ".join(f"{k} double" for k in SETS) + ", set_kind string")
+
+
+@query(base_z(UZ, *_msw_sql(0), select="SELECT variable, horizon, " + out(*SETS) + ", set_kind FROM ms"))
+def msw(spark, sf):
+    return rounded(_sets(spark, sf, 0))
+
+
+@query(base_z(UZ, *_msw_sql(3), select="SELECT variable, horizon, " + out(*SETS) + ", set_kind FROM ms"))
+def msw_newey_west(spark, sf):
+    return rounded(_sets(spark, sf, 3))
+
+
+@query(base_z(UZ, *_msw_sql(0), select="SELECT 'policy' AS shock, variable, horizon, " + out("10 * irf as point", "10 * dm_lower as dm_lo", "10 * dm_upper as dm_hi", "10 * ar_lower as ar_lo", "10 * ar_upper as ar_hi", digits=3) + " FROM ms"))
+def msw_tidy(spark, sf):
+    return rounded(T.sets(_sets(spark, sf, 0), "policy", 10.0), 3)
 
 
 @query(base_z(UZ, "ei AS (SELECT u1, u2, z FROM e WHERE inside)", select="SELECT " + out("count(*) * (sum(z * u1) / count(*)) ** 2 / var_pop(z * u1) as wald", digits=3) + " FROM ei"))

@@ -218,6 +218,9 @@ def test_tidy_frames(spark, var):
     one = D.variance_shares(point).where("shock = 'a'").drop("shock")
     assert {r["shock"] for r in T.shares(one, "policy").collect()} == {"policy", "Other Shocks"}
     assert len(set(T.PALETTE)) == 15
+    with pytest.warns(UserWarning):
+        assert T.colours(16) == [*T.PALETTE, T.PALETTE[0]]
+    assert T.colours(2, reverse=True) == T.PALETTE[:-3:-1]
 
 
 def test_generalized_instrument_responses(var):
@@ -238,3 +241,47 @@ def test_wide_moments_equal_narrow_ones(series, monkeypatch):
     n2, mean2, cov2 = E.moments(d, names)
     assert n == n2 and np.allclose(mean, mean2) and np.allclose(cov, cov2)
     assert E.moments(d.limit(0), names)[0] == 0
+
+
+def test_models_of_long_series_aggregate_moments(spark, monkeypatch):
+    """The driver's fit and the distributed one are the same, rows with nulls left out of both."""
+    rng = np.random.default_rng(2)
+    y = np.cumsum(rng.normal(size=(120, 2)), axis=0) * 0.3
+    rows = [(i + 1, None if i == 50 else float(a), float(b), float(a * b)) for i, (a, b) in enumerate(y)]
+    series = spark.createDataFrame(rows, "t long, y1 double, y2 double, x double")
+    near = E.fit_var(series, ["y1", "y2"], 2, exog=["x"])
+    lags = E.lag_selection(series, ["y1", "y2"], 3)
+    monkeypatch.setattr(E, "LOCAL", 10)
+    far = E.fit_var(series, ["y1", "y2"], 2, exog=["x"])
+    assert near.regression.rows == far.regression.rows == 115
+    assert np.allclose(near.beta, far.beta) and np.allclose(near.sigma, far.sigma)
+    assert np.allclose(lags, E.lag_selection(series, ["y1", "y2"], 3))
+
+
+def test_history_by_recursion_and_by_join_agree(spark):
+    rng = np.random.default_rng(4)
+    y = rng.normal(size=(40, 2))
+    v = E.fit_var(spark.createDataFrame([(i + 1, *map(float, r)) for i, r in enumerate(y)], "t long, a double, b double"), ["a", "b"], 2)
+    chol = np.linalg.cholesky(v.sigma)
+    ran = {(r["t"], r["variable"], r["shock"]): r["value"] for r in D.historical_var(v, chol, ["a", "b"]).collect()}
+    irf = R.responses(spark, R.cholesky_irf(v, 37, chol), ["a", "b"])
+    joined = {(r["t"], r["variable"], r["shock"]): r["value"] for r in D.historical(irf, D.structural_shocks(v, chol, ["a", "b"])).collect()}
+    assert ran.keys() == joined.keys() and all(abs(ran[k] - joined[k]) < 1e-9 for k in ran)
+
+
+def test_ridge_is_for_failing_matrices_only():
+    good, bad = np.array([[2.0, 0.5], [0.5, 1.0]]), np.array([[1.0, 1.0], [1.0, 1.0]])
+    both = L.cholesky(np.stack([good, bad]))
+    assert np.array_equal(both[0], np.linalg.cholesky(good)) and np.allclose(both[1] @ both[1].T, bad, atol=1e-6)
+
+
+def test_panels_of_any_type(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, t, *map(float, rng.normal(size=2))) for k in (1, 2) for t in range(1, 40)]
+    got = P.panel_irf(spark.createDataFrame(rows, "shop long, t long, a double, b double"), "shop", ["a", "b"], 1, 3)
+    assert dict(got.dtypes)["shop"] == "bigint" and got.count() == 2 * 4 * 4
+
+
+def test_ranks_follow_the_levels(spark):
+    got = T.ranked(spark.createDataFrame([("b",), ("a",), ("z",)], "variable string"), ["b", "a"]).collect()
+    assert {r["variable"]: r["variable_rank"] for r in got} == {"b": 1, "a": 2, "z": None}
