@@ -255,13 +255,15 @@ def components_of_sets(candidates: DataFrame) -> DataFrame:
     few = sets.select("set_id", first).where("length(least) = 8").select("set_id", F.xxhash64("least").alias("least"))
     often = spread_join(few, few.groupBy("least").agg(F.count(F.lit(1)).alias("all"), F.count(F.lit(1)).alias("times")), "least", "all", hot, "set_id")
     often = often.groupBy("set_id").agg(F.max(F.struct("times", "least")).alias("_k")).select("set_id", "_k.least")
-    chosen = written(sets.join(often, "set_id"), "candidates")
-    discard(sets)
+    chosen = written(often, "named")
+    # What is joined is narrow; the sets' tokens are shuffled once for their places, and once more for their components.
     groups = chosen.groupBy("least").agg(F.min("set_id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     cells = F.ceil(F.col("size") / F.lit(CELL)).cast("int")
-    placed = spread_join(chosen, groups.select("least", "hub", cells.alias("cells"), "size"), "least", "size", hot, "set_id")
+    at = spread_join(chosen, groups.select("least", "hub", cells.alias("cells"), "size"), "least", "size", hot, "set_id")
     cell = F.when(F.col("set_id") == F.col("hub"), 0).otherwise(F.coalesce(F.pmod(F.xxhash64("set_id"), F.col("cells")), F.lit(0))).cast("int")
-    placed = placed.select("set_id", "n", "tokens", F.coalesce("hub", "set_id").alias("hub"), cell.alias("cell"), "cells")
+    at = at.select("set_id", F.coalesce("hub", "set_id").alias("hub"), cell.alias("cell"), "cells")
+    placed = written(sets.join(at, "set_id").select("set_id", "n", "tokens", "hub", "cell", "cells"), "placed")
+    discard(sets, chosen)
     # A set of a large group goes to a cell of either of two deals; where its local components meet, they are one.
     again = F.when(F.col("cells") > 1, F.col("cells") + F.pmod(F.xxhash64("set_id", F.lit("again")), F.col("cells"))).cast("int")
     deals = F.explode(F.filter(F.array("cell", again), lambda c: c.isNotNull())).alias("cell")
@@ -273,13 +275,16 @@ def components_of_sets(candidates: DataFrame) -> DataFrame:
     met = components(first.where("comp <> other").select(F.col("comp").alias("a"), F.col("other").alias("b")).distinct())
     each = first.groupBy("comp").agg(F.count(F.lit(1)).alias("sets")).join(met.select(F.col("node").alias("comp"), "root"), "comp")
     first = spread_join(first.select("set_id", "comp"), each, "comp", "sets", hot, "set_id").select("set_id", F.coalesce("root", "comp").alias("comp"))
-    comps = written(placed.join(first, "set_id", "left").select("set_id", "n", "tokens", "hub", "cell", F.coalesce("comp", "set_id").alias("comp")), "comps")
-    discard(chosen, local)
+    first = written(first, "first")
+    # Sets of a component in no other's cell have it for themselves.
+    sizes = first.groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.count(F.lit(1)).alias("times"))
+    sized = spread_join(first, sizes, "comp", "times", hot, "set_id")
+    comps = placed.join(sized, "set_id", "left").select("set_id", "n", "tokens", "hub", "cell", F.coalesce("comp", "set_id").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
+    comps = written(comps, "comps")
+    discard(placed, local, first)
 
     # The matrix has a row for each token and cell; of two sets, the one of the smaller component (of equals, of the
     # smaller name) asks the other's cell.
-    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.count(F.lit(1)).alias("times")).where("size > 1")
-    grouped = spread_join(comps, sizes, "comp", "times", hot, "set_id").withColumn("size", F.coalesce("size", F.lit(1)))
     # Any one order of tokens is right; with frequent ones last, sets that share a common passage alone don't meet.
     often = comps.select("tokens").mapInArrow(_frequent, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
     often = often.orderBy(F.desc("times"), "token").limit(FREQUENT).select("token").toArrow()
@@ -287,7 +292,7 @@ def components_of_sets(candidates: DataFrame) -> DataFrame:
     rank = np.arange(len(late), 0, -1)
     order = np.argsort(late)
     last = comps.sparkSession.sparkContext.broadcast((late[order], rank[order]))
-    tokens = grouped.mapInArrow(_prefixes(last), "token long, set_id long, comp long, n long, hub long, cell int, size long")
+    tokens = comps.mapInArrow(_prefixes(last), "token long, set_id long, comp long, n long, hub long, cell int, size long")
     contested = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     tokens = written(tokens.join(contested, "token"), "tokens")
     last.destroy()
@@ -299,9 +304,9 @@ def components_of_sets(candidates: DataFrame) -> DataFrame:
     needed = F.greatest(F.lit(1), F.floor(F.lit(MATRIX) * F.ceil(F.lit(THRESHOLD) * F.col("n") / 100) / 100))
     pairs = written(met.where(F.col("shared") >= needed).select("set_id", "g_hub", "g_cell"), "pairs")
     parts_ = pairs.groupBy("g_hub", "g_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERIES)).cast("int").alias("parts"))
-    asked = pairs.join(parts_, ["g_hub", "g_cell"]).join(grouped.select("set_id", F.col("comp").alias("q_comp"), F.col("tokens").alias("q_tokens")), "set_id")
+    asked = pairs.join(parts_, ["g_hub", "g_cell"]).join(comps.select("set_id", F.col("comp").alias("q_comp"), F.col("tokens").alias("q_tokens")), "set_id")
     asked = asked.select("g_hub", "g_cell", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int").alias("part"), "q_comp", "q_tokens")
-    opened = grouped.select(F.col("hub").alias("g_hub"), F.col("cell").alias("g_cell"), "comp", "tokens").join(parts_, ["g_hub", "g_cell"])
+    opened = comps.select(F.col("hub").alias("g_hub"), F.col("cell").alias("g_cell"), "comp", "tokens").join(parts_, ["g_hub", "g_cell"])
     opened = opened.select("g_hub", "g_cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "comp", "tokens")
     key = ["g_hub", "g_cell", "part"]
     edges = asked.groupBy(*key).cogroup(opened.groupBy(*key)).applyInArrow(_open, "a long, b long")
