@@ -67,12 +67,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a table in the shared folder: lineage ends there, so a lost executor costs a reread only."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The rows of df as a table in the shared folder: lineage ends there, so a lost executor costs a reread only. by: a column by which the table is bucketed (an external table of the session's catalog), so that joins on it don't shuffle its rows."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/impulsia/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    made = spark.read.schema(df.schema).parquet(path)
+    mark = uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/impulsia/{name}-{mark}"
+    if by is None:
+        df.write.option("compression", "zstd").parquet(path)
+        made = spark.read.schema(df.schema).parquet(path)
+    else:
+        # As many buckets as a shuffle has partitions: rows that come from a shuffle by the column make one file a bucket.
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        table_name = f"impulsia_{name}_{mark}"
+        df.write.option("compression", "zstd").option("path", path).bucketBy(n, by).format("parquet").saveAsTable(table_name)
+        made = spark.table(table_name)
+        made._impulsia_table = table_name
     made._impulsia_path = path
     return made
 
@@ -81,6 +90,8 @@ def discard(*tables: DataFrame) -> None:
     """Removes tables of written() that nothing will read again."""
     for df in tables:
         spark, path = df.sparkSession, df._impulsia_path
+        if getattr(df, "_impulsia_table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {df._impulsia_table}")
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
 

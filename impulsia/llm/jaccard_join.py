@@ -248,7 +248,7 @@ def joined(docs: DataFrame) -> DataFrame:
 
 def components_of_sets(candidates: DataFrame) -> DataFrame:
     """set_id and comp, a name of its component, for each set of the candidates that links to another. Rows of equal set_id are copies."""
-    sets = written(candidates.groupBy("set_id").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "distinct")
+    sets = written(candidates.groupBy("set_id").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "distinct", "set_id")
     hot = hot_from(sets.count())
     # Of a set's smallest tokens (of eight bytes, little-endian, as they are sorted) the one that most sets have among theirs.
     first = F.explode(F.array(*(F.substring("tokens", 1 + 8 * k, 8) for k in range(SMALLEST)))).alias("least")
@@ -256,13 +256,13 @@ def components_of_sets(candidates: DataFrame) -> DataFrame:
     often = spread_join(few, few.groupBy("least").agg(F.count(F.lit(1)).alias("all"), F.count(F.lit(1)).alias("times")), "least", "all", hot, "set_id")
     often = often.groupBy("set_id").agg(F.max(F.struct("times", "least")).alias("_k")).select("set_id", "_k.least")
     chosen = written(often, "named")
-    # What is joined is narrow; the sets' tokens are shuffled once for their places, and once more for their components.
+    # The sets' tokens stay in buckets by set_id, so that only narrow rows are shuffled for their places and components.
     groups = chosen.groupBy("least").agg(F.min("set_id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     cells = F.ceil(F.col("size") / F.lit(CELL)).cast("int")
     at = spread_join(chosen, groups.select("least", "hub", cells.alias("cells"), "size"), "least", "size", hot, "set_id")
     cell = F.when(F.col("set_id") == F.col("hub"), 0).otherwise(F.coalesce(F.pmod(F.xxhash64("set_id"), F.col("cells")), F.lit(0))).cast("int")
     at = at.select("set_id", F.coalesce("hub", "set_id").alias("hub"), cell.alias("cell"), "cells")
-    placed = written(sets.join(at, "set_id").select("set_id", "n", "tokens", "hub", "cell", "cells"), "placed")
+    placed = written(sets.join(at, "set_id").select("set_id", "n", "tokens", "hub", "cell", "cells"), "placed", "set_id")
     discard(sets, chosen)
     # A set of a large group goes to a cell of either of two deals; where its local components meet, they are one.
     again = F.when(F.col("cells") > 1, F.col("cells") + F.pmod(F.xxhash64("set_id", F.lit("again")), F.col("cells"))).cast("int")
@@ -280,7 +280,7 @@ def components_of_sets(candidates: DataFrame) -> DataFrame:
     sizes = first.groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.count(F.lit(1)).alias("times"))
     sized = spread_join(first, sizes, "comp", "times", hot, "set_id")
     comps = placed.join(sized, "set_id", "left").select("set_id", "n", "tokens", "hub", "cell", F.coalesce("comp", "set_id").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
-    comps = written(comps, "comps")
+    comps = written(comps, "comps", "set_id")
     discard(placed, local, first)
 
     # The matrix has a row for each token and cell; of two sets, the one of the smaller component (of equals, of the
