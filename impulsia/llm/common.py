@@ -77,7 +77,7 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         made = spark.read.schema(df.schema).parquet(path)
     else:
         # As many buckets as a shuffle has partitions: rows that come from a shuffle by the column make one file a bucket.
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
         table_name = f"impulsia_{name}_{mark}"
         df.write.option("compression", "zstd").option("path", path).bucketBy(n, by).format("parquet").saveAsTable(table_name)
         made = spark.table(table_name)

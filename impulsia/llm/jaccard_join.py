@@ -306,7 +306,8 @@ def components_of_sets(candidates: DataFrame) -> DataFrame:
     parts_ = pairs.groupBy("g_hub", "g_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERIES)).cast("int").alias("parts"))
     asked = pairs.join(parts_, ["g_hub", "g_cell"]).join(comps.select("set_id", F.col("comp").alias("q_comp"), F.col("tokens").alias("q_tokens")), "set_id")
     asked = asked.select("g_hub", "g_cell", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int").alias("part"), "q_comp", "q_tokens")
-    opened = comps.select(F.col("hub").alias("g_hub"), F.col("cell").alias("g_cell"), "comp", "tokens").join(parts_, ["g_hub", "g_cell"])
+    wanted = comps.select("set_id", F.col("hub").alias("g_hub"), F.col("cell").alias("g_cell")).join(parts_, ["g_hub", "g_cell"])
+    opened = comps.select("set_id", "comp", "tokens").join(wanted, "set_id")
     opened = opened.select("g_hub", "g_cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "comp", "tokens")
     key = ["g_hub", "g_cell", "part"]
     edges = asked.groupBy(*key).cogroup(opened.groupBy(*key)).applyInArrow(_open, "a long, b long")
